@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup"]
+MODULES = ["exact_dedup", "sharding"]
 
 
 def _gather(name: str) -> dict:
