@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "sharding"]
+MODULES = ["sharding", "mixing", "exact_dedup"]
 
 
 def _gather(name: str) -> dict:
