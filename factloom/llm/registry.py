@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "exact_dedup"]
+MODULES = ["sharding", "mixing", "exact_dedup", "warc"]
 
 
 def _gather(name: str) -> dict:
