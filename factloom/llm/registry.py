@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "exact_dedup", "warc"]
+MODULES = ["sharding", "mixing", "warc", "byte_bpe", "exact_dedup"]
 
 
 def _gather(name: str) -> dict:
