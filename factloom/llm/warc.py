@@ -28,9 +28,8 @@ RECORD = "record_id string, type string, concurrent_to string, refers_to string,
 DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five bits a character, taken from 20-bit pieces of the hex digest."""
-    hexed = F.sha1(payload)
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: five bits a character, taken from 20-bit pieces."""
     piece = lambda i: F.conv(F.substring(hexed, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
     letter = lambda i: F.substring(F.lit(BASE32), F.floor(piece(i) / F.element_at(F.array(*map(F.lit, (32768, 1024, 32, 1))), (i % 4) + 1)).cast("int") % 32 + 1, F.lit(1))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
@@ -54,7 +53,7 @@ def plan_captures(pages: DataFrame, id: str = "page_id", payload: str = "html",
     copy = F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")) - 1
     out = spread.withColumn("copy", copy).join(chosen.hint("shuffle_hash"), ["key", "digest"], "left")
     keeper = F.when((F.col("copy") == 0) & F.col("id").eqNullSafe(F.col("keeper")), None).otherwise(F.col("keeper"))
-    return out.select("id", "url", "payload", "copy", keeper.alias("keeper"))
+    return out.select("id", "url", "payload", "digest", "copy", keeper.alias("keeper"))
 
 
 #: Payload bytes an archive file gets on average before it is compressed.
@@ -67,7 +66,7 @@ def write(pages: DataFrame, path: str, **options) -> None:
     text = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
     revisit = F.col("keeper").isNotNull()
     urn = lambda i, copy, kind: F.concat(F.lit("<urn:capture:"), text(i), F.lit("."), copy.cast("string"), F.lit(f":{kind}>"))
-    own, digest = urn(F.col("id"), F.col("copy"), "response"), F.concat(F.lit("sha1:"), base32_sha1(F.encode("payload", "UTF-8")))
+    own, digest = urn(F.col("id"), F.col("copy"), "response"), F.concat(F.lit("sha1:"), base32(F.col("digest")))
     uri = F.when(F.col("url").isNotNull(), F.regexp_replace("url", r"[\r\n]", ""))
     common_headers = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri)]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
