@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "toxicity", "mixing", "warc", "byte_bpe", "exact_dedup"]
+MODULES = ["sharding", "toxicity", "fingerprint", "mixing", "warc", "byte_bpe", "exact_dedup"]
 
 
 def _gather(name: str) -> dict:
