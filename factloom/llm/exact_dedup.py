@@ -12,15 +12,11 @@ An empty table gives an empty result. Columns of the input that have an added co
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
-SEGMENT = 16  # bits of a position inside its segment
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
@@ -29,72 +25,7 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(common.lower_ascii(F.coalesce(text, F.lit(""))), "UTF-8"), 256)
 
 
-def _bits(rows: int, max_bits: int) -> int:
-    return min(max_bits, max(1 << SEGMENT, 1 << math.ceil(math.log2(16 * rows + 1))))
-
-
-def _positions(bits: int) -> list[Column]:
-    """Two bit positions from independent parts of the digest."""
-    return [F.conv(F.substring("text_sha256", at, 12), 16, 10).cast("long") % bits for at in (1, 17)]
-
-
-def _fold(batches):
-    """Positions of this task as, for each segment, those seen once and those seen again."""
-    import pyarrow as pa
-
-    def flush(parts):
-        pos, n = np.unique(np.concatenate(parts), return_counts=True)
-        seg = pos >> SEGMENT
-        heads = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(pos) else np.zeros(0, int)
-        low, ends = (pos & 0xFFFF).astype("<u2"), np.r_[heads[1:], len(pos)] if len(pos) else []
-        return pa.RecordBatch.from_pydict({
-            "seg": pa.array(seg[heads], pa.int64()),
-            "once": pa.array([low[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-            "again": pa.array([low[a:b][n[a:b] > 1].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-        })
-
-    parts, held = [], 0
-    for b in batches:
-        for c in b.columns:
-            parts.append(c.to_numpy(zero_copy_only=False).astype(np.int64))
-            held += len(c)
-        if held > 4_000_000:
-            yield flush(parts)
-            parts, held = [], 0
-    if held:
-        yield flush(parts)
-
-
-def _merge(key, parts):
-    """One segment's bitmap of positions hit twice at least; parts has a row for each task."""
-    import pyarrow as pa
-
-    seen, twice = np.zeros(1 << SEGMENT, bool), np.zeros(1 << SEGMENT, bool)
-    for once, again in zip(parts["once"], parts["again"]):
-        at = np.frombuffer(once.as_py(), "<u2")
-        twice[at[seen[at]]] = True
-        seen[at] = True
-        twice[np.frombuffer(again.as_py(), "<u2")] = True
-    return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "bitmap": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
-
-
-def repeated_positions(hashed: DataFrame, bits: int) -> DataFrame:
-    """(seg, bitmap): at most bits / 2**16 rows of 8 KiB."""
-    pos = hashed.select(*[c.alias(f"p{i}") for i, c in enumerate(_positions(bits))])
-    parts = pos.mapInArrow(_fold, "seg long, once binary, again binary")
-    return common.cut(parts.groupBy("seg").applyInArrow(_merge, "seg long, bitmap binary"))
-
-
-def _test(df: DataFrame, segments: DataFrame, position: Column, name: str) -> DataFrame:
-    at = position % (1 << SEGMENT)
-    byte = F.conv(F.hex(F.substring("__bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    side = F.broadcast(segments.select(F.col("seg").alias("__seg"), F.col("bitmap").alias("__bitmap")))
-    hit = F.coalesce(F.expr("shiftright(__byte, __bit) & 1") == 1, F.lit(False))
-    df = df.withColumn("__at", F.floor(position / (1 << SEGMENT))).join(side, F.col("__at") == F.col("__seg"), "left")
-    return df.withColumn("__byte", byte).withColumn("__bit", (at % 8).cast("int")).withColumn(name, hit).drop("__at", "__seg", "__bitmap", "__byte", "__bit")
-
-
-def mark(df: DataFrame, id: str = "doc_id", text: str = "text", hashed: DataFrame | None = None, max_bits: int = 1 << 31) -> DataFrame:
+def mark(df: DataFrame, id: str = "doc_id", text: str = "text", hashed: DataFrame | None = None, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """Each row of df with keep_id, group_size, kept and text_sha256.
 
     hashed: df with ``text_sha256`` and only the columns wanted, if that is at hand. Rows whose digest can't repeat are not shuffled.
@@ -102,12 +33,9 @@ def mark(df: DataFrame, id: str = "doc_id", text: str = "text", hashed: DataFram
     if hashed is None:
         hashed = df.drop(*[c for c in df.columns if c in ADDED]).withColumn("text_sha256", digest(F.col(text)))
     columns = hashed.columns
-    bits = _bits(hashed.count(), max_bits)
-    segments = repeated_positions(hashed, bits)
-    tested = hashed
-    for i, p in enumerate(_positions(bits)):
-        tested = _test(tested, segments, p, f"__hit{i}")
-    maybe = F.col("__hit0") & F.col("__hit1")
+    bits = bloom.bits_for(hashed.count(), max_bits)
+    sha, maybe = F.col("text_sha256"), F.col("__maybe")
+    tested = bloom.test(hashed, sha, bloom.build(hashed, sha, bits, least=2), bits, "__maybe")
     alone = tested.where(~maybe).select(*columns, F.col(id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     tested = tested.where(maybe).select(*columns, F.monotonically_increasing_id().alias("__row"))
     slim = common.cut(tested.select(id, "text_sha256", "__row"))
