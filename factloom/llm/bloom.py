@@ -23,8 +23,11 @@ def bits_for(rows: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, max(1 << SEGMENT, 1 << math.ceil(math.log2(16 * rows + 1))))
 
 
-def positions(hexed: Column, bits: int) -> list[Column]:
-    """Two bit positions from independent parts of a digest in hex."""
+def positions(key: Column, bits: int, is_hash: bool = False) -> list[Column]:
+    """Two bit positions from independent parts of a digest in hex, or of a 63-bit hash."""
+    if is_hash:
+        return [F.pmod(key, F.lit(bits)), F.pmod(F.shiftright(key, 31) + F.shiftleft(key.bitwiseAND(0x7FFFFFFF), 31), F.lit(bits))]
+    hexed = key
     return [F.conv(F.substring(hexed, at, 12), 16, 10).cast("long") % bits for at in (1, 17)]
 
 
@@ -71,9 +74,9 @@ def _merge(least: int):
     return merge
 
 
-def build(df: DataFrame, hexed: Column, bits: int, least: int = 1) -> DataFrame:
+def build(df: DataFrame, hexed: Column, bits: int, least: int = 1, is_hash: bool = False) -> DataFrame:
     """(seg, bitmap) of the positions that rows of df hit ``least`` times (1 or 2): at most bits / 2**16 rows of 8 KiB."""
-    pos = df.select(*[c.alias(f"p{i}") for i, c in enumerate(positions(hexed, bits))])
+    pos = df.select(*[c.alias(f"p{i}") for i, c in enumerate(positions(hexed, bits, is_hash))])
     parts = pos.mapInArrow(_fold, "seg long, once binary, again binary")
     return common.cut(parts.groupBy("seg").applyInArrow(_merge(least), "seg long, bitmap binary"))
 
@@ -87,9 +90,9 @@ def _test(df: DataFrame, segments: DataFrame, position: Column, name: str) -> Da
     return df.withColumn("__byte", byte).withColumn("__bit", (at % 8).cast("int")).withColumn(name, hit).drop("__at", "__seg", "__bitmap", "__byte", "__bit")
 
 
-def test(df: DataFrame, hexed: Column, segments: DataFrame, bits: int, name: str) -> DataFrame:
+def test(df: DataFrame, hexed: Column, segments: DataFrame, bits: int, name: str, is_hash: bool = False) -> DataFrame:
     """df with a boolean column: whether both positions are set. Never false for a member."""
-    for i, p in enumerate(positions(hexed, bits)):
+    for i, p in enumerate(positions(hexed, bits, is_hash)):
         df = _test(df, segments, p, f"__hit{i}")
     return df.withColumn(name, F.col("__hit0") & F.col("__hit1")).drop("__hit0", "__hit1")
 
