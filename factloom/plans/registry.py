@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["patterns", "indexes"]
+MODULES = ["patterns", "indexes", "analytics"]
 
 
 def _gather(name: str) -> dict:
