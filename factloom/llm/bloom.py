@@ -51,7 +51,7 @@ def _fold(batches):
         for c in b.columns:
             parts.append(c.to_numpy(zero_copy_only=False).astype(np.int64))
             held += len(c)
-        if held > 4_000_000:
+        if held > 1_000_000:
             yield flush(parts)
             parts, held = [], 0
     if held:

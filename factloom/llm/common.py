@@ -110,7 +110,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashes, starts - firsts[owner], ends - firsts[owner], owner
 
 
-def chunks(values: list, limit: int = 4_000_000):
+def chunks(values: list, limit: int = 1_000_000):
     """Slices of a list of byte strings that hold about limit bytes each; a longer text stands alone."""
     at, size = 0, 0
     for i, v in enumerate(values):
