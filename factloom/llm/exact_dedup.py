@@ -37,11 +37,10 @@ def mark(df: DataFrame, id: str = "doc_id", text: str = "text", hashed: DataFram
     sha, maybe = F.col("text_sha256"), F.col("__maybe")
     tested = bloom.test(hashed, sha, bloom.build(hashed, sha, bits, least=2), bits, "__maybe")
     alone = tested.where(~maybe).select(*columns, F.col(id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    tested = tested.where(maybe).select(*columns, F.monotonically_increasing_id().alias("__row"))
-    slim = common.cut(tested.select(id, "text_sha256", "__row"))
-    groups = slim.groupBy("text_sha256").agg(F.max(F.struct(F.col(id).alias("keep_id"), F.col("__row").alias("keep_row"))).alias("k"), F.count("*").alias("group_size")).select("text_sha256", "k.*", "group_size")
+    repeated = common.cut(tested.where(maybe).select(*columns, F.monotonically_increasing_id().alias("__row")))  # row numbers are fixed once
+    groups = repeated.groupBy("text_sha256").agg(F.max(F.struct(F.col(id).alias("keep_id"), F.col("__row").alias("keep_row"))).alias("k"), F.count("*").alias("group_size")).select("text_sha256", "k.*", "group_size")
     groups = common.cut(groups)  # the join then has plain shuffles on both sides, so a hot digest's partition can be split
-    again = tested.join(groups, "text_sha256").select(*columns, "keep_id", "group_size", (F.col("__row") == F.col("keep_row")).alias("kept"))
+    again = repeated.join(groups, "text_sha256").select(*columns, "keep_id", "group_size", (F.col("__row") == F.col("keep_row")).alias("kept"))
     return alone.unionByName(again)
 
 
