@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length, with exception phrases.
 
 Folding lower-cases, maps homoglyphs and digit substitutions to Latin letters and punctuation to spaces. The lexicon holds whole
-words and word beginnings, each weighted by a lower bound of its log odds between toxic and clean training documents. Words of
+words and word beginnings that toxic training documents use far more than chance allows, weighted by their log odds. Of near copies
+only one is trained on, so that a copied text does not make its rare words toxic. Words of
 an exception phrase (two words that clean training documents use and toxic ones do not) count nothing. The summed weight, as
 it is and per hundred words, goes through a logistic function fitted on the same documents.
 
@@ -17,14 +18,16 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .ngram_join import _chunked, shingle_sets
 
 BOUND = 20_000
 MAX_TERMS = 5_000
-NEAR_BEST = 0.6
+EVIDENCE = 14.0  # nats by which a term's share of toxic documents must beat chance
+PER_DOCUMENT = 3  # different words with one beginning that count in a document
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -119,6 +122,26 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def _sketched(batches):
+    """Two minimum hashes over three-word shingles; near copies share one of them nearly always."""
+    import pyarrow as pa
+
+    for b, texts in _chunked(batches, 1):
+        sets = list(shingle_sets(texts, 3))
+        low = [[(int(common.mix(s ^ np.uint64(k)).min() >> np.uint64(1)) if len(s) else -1) for s in sets] for k in (0, 99)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low[0], pa.int64()), pa.array(low[1], pa.int64())], ["doc_id", "text", "toxic", "m0", "m1"])
+
+
+def without_near_copies(rows: DataFrame) -> DataFrame:
+    """Of training rows that share a sketch the first by id; the sample is bounded, so are the groups."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.select("doc_id", "text", "toxic").mapInArrow(_sketched, f"doc_id {kind}, text string, toxic boolean, m0 long, m1 long")
+    for m in ("m0", "m1"):
+        order = Window.partitionBy(m, F.when(F.col(m) < 0, F.col("doc_id"))).orderBy("doc_id", "text")
+        rows = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return rows.select("text", "toxic")
+
+
 def _count_terms(batches):
     import pyarrow as pa
 
@@ -128,7 +151,8 @@ def _count_terms(batches):
             words = set(fold(text or ""))
             c = counts[toxic]
             c.update(w for w in words if len(w) > 2)
-            c.update({f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n})
+            own = Counter(f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n)
+            c.update({k: min(v, PER_DOCUMENT) for k, v in own.items()})
     terms = [*(counts[False].keys() | counts[True].keys())]
     for i in range(0, len(terms), 50_000):
         part = terms[i : i + 50_000]
@@ -136,18 +160,19 @@ def _count_terms(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    rows = common.cut(training_rows(docs, labels, bound).select("text", "toxic"))
+    rows = common.cut(without_near_copies(training_rows(docs, labels, bound)))
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     nt, nc = n.get(True, 0), n.get(False, 0)
     model = Model()
     if not nt or not nc:
         return model
-    terms = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (nt + 1)) - F.log((F.col("clean") + 0.5) / (nc + 1))
-    weight = odds - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    least = max(4, nt // 200)
-    best = terms.where(F.col("toxic") >= least).withColumn("w", weight).where("w > 1").orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()
-    best = [r for r in best if r["w"] >= NEAR_BEST * best[0]["w"]]  # far weaker terms are mostly chance
+    terms = common.cut(rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")))
+    # chance: the toxic share of all counts of that kind of term
+    base = {r["p"]: r["b"] for r in terms.groupBy(F.endswith("term", F.lit("*")).alias("p")).agg((F.sum("t") / F.sum(F.col("t") + F.col("c"))).alias("b")).collect()}
+    share, chance = F.col("t") / (F.col("t") + F.col("c")), F.when(F.endswith("term", F.lit("*")), F.lit(base.get(True, 0.5))).otherwise(F.lit(base.get(False, 0.5)))
+    evidence = F.col("t") * F.log(share / chance) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - chance))).otherwise(0)
+    weight = F.least(F.lit(6.0), F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("c") + 0.5) / (nc + 1)))
+    best = terms.where((F.col("t") >= 3) & (share > chance)).withColumn("e", evidence).withColumn("w", weight).where((F.col("e") >= EVIDENCE) & (F.col("w") > 2)).orderBy(F.desc("e"), "term").limit(MAX_TERMS).collect()
     beginnings = {r["term"][:-1]: r for r in best if r["term"][-1] == "*"}
     for k, r in beginnings.items():  # a beginning that a shorter one covers adds nothing
         if not any(k[:i] in beginnings for i in PREFIXES if i < len(k)):
