@@ -5,9 +5,10 @@ and two sets overlap by no more than the sum of the coordinate-wise minima. Boxe
 bound with their upper corners, then points by their coordinates; surviving pairs are verified on the sets themselves.
 
 One tree over everything would visit most leaves, since unrelated documents of a size have similar counts. So the forest is cut first,
-without loss: sets that link differ in at most T shingles (T follows from their sizes), so of more than T groups some
+without loss: sets that link differ in at most T shingles (T follows from their sizes), so of G groups G - T at least
 have the same content in both. Documents of a size range that share the content of a group, or a chain of such, form a plot,
-and each plot has its own tree. Equal sets are one point. Small plots are packed into tasks; a large plot becomes leaves of bounded
+and each plot has its own tree. A content that more than FREQUENT sets have joins only sets that have as many frequent ones as a link that
+rests on those alone would need; so a passage in many documents does not chain them. Equal sets are one point. Small plots are packed into tasks; a large plot becomes leaves of bounded
 size whose pairs are tasks of their own, so no group has to fit one task. Within a comparison only links between parts that are not yet
 connected are looked for, and connected components join the rest: no pair within a group is emitted needlessly, no component is lost.
 
@@ -29,6 +30,7 @@ from . import bloom, common
 from .components import components
 
 DIMENSIONS = 256  # coordinates of the points in the trees
+FREQUENT = 8
 LEAF = 1 << 20  # weight of a leaf: 256 sets, or fewer if they exceed 4,096 shingles
 
 
@@ -115,9 +117,11 @@ def features(docs: DataFrame, rule: Rule, id: str = "doc_id", text: str = "text"
     return docs.select(id, text).mapInArrow(run, f"{id} {kind}, n long, key long, corner long")
 
 
-def signatures(s: np.ndarray, ranges: list, lows: np.ndarray) -> np.ndarray:
-    """One hash for the content of each group, for every size range that the set belongs to."""
-    out, n = [], len(s)
+def signatures(s: np.ndarray, ranges: list, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for the content of each group, for every size range that the set belongs to; and for each the range and, in the low half,
+    how many contents a linked pair shares at least.
+    """
+    out, needs, n = [], [], len(s)
     i = int(np.searchsorted(lows, n, side="right")) - 1
     with np.errstate(over="ignore"):
         while i >= 0 and ranges[i][1] >= n:
@@ -128,22 +132,25 @@ def signatures(s: np.ndarray, ranges: list, lows: np.ndarray) -> np.ndarray:
                 g, member = g[order], common.mix(s[order] ^ np.uint64(0x5851F42D4C957F2D))
                 heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
                 total = np.add.reduceat(member, heads)
-                out.append(common.mix(total + common.mix(g[heads].astype(np.uint64) + np.uint64((i + 1) << 40))))
-                if groups - len(heads) >= groups - t:  # so many are empty that all equal groups could be
+                own = common.mix(total + common.mix(g[heads].astype(np.uint64) + np.uint64((i + 1) << 40)))
+                need = groups - t - (groups - len(heads))
+                if need < 1:  # so many are empty that all equal groups could be
                     empty = np.setdiff1d(np.arange(groups), g[heads])
-                    out.append(common.mix(common.mix(empty.astype(np.uint64) + np.uint64((i + 1) << 40)) ^ np.uint64(1)))
+                    own = np.r_[own, common.mix(common.mix(empty.astype(np.uint64) + np.uint64((i + 1) << 40)) ^ np.uint64(1))]
+                out.append(own)
+                needs.append(np.full(len(own), (i << 32) + max(1, need), np.int64))
             i -= 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(needs)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _firsts(sig: np.ndarray, key: np.ndarray):
-    """Each distinct signature with its least key, and edges from that key to the others."""
+def _blocks(sig: np.ndarray, key: np.ndarray, need: np.ndarray):
+    """Rows in order of signature and key, each once; where each signature begins, and how many rows it has."""
     order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, int)
-    lead = np.repeat(key[heads], np.diff(np.r_[heads, len(sig)]))
-    other = key != lead
-    return sig[heads], key[heads], np.unique(np.stack([lead[other], key[other]], 1), axis=0)
+    sig, key, need = sig[order], key[order], need[order]
+    once = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])][: len(sig)]
+    sig, key, need = sig[once], key[once], need[once]
+    heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    return sig, key, need, heads, np.diff(np.r_[heads, len(sig)])
 
 
 def plots(docs: DataFrame, rule: Rule, n_docs: int, text: str = "text") -> DataFrame:
@@ -151,59 +158,87 @@ def plots(docs: DataFrame, rule: Rule, n_docs: int, text: str = "text") -> DataF
     ranges = rule.ranges()
     lows = np.array([r[0] for r in ranges])
     buckets = max(common.parallelism(docs), n_docs // 4000)
-    schema = "bucket int, sigs binary, keys binary, counts binary, a binary, b binary"
+    schema = "bucket int, sigs binary, keys binary, needs binary, counts binary, frequent binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def emit(parts):
+        """Signatures by bucket in six bytes each, after the key and the need that a run of them shares. Signatures that are frequent
+        in this task alone go out at once, in buckets by key; a mark (key -1) tells their own bucket."""
         import pyarrow as pa
 
-        sig, key, edges = _firsts(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        sig, key, need, heads, n = _blocks(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        hot = np.repeat(n > FREQUENT, n)
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        sig, key, bucket = sig[order], key[order], bucket[order]
-        ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1 if len(sig) else np.zeros(0, int)
-        rows, at = [], 0
-        for e in ends.tolist():
-            heads = np.flatnonzero(np.r_[True, key[at + 1 : e] != key[at : e - 1]])
-            # six bytes are enough inside a bucket
-            six = (sig[at:e] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            rows.append((int(bucket[at]), six, key[at:e][heads].tobytes(), np.diff(np.r_[heads, e - at]).astype("<u4").tobytes(), b"", b""))
+        with np.errstate(over="ignore"):
+            six = (sig // np.uint64(buckets)) & np.uint64((1 << 48) - 1)
+            ids = (six * np.uint64(buckets) + bucket.astype(np.uint64)).view(np.int64)
+        rows = []
+        out = np.stack([key[hot], ids[hot], need[hot]], 1)
+        place = out[:, 0] % buckets
+        order = np.argsort(place, kind="stable")
+        ends = np.flatnonzero(np.r_[place[order][1:] != place[order][:-1], True][: len(out)]) + 1
+        for own in np.split(order, ends[:-1]) if len(out) else []:
+            rows.append((int(place[own[0]]), b"", b"", b"", b"", out[own].tobytes()))
+        mark = heads[n > FREQUENT]
+        six, key, need, bucket = np.r_[six[~hot], six[mark]], np.r_[key[~hot], np.full(len(mark), -1)], np.r_[need[~hot], np.zeros(len(mark), np.int64)], np.r_[bucket[~hot], bucket[mark]]
+        order = np.lexsort((need, key, bucket))
+        six, key, need, bucket = six[order], key[order], need[order], bucket[order]
+        at = 0
+        for e in (np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True][: len(six)]) + 1).tolist():
+            k, d = key[at:e], need[at:e]
+            runs = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+            raw = six[at:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            rows.append((int(bucket[at]), raw, k[runs].tobytes(), d[runs].tobytes(), np.diff(np.r_[runs, e - at]).astype("<u4").tobytes(), b""))
             at = e
-        for k in range(0, len(edges), 100_000):
-            e = edges[k : k + 100_000]
-            rows.append((int(e[0, 0] % buckets), b"", b"", b"", e[:, 0].tobytes(), e[:, 1].tobytes()))
         cols = list(zip(*rows)) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "keys", "counts", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
     def map_side(batches):
         parts, held = [], 0
         for _, texts in _chunked(batches, 0):
             for s in shingle_sets(texts, rule.words):
-                sig = signatures(s, ranges, lows)
+                sig, need = signatures(s, ranges, lows)
                 if len(sig):
-                    parts.append((sig, np.full(len(sig), set_key(s), np.int64)))
+                    parts.append((sig, np.full(len(sig), set_key(s), np.int64), need))
                     held += len(sig)
-            if held > 3_000_000:
+            if held > 2_000_000:
                 yield emit(parts)
                 parts, held = [], 0
         if parts:
             yield emit(parts)
 
-    def reduce_side(parts):
+    def reduce_side(bucket, parts):
+        """Edges from the least key of each signature to the others, without a need; rows (key, signature, need) of frequent ones."""
         import pyarrow as pa
 
-        sigs, keys, edges = [], [], []
-        for six, key, counts, a, b in zip(*[parts[c].to_pylist() for c in ("sigs", "keys", "counts", "a", "b")]):
+        sigs, keys, needs, frequent = [], [], [], []
+        for six, key, need, counts, ready in zip(*[parts[c].to_pylist() for c in names[1:]]):
             raw = np.zeros((len(six) // 6, 8), np.uint8)
             raw[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+            n = np.frombuffer(counts, "<u4")
             sigs.append(raw.view("<u8").ravel())
-            keys.append(np.repeat(np.frombuffer(key, np.int64), np.frombuffer(counts, "<u4")))
-            edges.append(np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)], 1))
-        edges.append(_firsts(np.concatenate(sigs), np.concatenate(keys))[2])
-        e = np.unique(np.concatenate(edges), axis=0)
-        return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
+            keys.append(np.repeat(np.frombuffer(key, np.int64), n))
+            needs.append(np.repeat(np.frombuffer(need, np.int64), n))
+            frequent.append(np.frombuffer(ready, np.int64).reshape(-1, 3))
+        sig, key, need, heads, n = _blocks(np.concatenate(sigs), np.concatenate(keys), np.concatenate(needs))
+        first = np.repeat(key[heads], n)
+        hot = np.repeat((n > FREQUENT) | (key[heads] < 0), n)
+        edge = ~hot & (key != first)
+        edges = np.unique(np.stack([first[edge], key[edge]], 1), axis=0)
+        own = hot & (key >= 0)
+        with np.errstate(over="ignore"):
+            ids = (sig[own] * np.uint64(buckets) + np.uint64(bucket[0].as_py())).view(np.int64)
+        f = np.concatenate([*frequent, np.stack([key[own], ids, need[own]], 1)])
+        return pa.table({"a": pa.array(np.r_[edges[:, 0], f[:, 0]], pa.int64()), "b": pa.array(np.r_[edges[:, 1], f[:, 1]], pa.int64()), "need": pa.concat_arrays([pa.nulls(len(edges), pa.int64()), pa.array(f[:, 2], pa.int64())])})
 
     packed = docs.select(text).mapInArrow(map_side, schema)
-    return components(packed.groupBy("bucket").applyInArrow(reduce_side, "a long, b long"))
+    found = common.cut(packed.groupBy("bucket").applyInArrow(reduce_side, "a long, b long, need long"))
+    frequent = found.where("need IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("sig"), "need").distinct()
+    enough = frequent.groupBy("key", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND((1 << 32) - 1)).select("key", "need")
+    frequent = common.cut(frequent.join(enough, ["key", "need"], "left_semi").select("key", "sig"))
+    first = common.cut(frequent.groupBy("sig").agg(F.min("key").alias("a")))
+    more = frequent.join(first, "sig").where("key <> a").select("a", F.col("key").alias("b"))
+    return components(found.where("need IS NULL").select("a", "b").unionByName(more))
 
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
