@@ -247,7 +247,7 @@ def _map(df: DataFrame, schema: str, work) -> DataFrame:
     """Work takes a record batch and the texts' list and yields record batches; text is the last column."""
 
     def run(batches):
-        for b in batches:
+        for b in common.small(batches):
             texts = _texts(b.columns[-1])
             for i, j in _sliced(texts):
                 yield work(b.slice(i, j - i), texts[i:j])

@@ -84,7 +84,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept by the worker."""
     if len(_POWERS.get("up", ())) < n:
-        n = 1 << max(20, (n - 1).bit_length())
+        n = 1 << max(19, (n - 1).bit_length())
         with np.errstate(over="ignore"):
             _POWERS["up"] = np.cumprod(np.r_[_U(1), np.full(n - 1, _U(_BASE))], dtype=np.uint64)
             _POWERS["down"] = np.cumprod(np.r_[_U(1), np.full(n - 1, _U(pow(_BASE, -1, 1 << 64)))], dtype=np.uint64)
@@ -110,7 +110,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashes, starts - firsts[owner], ends - firsts[owner], owner
 
 
-def chunks(values: list, limit: int = 1_000_000):
+def chunks(values: list, limit: int = 300_000):
     """Slices of a list of byte strings that hold about limit bytes each; a longer text stands alone."""
     at, size = 0, 0
     for i, v in enumerate(values):
@@ -122,6 +122,13 @@ def chunks(values: list, limit: int = 1_000_000):
         yield at, len(values)
 
 
+def small(batches, rows: int = 1000):
+    """Slices of record batches, so that a task never holds more than that many texts as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def utf8(column) -> list[bytes]:
     """Arrow strings as bytes; null counts as empty."""
     import pyarrow as pa

@@ -169,7 +169,7 @@ def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             return pa.RecordBatch.from_arrays([first, *[pa.array(c, t) for c, t in zip(cols[1:], kinds[1:])]], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         id_type = None
-        for b in batches:
+        for b in common.small(batches):
             id_type = b.schema.field("id").type
             for row in zip(*[c.to_pylist() for c in b.columns]):
                 held.append(row)
@@ -197,7 +197,7 @@ def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), ["" if t is None else t for t in b.column(1).to_pylist()]
-            for i, j in common.chunks(texts):
+            for i, j in common.chunks(texts, 4_000_000):
                 rows = [(d, f, k) for d, f in zip(ids[i:j], fingerprints(texts[i:j])) for k in band_keys(f, bands, digits)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], [id, "fingerprint", "band"])
 

@@ -97,7 +97,7 @@ def _corner(s: np.ndarray) -> int:
 
 
 def _chunked(batches, text: int):
-    for b in batches:
+    for b in common.small(batches):
         texts = common.utf8(b.column(text))
         for i, j in common.chunks(texts):
             yield b.slice(i, j - i), texts[i:j]

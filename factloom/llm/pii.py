@@ -311,7 +311,7 @@ def sample_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             rows = []
             for key, t in zip(b["h"].to_pylist(), b[text].to_pylist()):
                 found = base_spans(t or "")
@@ -345,7 +345,7 @@ def _map(docs: DataFrame, id: str, text: str, tagger: Tagger | None, schema: str
 
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         kinds = {"base": span, "spans": span} if len(names) == 3 else {c: pa.int64() for c in names if c.startswith("n_")}
-        for b in batches:
+        for b in common.small(batches):
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
             for i, j in common.chunks(texts):
                 rows = [row(*s) for s in spans(tagger, texts[i:j])]

@@ -146,7 +146,7 @@ def _count_terms(batches):
     import pyarrow as pa
 
     counts = {False: Counter(), True: Counter()}
-    for b in batches:
+    for b in common.small(batches):
         for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
             words = set(fold(text or ""))
             c = counts[toxic]
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
         import pyarrow as pa
 
         a, found = plain.automaton(), Counter()
-        for b in batches:
+        for b in common.small(batches):
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
                 words = fold(text or "")
                 spaced = f" {' '.join(words)} "
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
         import pyarrow as pa
 
         a = model.automaton()
-        for b in batches:
+        for b in common.small(batches):
             xy = [model.features(fold(t or ""), a) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in xy], pa.float64()), pa.array([y for _, y in xy], pa.float64()), b["toxic"]], ["x", "y", "toxic"])
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] = ("doc_id",)) -> Da
         import pyarrow as pa
 
         a = model.automaton()
-        for b in batches:
+        for b in common.small(batches):
             s = [round(model.score(fold(t or ""), a), 9) for t in b.column(b.num_columns - 1).to_pylist()]
             kept = b.select(list(range(len(columns))))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], [*columns, "score", "predicted"])
