@@ -9,7 +9,8 @@ without loss: sets that link differ in at most T shingles (T follows from their
 have the same content in both. Documents of a size range that share the content of a group, or a chain of such, form a plot,
 and each plot has its own tree. A content that more than FREQUENT sets have joins only sets that have as many frequent ones as a link that
 rests on those alone would need; so a passage in many documents does not chain them. Equal sets are one point. Small plots are packed into tasks; a large plot becomes leaves of bounded
-size whose pairs are tasks of their own, so no group has to fit one task. Within a comparison only links between parts that are not yet
+size. Pairs of leaves compare points first; only sets whose point meets one of the other leaf travel to the pair's verification, so no group
+has to fit one task. Within a comparison only links between parts that are not yet
 connected are looked for, and connected components join the rest: no pair within a group is emitted needlessly, no component is lost.
 
 Null and empty texts have no shingles and link with nothing; a text shorter than a shingle is one shingle. Sets are compared by
@@ -248,6 +249,37 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def coordinates(n: int) -> int:
+    """Coordinates of the point of a set of n: one for about four shingles, 256 at least; a power of two, so that finer points can be folded."""
+    return max(DIMENSIONS, 1 << (-(-n // 4) - 1).bit_length())
+
+
+def fine_point(s: np.ndarray) -> np.ndarray:
+    d = coordinates(len(s))
+    return np.bincount((s & np.uint64(d - 1)).astype(np.int64), minlength=d).astype("<u2")
+
+
+def fold(p: np.ndarray, d: int) -> np.ndarray:
+    """Points with d coordinates, each a sum of finer ones."""
+    return p if p.shape[1] == d else p.reshape(len(p), -1, d).sum(1).astype(p.dtype if p.dtype != np.uint8 else np.uint16)
+
+
+def survivors(rule: Rule, n1: np.ndarray, p1: np.ndarray, other: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which points of a leaf meet a point of the other leaf (or of their own) by the sum of minima, and which of the other leaf do."""
+    n2, p2 = (n1, p1) if other is None else other
+    d = min(p1.shape[1], p2.shape[1])
+    p1, p2 = fold(p1, d), fold(p2, d)
+    one, two = np.zeros(len(n1), bool), np.zeros(len(n2), bool)
+    for i in range(len(n1)):
+        js = np.arange(i + 1, len(n2)) if other is None else np.arange(len(n2))
+        js = js[rule.den * np.minimum(n1[i], n2[js]) >= rule.num * np.maximum(n1[i], n2[js])]
+        if len(js):
+            js = js[np.minimum(p1[i], p2[js]).sum(1, dtype=np.int64) >= rule.need(n1[i], n2[js])]
+            one[i] |= len(js) > 0
+            two[js] = True
+    return (one | two, two) if other is None else (one, two)
+
+
 def verify(rule: Rule, keys: np.ndarray, sets: list[np.ndarray], other: tuple | None = None) -> list[tuple[int, int]]:
     """Links that connect whatever is connected, within one leaf or between two. Once two sets are connected they are not compared."""
     k2, s2 = (keys, sets) if other is None else other
@@ -275,11 +307,6 @@ def verify(rule: Rule, keys: np.ndarray, sets: list[np.ndarray], other: tuple |
     return links
 
 
-def _unpack(sets: bytes, sizes: bytes) -> list[np.ndarray]:
-    n = np.frombuffer(sizes, np.int64)
-    return np.split(np.frombuffer(sets, np.uint64), np.cumsum(n)[:-1]) if len(n) else []
-
-
 def _links(rows):
     import pyarrow as pa
 
@@ -311,11 +338,12 @@ def links(docs: DataFrame, slim: DataFrame, rule: Rule, id: str = "doc_id", text
 
         for b, texts in _chunked(batches, 1):
             sets = list(shingle_sets(texts, rule.words))
+            large = [x >= 0 for x in b["leaf"].to_pylist()]
             keep = [i for i, (s, k) in enumerate(zip(sets, b["key"].to_pylist())) if set_key(s) == k]  # not another text of the same id
-            yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(keep, pa.int64())) for c in ("key", "plot", "leaf")], pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["key", "plot", "leaf", "set"])
+            yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(keep, pa.int64())) for c in ("key", "plot", "leaf")], pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array([fine_point(sets[i]).tobytes() if large[i] else b"" for i in keep], pa.binary())], ["key", "plot", "leaf", "set", "point"])
 
     texts = bloom.pick(docs.select(id, text), members, id).select(id, text, "key", "plot", "leaf")
-    sets = texts.mapInArrow(tokenise, "key long, plot long, leaf long, set binary")
+    sets = texts.mapInArrow(tokenise, "key long, plot long, leaf long, set binary, point binary")
 
     def small(parts):
         """Plots of one bin, each a tree of a single leaf."""
@@ -332,34 +360,62 @@ def links(docs: DataFrame, slim: DataFrame, rule: Rule, id: str = "doc_id", text
         return pa.Table.from_batches([_links(out)])
 
     def leaf(key, parts):
-        """A leaf: its box and its points' sets, in order of size."""
+        """A leaf: its box and its points, in order of size, in as many coordinates as its smallest set has."""
         import pyarrow as pa
 
-        unique = {k: np.frombuffer(s, np.uint64) for k, s in zip(parts["key"].to_pylist(), parts["set"].to_pylist())}
-        keys = sorted(unique, key=lambda k: (len(unique[k]), k))
-        s = [unique[k] for k in keys]
-        sizes = np.array([len(x) for x in s], np.int64)
-        row = {"plot": key[0].as_py(), "leaf": key[1].as_py(), "low": int(sizes.min()), "high": int(sizes.max()), "box": points(s).max(0).tolist(), "keys": np.array(keys, np.int64).tobytes(), "sizes": sizes.tobytes(), "sets": np.concatenate(s).tobytes()}
-        return pa.Table.from_pylist([row], pa.schema([("plot", pa.int64()), ("leaf", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("box", pa.list_(pa.int32())), ("keys", pa.binary()), ("sizes", pa.binary()), ("sets", pa.binary())]))
+        unique = {k: (n, np.frombuffer(p, "<u2")) for k, n, p in zip(parts["key"].to_pylist(), parts["n"].to_pylist(), parts["point"].to_pylist())}
+        keys = sorted(unique, key=lambda k: (unique[k][0], k))
+        d = min(len(p) for _, p in unique.values())
+        p = np.concatenate([fold(unique[k][1][None, :], d) for k in keys])
+        sizes = np.array([unique[k][0] for k in keys], np.int64)
+        box = p.reshape(len(p), -1, DIMENSIONS).sum(1).max(0).tolist()
+        row = {"plot": key[0].as_py(), "leaf": key[1].as_py(), "low": int(sizes[0]), "high": int(sizes[-1]), "box": box, "keys": np.array(keys, np.int64).tobytes(), "sizes": sizes.tobytes(), "points": p.astype(np.uint8 if p.max() < 256 else "<u2").tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([("plot", pa.int64()), ("leaf", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("box", pa.list_(pa.int32())), ("keys", pa.binary()), ("sizes", pa.binary()), ("points", pa.binary())]))
+
+    def unpack(keys, sizes, raw):
+        keys, sizes = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64)
+        d = coordinates(int(sizes[0]))
+        return keys, sizes, np.frombuffer(raw, np.uint8 if len(raw) == d * len(keys) else "<u2").reshape(len(keys), d)
+
+    def meet(batches):
+        """Keys of the sets of two leaves that have to be verified, by the side they stand on."""
+        import pyarrow as pa
 
-    def pairs(batches):
         for b in batches:
-            for same, k1, n1, s1, k2, n2, s2 in zip(*[b[c].to_pylist() for c in ("same", "keys", "sizes", "sets", "keys2", "sizes2", "sets2")]):
-                other = None if same else (np.frombuffer(k2, np.int64), _unpack(s2, n2))
-                yield _links(verify(rule, np.frombuffer(k1, np.int64), _unpack(s1, n1), other))
+            for plot, i, j, *raw in zip(*[b[c].to_pylist() for c in ("plot", "leaf", "leaf2", "keys", "sizes", "points", "keys2", "sizes2", "points2")]):
+                (k1, n1, p1), (k2, n2, p2) = unpack(*raw[:3]), unpack(*raw[3:])
+                one, two = survivors(rule, n1, p1, None if i == j else (n2, p2))
+                keys = k1[one] if i == j else np.r_[k1[one], k2[two]]
+                side = np.zeros(len(keys), np.int32)
+                side[int(one.sum()) :] = 1
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(keys), x, np.int64)) for x in (plot, i, j)], pa.array(keys), pa.array(side)], ["plot", "leaf", "leaf2", "key", "side"])
+
+    def pair(parts):
+        """Links between the sets of two leaves, or within one."""
+        import pyarrow as pa
+
+        sides = ({}, {})
+        for k, side, raw in zip(parts["key"].to_pylist(), parts["side"].to_pylist(), parts["set"].to_pylist()):
+            sides[side][k] = np.frombuffer(raw, np.uint64)
+        (k1, s1), (k2, s2) = ((np.array(sorted(x), np.int64), [x[k] for k in sorted(x)]) for x in sides)
+        return pa.Table.from_batches([_links(verify(rule, k1, s1, (k2, s2) if len(k2) else None))])
 
     found = sets.where("leaf < 0").select("key", "plot", "leaf", "set").groupBy("leaf").applyInArrow(small, "a long, b long")
     if not members.where("leaf >= 0").isEmpty():
-        leaves = common.cut(sets.where("leaf >= 0").groupBy("plot", "leaf").applyInArrow(leaf, "plot long, leaf long, low long, high long, box array<int>, keys binary, sizes binary, sets binary"))
+        own = common.cut(sets.where("leaf >= 0"))
+        by_leaf = own.select("plot", "leaf", "key", F.expr("octet_length(set) div 8").alias("n"), "point").groupBy("plot", "leaf")
+        leaves = common.cut(by_leaf.applyInArrow(leaf, "plot long, leaf long, low long, high long, box array<int>, keys binary, sizes binary, points binary"))
         x, y = leaves.select("plot", "leaf", "low", "high", "box"), leaves.select("plot", F.col("leaf").alias("leaf2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("box").alias("box2"))
         bound = F.aggregate(F.zip_with("box", "box2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
         least = F.ceil(rule.num * (F.col("low") + F.col("low2")) / (rule.num + rule.den))
         near = (F.col("high") * rule.den >= F.col("low2") * rule.num) & (F.col("high2") * rule.den >= F.col("low") * rule.num)
         joined = x.join(y, "plot").where((F.col("leaf") <= F.col("leaf2")) & near & (bound >= least)).select("plot", "leaf", "leaf2")
-        body = leaves.select("plot", "leaf", "keys", "sizes", "sets")
-        second = body.select("plot", F.col("leaf").alias("leaf2"), *[F.col(c).alias(f"{c}2") for c in ("keys", "sizes", "sets")])
-        both = joined.join(body, ["plot", "leaf"]).join(second, ["plot", "leaf2"]).withColumn("same", F.col("leaf") == F.col("leaf2"))
-        found = found.unionByName(both.repartition(common.parallelism(docs), "plot", "leaf", "leaf2").mapInArrow(pairs, "a long, b long"))
+        body = leaves.select("plot", "leaf", "keys", "sizes", "points")
+        second = body.select("plot", F.col("leaf").alias("leaf2"), *[F.col(c).alias(f"{c}2") for c in ("keys", "sizes", "points")])
+        both = joined.repartition(common.parallelism(docs), "plot", "leaf", "leaf2").join(body, ["plot", "leaf"]).join(second, ["plot", "leaf2"])
+        met = common.cut(both.mapInArrow(meet, "plot long, leaf long, leaf2 long, key long, side int"))
+        texts = own.select("plot", "key", "set").join(met, ["plot", "key"]).select("plot", "leaf", "leaf2", "key", "side", "set")
+        found = found.unionByName(texts.groupBy("plot", "leaf", "leaf2").applyInArrow(pair, "a long, b long"))
     return found
 
 
