@@ -7,8 +7,10 @@ its nearest neighbours from other documents, and a match is extended right, then
 
 The sort key ends with the document and the position, so a passage that most documents share is spread over partitions; neighbours
 across a partition's end are compared in a second step over the partitions' edges. A context of ``least`` - k words on each side travels with a
-suffix, longer passages are covered by several suffixes. As neighbours are those with the longest common right side, a passage whose
-only suffix has closer neighbours on the right that fail on the left can be missed.
+suffix, longer passages are covered by several suffixes. Neighbours are those with the longest common right side, so rows that differ on
+the left may sort between equal passages. What neighbours leave uncovered is therefore grouped by hashes of the windows of ``least`` words
+around each suffix: inside a batch where all rows of the key are in it, else by Spark. A window shared with the row before is left to that
+row, which holds it too.
 
 Words are lower-cased (A-Z). Null, empty and short texts have no passages. Rows with one id are one document: they do not match each other.
 An empty table gives an empty result.
@@ -127,7 +129,10 @@ def _common(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _compare(rows: dict, done_from: int, done_to: int, least: int, k: int):
-    """Matches of rows done_from..done_to with the nearest rows of other documents before and behind, within their key."""
+    """Matches of rows done_from..done_to with the nearest rows of other documents before and behind, within their key.
+
+    Also, for each of these rows, the common words right and left before, right and left behind (-1 without such a row), and the document behind.
+    """
     side = least - k
     key, doc, pos = rows["key"], rows["doc"], rows["pos"]
     n = len(key)
@@ -137,9 +142,10 @@ def _compare(rows: dict, done_from: int, done_to: int, least: int, k: int):
     behind = np.r_[heads[1:], n][run]
     i = np.arange(done_from, done_to)
     out = []
+    cover, partner = np.full((done_to - done_from, 4), -1, np.int64), doc[done_from:done_to].copy()
     right, nr = _matrix(rows["right"], side)
     left, nl = _matrix(rows["left"], side)
-    for other in (before, behind):
+    for c, other in ((0, before), (2, behind)):
         a = i[(other[i] >= 0) & (other[i] < n)]
         a = a[key[a] == key[other[a]]]
         if not len(a):
@@ -148,7 +154,65 @@ def _compare(rows: dict, done_from: int, done_to: int, least: int, k: int):
         r, lf = _common(right, nr, a, b), _common(left, nl, a, b)
         ok = r + lf + k >= least
         out.append(np.stack([doc[a], pos[a] - lf, pos[a] + k + r, doc[b]], 1)[ok])
-    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        cover[a - done_from, c], cover[a - done_from, c + 1] = r, lf
+        partner[a - done_from] = doc[b]
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64), cover, partner
+
+
+def _windows(rows: dict, cover: np.ndarray, partner: np.ndarray, least: int, k: int) -> dict:
+    """Windows of ``least`` words around suffixes that the row before does not share: key, hash, row, start, lowest and highest document known to hold it, and whether none but its own is known."""
+    side = least - k
+    (right, nr), (left, nl) = _matrix(rows["right"], side), _matrix(rows["left"], side)
+
+    def prefixes(m):
+        h = np.zeros((len(m), side + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(side):
+                h[:, i + 1] = common.mix(h[:, i] * np.uint64(0x9E3779B97F4A7C15) + m[:, i] + np.uint64(1))
+        return h
+
+    o = np.arange(side + 1)
+    rb, lb, rn, ln = (cover[:, c, None] for c in range(4))
+    valid = (o <= nl[:, None]) & (side - o <= nr[:, None]) & ~((o <= lb) & (side - o <= rb))
+    at, off = np.nonzero(valid)
+    known = ((o <= ln) & (side - o <= rn))[at, off]
+    with np.errstate(over="ignore"):
+        w = common.mix(prefixes(left)[at, off] * np.uint64(0xC2B2AE3D27D4EB4F) + prefixes(right)[at, side - off] + off.astype(np.uint64)).view(np.int64)
+    doc = rows["doc"][at]
+    other = np.where(known, partner[at], doc)
+    return {"key": rows["key"][at], "w": w, "row": at, "doc": doc, "pos": rows["pos"][at], "start": rows["pos"][at] - off, "lo": np.minimum(doc, other), "hi": np.maximum(doc, other), "need": ~known}
+
+
+def _meet(rows: dict, cover: np.ndarray, partner: np.ndarray, least: int, k: int) -> np.ndarray:
+    """Matches of windows that neighbours leave uncovered, one a suffix and other document; rows hold all suffixes of their keys."""
+    x = _windows(rows, cover, partner, least, k)
+    if not x["need"].any():
+        return np.zeros((0, 4), np.int64)
+    order = np.lexsort((x["w"], x["key"]))
+    key, w = x["key"][order], x["w"][order]
+    heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (w[1:] != w[:-1])])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
+    lo, hi = np.minimum.reduceat(x["lo"][order], heads)[group], np.maximum.reduceat(x["hi"][order], heads)[group]
+    hit = np.flatnonzero(x["need"] & (lo != hi))
+    doc, start, row = x["doc"][hit], x["start"][hit], x["row"][hit]
+    other = np.where(lo[hit] != doc, lo[hit], hi[hit])
+    order = np.lexsort((start, other, row))
+    doc, start, row, other = doc[order], start[order], row[order], other[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])]) if len(hit) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(hit)] - 1 if len(hit) else first
+    return np.stack([doc[first], start[first], start[last] + least, other[first]], 1)
+
+
+def _whole(rows: dict, done_from: int, done_to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows done_from..done_to, those of keys that surely begin and end there and have three rows or more, and those of keys that may not."""
+    key = rows["key"]
+    n = len(key)
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[heads[1:], n]
+    inside = (heads >= max(1, done_from)) & (ends <= done_to) & (ends < n)
+    g = np.searchsorted(heads, np.arange(done_from, done_to), side="right") - 1
+    return inside[g] & (ends - heads >= 3)[g], ~inside[g]
 
 
 def _stack(parts: list) -> dict:
@@ -159,6 +223,10 @@ def _cut(rows: dict, a: int, b: int) -> dict:
     return {c: v[a:b] for c, v in rows.items()}
 
 
+def _take(rows: dict, at: np.ndarray) -> dict:
+    return {c: [v[i] for i in at.tolist()] if isinstance(v, list) else v[at] for c, v in rows.items()}
+
+
 def _load(b) -> dict:
     return {"key": b["key"].to_numpy(), "doc": b["doc"].to_numpy(), "pos": b["pos"].to_numpy().astype(np.int64), "right": b["right"].to_pylist(), "left": b["left"].to_pylist()}
 
@@ -170,6 +238,7 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
     """(doc, start, end, other) from neighbours in a sorted table of suffixes."""
 
     def pack(found, edge):
+        """Matches, and suffixes for a later step; an ``end`` of theirs tells what neighbours cover, for windows(), and ``other`` the document behind."""
         import pyarrow as pa
 
         m = [pa.array(found[:, c].astype(np.int64) if len(found) else [], pa.int64()) for c in range(4)]
@@ -179,8 +248,8 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
         arrays = [
             pa.concat_arrays([m[0], pa.array(edge["doc"], pa.int64()) if e else none(pa.int64())]),
             pa.concat_arrays([m[1].cast(pa.int32()), pa.array(edge["pos"], pa.int64()).cast(pa.int32()) if e else none(pa.int32())]),
-            pa.concat_arrays([m[2].cast(pa.int32()), none(pa.int32())]),
-            pa.concat_arrays([m[3], none(pa.int64())]),
+            pa.concat_arrays([m[2].cast(pa.int32()), pa.array(edge["cover"], pa.int64()).cast(pa.int32()) if e and "cover" in edge else none(pa.int32())]),
+            pa.concat_arrays([m[3], pa.array(edge["partner"], pa.int64()) if e and "cover" in edge else none(pa.int64())]),
             pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(edge["key"], pa.int64()) if e else none(pa.int64())]),
             pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(edge["right"], pa.binary()) if e else none(pa.binary())]),
             pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(edge["left"], pa.binary()) if e else none(pa.binary())]),
@@ -192,6 +261,24 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
         change = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["doc"][1:] != rows["doc"][:-1])) + 1
         return (int(change[0]), int(change[-1])) if len(change) else (len(rows["key"]), 0)
 
+    def work(rows, a, b):
+        """Matches of rows a..b, those of windows where a key is whole, and rows of other keys."""
+        found, cover, partner = _compare(rows, a, b, least, k)
+        whole, open_ = _whole(rows, a, b)
+        at, rest = np.flatnonzero(whole), np.flatnonzero(open_)
+        parts = [found]
+        keys = rows["key"][a:b][at]
+        i = 0
+        while i < len(at):  # about 5,000 rows at a time, whole keys
+            j = int(np.searchsorted(keys, keys[min(i + 5000, len(at)) - 1], side="right"))
+            parts.append(_meet(_take(rows, at[i:j] + a), cover[at[i:j]], partner[at[i:j]], least, k))
+            i = j
+        size = lambda c: np.fromiter((len(rows[c][i]) // 4 for i in (rest + a).tolist()), np.int64, len(rest))
+        nr, nl = size("right"), size("left")
+        rest = rest[(nr + nl + k >= least) & ((cover[rest, 0] < nr) | (cover[rest, 1] < nl))]  # those with a window that the row before does not share
+        later = _take(rows, rest + a) | {"cover": ((cover[rest] + 1) << np.array([0, 8, 16, 24])).sum(1), "partner": partner[rest]}
+        return np.concatenate(parts), later
+
     def run(batches):
         held, from_, first = None, 0, True
         for b in batches:
@@ -202,13 +289,16 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
             if tail <= from_:  # still one run
                 held = rows
                 continue
-            found = _compare(rows, from_, tail, least, k)
+            found, later = work(rows, from_, tail)
             yield pack(found, _cut(rows, 0, head) if first else None)
+            yield pack(found[:0], later)
             first = False
             # the last run waits for what follows; the row before it is its neighbour
             held, from_ = _cut(rows, max(0, tail - 1), len(rows["key"])), 1 if tail else 0
         if held is not None:
-            yield pack(_compare(held, from_, len(held["key"]), least, k), _cut(held, from_, len(held["key"])))
+            found, later = work(held, from_, len(held["key"]))
+            yield pack(found, _cut(held, from_, len(held["key"])))
+            yield pack(found[:0], later)
 
     both = common.cut(sorted_suffixes.mapInArrow(run, f"{MATCH}, key long, right binary, left binary"))
 
@@ -218,11 +308,25 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
 
         t = parts.sort_by([("right", "ascending"), ("left", "ascending"), ("doc", "ascending"), ("start", "ascending")])
         rows = _load(t.rename_columns(["pos" if c == "start" else c for c in t.column_names]).combine_chunks())
-        found = _compare(rows, 0, len(rows["key"]), least, k)
+        found = _compare(rows, 0, len(rows["key"]), least, k)[0]
         return pa.table({c: pa.array(found[:, i], pa.int64()).cast(t_) for i, (c, t_) in enumerate((("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())))})
 
+    def windows(batches):
+        import pyarrow as pa
+
+        for b in common.small(batches, 5000):
+            rows = _load(b.rename_columns(["pos" if c == "start" else c for c in b.schema.names]))
+            cover = (b["end"].to_numpy().astype(np.int64)[:, None] >> np.array([0, 8, 16, 24]) & 255) - 1
+            x = _windows(rows, cover, b["other"].to_numpy(), least, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c], pa.int64()) for c in ("key", "w", "doc", "pos", "start", "lo", "hi")] + [pa.array(x["need"])], ["key", "w", "doc", "pos", "start", "lo", "hi", "need"])
+
     inner = both.where("key IS NULL").select("doc", "start", "end", "other")
-    return inner.unionByName(both.where("key IS NOT NULL").select("key", "right", "left", "doc", "start").groupBy("key").applyInArrow(edges, MATCH))
+    edge = both.where("key IS NOT NULL AND end IS NULL").select("key", "right", "left", "doc", "start").groupBy("key").applyInArrow(edges, MATCH)
+    around = both.where("key IS NOT NULL AND end IS NOT NULL").mapInArrow(windows, "key long, w long, doc long, pos long, start long, lo long, hi long, need boolean")
+    shared = around.groupBy("key", "w").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low <> high")
+    met = around.where("need").select("key", "w", "doc", "pos", "start").join(shared, ["key", "w"]).withColumn("other", F.when(F.col("low") != F.col("doc"), F.col("low")).otherwise(F.col("high")))
+    met = met.groupBy("doc", "pos", "other").agg(F.min("start").cast("int").alias("start"), (F.max("start") + least).cast("int").alias("end")).select("doc", "start", "end", "other")
+    return inner.unionByName(edge).unionByName(met)
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, k: int = K) -> DataFrame:

@@ -217,6 +217,24 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_suffix_dedup_of_a_frequent_line(spark, empty, batch):
+    """Passages end in a line of all documents that every window selects; what follows differs, so other documents sort between the partners."""
+    rng = random.Random(8)
+    line = min((prose(rng, 10) for _ in range(3000)), key=lambda t: int(suffix_dedup.kgrams(next(suffix_dedup._per_text([t.encode()])))[0]))
+    before = [prose(rng, 40) for _ in range(30)]
+    texts = [f"{prose(rng, 20)} {before[i % 30]} {line} {prose(rng, 60)}" for i in range(60)]
+    texts += [f"{prose(rng, 60)} {line} {prose(rng, 60)}" for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = {(r.doc_id, r.start_word, r.end_word, r.other_id) for r in suffix_dedup.passages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert found == {(i, 20, 70, (i + 30) % 60) for i in range(60)}
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>\r\n\r\nWARC/1.0\r\n</p>", None, "", "é" * 1000, "same", "same", "same"]
     pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)] + [(5, "http://y", "same"), (None, None, "alone")], "page_id long, url string, html string")
