@@ -4,7 +4,8 @@ All texts walk through the same random bits: at step j the embedding holds the c
 next one when the bit of (character, j) is set. Few edits change few steps, so edit distance turns into Hamming distance. The
 fingerprint keeps one hex digit (four hashed bits) at fixed random steps, 64 of the first 64 and 128 of every further octave, as
 far as the walk goes; it covers the whole text and grows with the logarithm of its length. Likeness is the share of
-agreeing digits, each weighted by the steps it stands for, corrected for chance agreement.
+agreeing digits, each weighted by the steps it stands for, corrected for chance agreement. The query stops at the embedding;
+banding and verification are near(), for callers that look for near copies.
 
 Null counts as empty. An empty text has an empty fingerprint, like only to another empty one. Equal texts have equal
 fingerprints. Of documents with one id the order is that of their texts; a null id comes last. An empty table gives an empty result.
@@ -184,22 +185,29 @@ def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return out.withColumnRenamed("id", id)
 
 
-def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 16, digits: int = 12) -> DataFrame:
+def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 32, digits: int = 8) -> DataFrame:
     """(id, near_id, likeness): documents that share a band of sampled digits with an earlier id and whose fingerprints are alike.
 
     A band samples digits of the octaves that a text fills, and of one octave fewer, so lengths may differ by a factor of two.
-    Every member of a band is verified against the band's least id, so a band of any size gives one pair a member.
+    Equal fingerprints stand for each other: each is paired with the least id that has it, and only that one goes on to bands. There all
+    pairs of a band are verified, so the work grows with the square of the different fingerprints in a band.
     """
     kind = df.schema[id].dataType.simpleString()
 
-    def run(batches):
+    def prints(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), ["" if t is None else t for t in b.column(1).to_pylist()]
+            ids, texts = b.column(0), ["" if t is None else t for t in b.column(1).to_pylist()]
             for i, j in common.chunks(texts, 4_000_000):
-                rows = [(d, f, k) for d, f in zip(ids[i:j], fingerprints(texts[i:j])) for k in band_keys(f, bands, digits)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], [id, "fingerprint", "band"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(fingerprints(texts[i:j]), pa.string())], [id, "fingerprint"])
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for b in common.small(batches):
+            rows = [(d, k) for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in band_keys(f, bands, digits)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string())], ["one", "band"])
 
     @F.pandas_udf("double")
     def alike(a, b):
@@ -207,13 +215,18 @@ def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0
 
         return pd.Series([likeness(x, y) for x, y in zip(a, b)])
 
-    keyed = df.select(id, text).mapInArrow(run, f"{id} {kind}, fingerprint string, band string")
-    first = keyed.groupBy("band").agg(F.min(F.struct(id, "fingerprint")).alias("f")).select("band", F.col(f"f.{id}").alias("near_id"), F.col("f.fingerprint").alias("other"))
-    pairs = keyed.join(first, "band").where(F.col(id) > F.col("near_id")).select(id, "near_id", "fingerprint", "other").distinct()
-    return pairs.withColumn("likeness", alike("fingerprint", "other")).where(F.col("likeness") >= least).select(id, "near_id", "likeness")
+    all_ = common.cut(df.where(F.col(id).isNotNull()).select(id, text).mapInArrow(prints, f"{id} {kind}, fingerprint string"))
+    firsts = all_.groupBy("fingerprint").agg(F.min(id).alias("near_id"))
+    equal = all_.join(firsts, "fingerprint").where(F.col(id) > F.col("near_id")).select(id, "near_id", F.lit(1.0).alias("likeness")).distinct()
+    keyed = common.cut(firsts.select("near_id", "fingerprint").mapInArrow(keys, f"one {kind}, band string"))
+    pairs = keyed.join(keyed.withColumnRenamed("one", "two"), "band").where("one > two").select("one", "two").distinct()
+    pairs = pairs.join(firsts.select(F.col("near_id").alias("one"), F.col("fingerprint").alias("a")), "one").join(firsts.select(F.col("near_id").alias("two"), F.col("fingerprint").alias("b")), "two")
+    found = pairs.select(F.col("one").alias(id), F.col("two").alias("near_id"), alike("a", "b").alias("likeness")).where(F.col("likeness") >= least)
+    return equal.unionByName(found).groupBy(id, "near_id").agg(F.max("likeness").alias("likeness"))  # an id may have several texts
 
 
 def band_keys(f: str, bands: int, digits: int) -> list[str]:
+    """Digits are drawn by the steps they stand for, so that a digit agrees as often as the likeness counts it."""
     full = [0, *np.cumsum([BASE, *[min(1 << k, PER_OCTAVE) for k in range(6, 6 + OCTAVES)]]).tolist()]
     tops = [e for e in full if e <= len(f)][-2:]
     out = []
@@ -221,8 +234,10 @@ def band_keys(f: str, bands: int, digits: int) -> list[str]:
         if not top:
             out.append(f"0:{f}")
             continue
+        reach = np.cumsum(_tables()["weights"][:top])
         for k in range(bands):
-            at = common.mix(np.arange(digits, dtype=np.uint64) + np.uint64(k * 1000 + 7)) % np.uint64(top)
+            u = common.mix(np.arange(digits, dtype=np.uint64) + np.uint64(k * 1000 + 7)) % np.uint64(int(reach[-1]))
+            at = np.searchsorted(reach, u.astype(np.float64), side="right")
             out.append(f"{top}:{k}:" + "".join(f[i] for i in at.tolist()))
     return out
 

@@ -198,6 +198,27 @@ def test_fingerprints(docs, empty):
     assert (6, 5) in {(r.doc_id, r.near_id) for r in fingerprint.near(df).collect()}
 
 
+def test_near_fingerprints(spark):
+    """Near copies below an unlike text with the same header, and the recall of the bands near the bound."""
+    rng = random.Random(9)
+    header, rows = prose(rng, 200), []
+    for i in range(40):
+        body = prose(rng, 60)
+        rows += [(1000 + 2 * i, f"{header} {body}"), (1001 + 2 * i, f"{header} {body[:-4]}")]
+    for i in range(60):
+        words = prose(rng, 150).split()
+        rows.append((2 * i + 2000, " ".join(words)))
+        for at in rng.sample(range(150), rng.randint(1, 3)):
+            words[at] = "changed"
+        rows.append((2 * i + 2001, " ".join(words)))
+    prints = fingerprint.fingerprints([t for _, t in rows])
+    least = {f: i for (i, _), f in reversed(list(zip(rows, prints)))}
+    ones = [(i, f) for f, i in least.items()]
+    alike = {(i, least[f]) for (i, _), f in zip(rows, prints) if i != least[f]} | {(j, i) for i, f in ones for j, g in ones if j > i and fingerprint.likeness(f, g) >= 0.8}
+    found = {(r.doc_id, r.near_id) for r in fingerprint.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= alike and len(found) >= 0.99 * len(alike)
+
+
 def test_suffix_dedup(docs, empty):
     rows = [(r[0], lower_az(r[1] or "").encode().split()) for r in corpus() if r[0] is not None]
     windows = defaultdict(set)
