@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..model import Entity, Pattern, Query, Var, Vocabulary, rewrite
 
 DOC = ["document_collection", "document_id"]
-LATEST = 1_500_000
 
 
 def facts(predications: DataFrame) -> DataFrame:
@@ -56,11 +55,11 @@ def bindings(matched: DataFrame, p: Pattern) -> dict[str, DataFrame]:
     return {n: reduce(DataFrame.unionByName, [matched.select(*DOC, F.col(f"{s}_id").alias(f"{n}_id"), F.col(f"{s}_type").alias(f"{n}_type")) for s in own]).distinct() for n, own in sides.items()}
 
 
-def match(facts_: DataFrame, query: Query, vocabulary: Vocabulary, min_shared: int = 2, latest: int | None = LATEST, term_index: DataFrame | None = None, tag_index: DataFrame | None = None, joint: bool = False) -> DataFrame:
+def match(facts_: DataFrame, query: Query, vocabulary: Vocabulary, min_shared: int = 2, latest: int | None = None, term_index: DataFrame | None = None, tag_index: DataFrame | None = None, joint: bool = False) -> DataFrame:
     """(document_collection, document_id, <variable>_id, <variable>_type ...): documents that match all patterns, once for each combination of bindings.
 
     A variable of several patterns keeps an entity of a collection only if ``min_shared`` documents share it, pattern by pattern. Variables of one
-    pattern combine freely in a document unless ``joint``. With variables only the latest documents of a collection are kept.
+    pattern combine freely in a document unless ``joint``. With variables, ``latest`` keeps that many of the latest documents of a collection.
     """
     planned = rewrite(query, vocabulary)
     names = query.variables()

@@ -27,6 +27,15 @@ def test_index_and_delta_agree(spark):
     assert sorted(map(tuple, full.select(*merged.columns).collect()), key=repr) == sorted(map(tuple, merged.collect()), key=repr)
 
 
+def test_variables_keep_all_documents(spark):
+    """However many documents of a collection match; a number is for callers that ask for the latest."""
+    n = 1_600_000
+    rows = spark.range(n).selectExpr("id AS document_id", "'T' AS document_collection", "'A' AS subject_id", "'AT' AS subject_type", "'r' AS relation", "'B' AS object_id", "'BT' AS object_type")
+    q = Query((Pattern((Var("S", None),), "r", (Entity("B", "BT"),)),))
+    assert matching.match(rows, q, Vocabulary()).count() == n
+    assert matching.match(rows.where("document_id < 50"), q, Vocabulary(), latest=20).agg({"document_id": "min"}).first()[0] == 30
+
+
 def titles(spark):
     rows = ["This is a Test", "hello test", "A test and more", "no such thing e", "test"]
     return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, title string")
