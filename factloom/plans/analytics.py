@@ -131,6 +131,7 @@ QUERIES = {
     "statement_confidence": lambda s, d: _r(scoring.confidences(star.predication(s, d), ["interacts"]), "confidence"),
     "document_graph": lambda s, d: _r(scoring.document_graph(_edges(s, d)), "score"),
     "concept_core": lambda s, d: _r(_one(s, d, scoring.concept_core(_concepts(s, d))).select("document_id", "ent_id", "score"), "score"),
+    "concept_core_all": lambda s, d: _r(scoring.concept_core(_concepts(s, d)).select(*DOC, "ent_id", "score"), "score"),
     "statement_core": lambda s, d: scoring.statement_core(_edges(s, d).withColumn("score", F.round("score", 9))).select(*DOC, "a", "b", "relation", "score"),
     "first_stage": first_stage,
     "dynamic_cutoff": dynamic_cutoff,
@@ -198,6 +199,7 @@ ORACLE = {
     "statement_confidence": star.sql(f"SELECT {_C}, subject_id, subject_type, relation, object_id, object_type, round(max(CAST(confidence AS DOUBLE)), 6) AS confidence FROM (SELECT * FROM fx_predication WHERE relation IS NOT NULL UNION ALL SELECT document_id, document_collection, object_id, object_type, relation, subject_id, subject_type, confidence, sentence_no FROM fx_predication WHERE relation = 'interacts') GROUP BY ALL"),
     "document_graph": _q(f"SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, array_to_string(list_sort(list(DISTINCT relation)), '|') AS label, round(max(score), 6) AS score FROM edg GROUP BY ALL".replace("GROUP BY ALL", f"GROUP BY {_C}, least(subject_id, object_id), greatest(subject_id, object_id)"), *_ALL, "edg"),
     "concept_core": _q(f"SELECT document_id, ent_id, round(coverage * tf * idf, 6) AS score FROM con SEMI JOIN tgt USING ({_C}) WHERE coverage * tf * idf > 0", *_ALL, "tgt"),
+    "concept_core_all": _q(f"SELECT {_C}, ent_id, round(coverage * tf * idf, 6) AS score FROM con WHERE coverage * tf * idf > 0 AND support <= {scoring.MAX_SUPPORT}", *_ALL),
     "statement_core": _q(f"SELECT {_C}, a, b, relation, round(score, 9) AS score FROM core", *_ALL, "edg", "core").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
     "first_stage": _q(f"SELECT {_C}, score FROM fst", *_ALL, "tgt", "fst"),
     "dynamic_cutoff": _q(f"SELECT {_C}, score, rank FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER () AS tie, min(score) OVER () AS low FROM (SELECT *, row_number() OVER (ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank FROM fst)) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie))", *_ALL, "tgt", "fst"),
