@@ -34,13 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder, which driver and executors share; one of our own only in local mode where none is set, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in the shared storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the session's shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
@@ -110,6 +119,13 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashes, starts - firsts[owner], ends - firsts[owner], owner
 
 
+def release() -> None:
+    """Give Arrow's unused memory back at the end of a task; the worker lives on for other stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(values: list, limit: int = 300_000):
     """Slices of a list of byte strings that hold about limit bytes each; a longer text stands alone."""
     at, size = 0, 0

@@ -2,12 +2,16 @@
 
 Every capture is three WARC/1.0 records: the response (or a revisit of an earlier payload), its request and its metadata; the
 last two name the first in WARC-Concurrent-To. Archives are gzip text files whose row end is the record end CR LF CR LF, so
-Spark's text writer makes them in any store. They are read back as binary files; records are cut by Content-Length, never by
-searching for separators, so payloads may hold any text. ``assemble`` joins the records again, one nested row a capture.
+Spark's text writer makes them in any store, and its text reader streams them: a task holds one record, not one archive. Records are cut by
+Content-Length, never by searching for separators, so payloads may hold any bytes. ``assemble`` joins the records again, one nested row a capture.
 
 Of equal payloads of ``min_bytes`` at least, the capture with the largest id is the response; the rest are revisits that refer
 to it. Smaller payloads are always responses. A null payload counts as empty, a null id or url is kept as null; of rows with
-one id and one payload, one can be the response and the others revisit it. An empty table gives an empty result.
+one id and one payload, one can be the response and the others revisit it. An empty table gives an empty result; other columns are not read.
+
+Reading fails (ValueError, or the decompressor's error) where an archive is cut off, a record does not end where its Content-Length says, or a payload
+has another SHA-1 than its header says. A block without an HTTP head is a payload as a whole. Header names are read in any case, with or without a
+space after the colon.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,56 +86,107 @@ def write(pages: DataFrame, path: str, **options) -> None:
     c.select(F.concat_ws(END, main, request, metadata).alias("value")).write.option("compression", "gzip").option("lineSep", END).text(path)
 
 
-def parse(data: bytes, keep_payload: bool = True):
-    """Records of one archive, gzip or plain, as dictionaries. Broken archives raise ValueError."""
+_END = END.encode()
+
+
+def fragments(data: bytes):
+    """Pieces of one archive's bytes, gzip or plain, between record ends."""
     if data[:2] == b"\x1f\x8b":
         parts, rest = [], data
         while rest:
             d = zlib.decompressobj(31)
             parts.append(d.decompress(rest))
-            rest = d.unused_data
+            if not d.eof:
+                raise ValueError("a gzip archive is cut off")
+            rest = d.unused_data.lstrip(b"\0")
         data = b"".join(parts)
-    at, n = 0, len(data)
-    while at < n:
-        head_end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head_end].split(b"\r\n")
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        h = {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in lines)}
-        start = head_end + 4
-        block = data[start : start + int(h["content-length"])]
-        at = start + len(block) + 4
-        r = {"record_id": h.get("warc-record-id"), "type": h.get("warc-type"), "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "digest": h.get("warc-payload-digest"), "fields": None, "payload": None, "payload_bytes": None, "payload_digest": None}
-        if r["type"] == "metadata":
-            r["fields"] = {k.decode(): v.decode() for k, _, v in (x.partition(b": ") for x in block.split(b"\r\n") if x)}
-        elif r["type"] in ("response", "request"):
-            body = block[block.index(b"\r\n\r\n") + 4 :]
-            r |= {"payload": body if keep_payload else None, "payload_bytes": len(body), "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode()}
-        yield r
+    if not data:
+        return
+    if not data.endswith(_END):
+        raise ValueError("an archive is cut off")
+    at = 0
+    while at < len(data):
+        e = data.index(_END, at)
+        yield data[at:e]
+        at = e + 4
+
+
+def cut_records(pieces):
+    """(head, block) of the records of one archive, from its bytes in pieces between record ends (which blocks may hold, too). Holds one record at a time."""
+    pieces = iter(pieces)
+    for head in pieces:
+        while head is not None and head.strip(b"\r\n"):
+            version, *lines = head.split(b"\r\n")
+            if not version.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record begins with {version[:40]!r}")
+            h = {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in lines)}
+            if not h.get("content-length", "").isdigit():
+                raise ValueError(f"record {h.get('warc-record-id')} has no Content-Length")
+            need, held, size = int(h["content-length"]), [], -4
+            while size < need or need < size < need + 4:  # up to the block's end, or beyond a record end that begins inside a piece
+                piece = next(pieces, None)
+                if piece is None:
+                    break
+                held.append(piece)
+                size += len(piece) + 4
+            whole = _END.join(held)
+            if len(whole) < need or not held or len(whole) > need and whole[need : need + 4] != _END:
+                raise ValueError(f"record {h.get('warc-record-id')} does not end where its Content-Length says")
+            yield h, whole[:need]
+            head = whole[need + 4 :] or None  # the next head, if the record end was not between pieces
+
+
+def record(h: dict, block: bytes, keep_payload: bool = True) -> dict:
+    r = {"record_id": h.get("warc-record-id"), "type": h.get("warc-type"), "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"), "uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "digest": h.get("warc-payload-digest"), "fields": None, "payload": None, "payload_bytes": None, "payload_digest": None}
+    if r["type"] == "metadata":
+        r["fields"] = {k.decode("utf-8", "replace").strip(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in block.split(b"\r\n") if x)}
+    elif r["type"] in ("response", "request", "resource"):
+        http = h.get("content-type", "application/http").startswith("application/http")
+        end = block.find(_END) if http else -1
+        body = block[end + 4 :] if end >= 0 else block
+        own = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        named = (r["digest"] or "").partition("sha1:")[2]
+        if len(named) == 32 and named.upper() != own:
+            raise ValueError(f"the payload of {r['record_id']} has another digest than its header says")
+        r |= {"payload": body if keep_payload else None, "payload_bytes": len(body), "payload_digest": own}
+    return r
+
+
+def parse(data: bytes, keep_payload: bool = True):
+    """Records of one archive in memory as dictionaries."""
+    return (record(h, block, keep_payload) for h, block in cut_records(fragments(data)))
 
 
 def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """Records of the archives under path."""
+    """Records of the archives under path, streamed. Archives are gzip files (.gz), or plain ones of at most ``spark.sql.files.maxPartitionBytes``, which Spark does not split."""
     names = [x.split()[0] for x in RECORD.replace("map<string,string>", "map").split(", ")]
 
     def records(batches):
         import pyarrow as pa
 
-        kinds = {"fields": pa.map_(pa.string(), pa.string()), "payload": pa.binary(), "payload_bytes": pa.int64()}
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([list(x[k].items()) if k == "fields" and x[k] is not None else x[k] for x in rows], kinds.get(k, pa.string())) for k in names], names)
-        for b in batches:
-            for content in b["content"]:
-                rows, size = [], 0
-                for r in parse(content.as_py(), keep_payload):
-                    rows.append(r)
-                    size += len(r["payload"] or b"")
-                    if size > 8 << 20 or len(rows) >= 5000:
-                        yield pack(rows)
-                        rows, size = [], 0
-                if rows:
+        arrow = {"fields": pa.map_(pa.string(), pa.string()), "payload": pa.binary(), "payload_bytes": pa.int64()}
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([list(x[k].items()) if k == "fields" and x[k] is not None else x[k] for x in rows], arrow.get(k, pa.string())) for k in names], names)
+
+        def rows_of(b):
+            for value, file, start in zip(b["value"], b["file"].to_pylist(), b["start"].to_pylist()):
+                if start:
+                    raise ValueError(f"{file} is split: compress it, or raise spark.sql.files.maxPartitionBytes")
+                yield file, value.as_py()
+
+        flow = (x for b in batches for x in rows_of(b))
+        rows, size = [], 0
+        for _, pieces in groupby(flow, key=lambda x: x[0]):
+            for h, block in cut_records(p for _, p in pieces):
+                rows.append(record(h, block, keep_payload))
+                size += len(rows[-1]["payload"] or b"")
+                if size > 8 << 20 or len(rows) >= 5000:
                     yield pack(rows)
+                    rows, size = [], 0
+        if rows:
+            yield pack(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RECORD)
+    text = spark.read.option("lineSep", END).text(path)
+    return text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).mapInArrow(records, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -149,6 +205,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     captures = assemble(common.cut(read(spark, path, keep_payload=False)))
+    common.remove(spark, path)  # its records are kept
     fields = F.col("metadata.fields")
     return captures.select(
         F.expr("try_cast(metadata.fields['page-id'] AS bigint)").alias("page_id"),
