@@ -5,15 +5,15 @@ equal places and every repeated passage holds a retained suffix. Suffixes whose
 filter of k-grams seen twice. The rest are sorted by all of Spark's range partitions into a sparse suffix array; each is compared with
 its nearest neighbours from other documents, and a match is extended right, then left. Matches of a document that touch are merged.
 
-The sort key ends with the document and the position, so a passage that most documents share is spread over partitions; neighbours
-across a partition's end are compared in a second step over the partitions' edges. A context of ``least`` - k words on each side travels with a
-suffix, longer passages are covered by several suffixes. Neighbours are those with the longest common right side, so rows that differ on
-the left may sort between equal passages. What neighbours leave uncovered is therefore grouped by hashes of the windows of ``least`` words
-around each suffix: inside a batch where all rows of the key are in it, else by Spark. A window shared with the row before is left to that
-row, which holds it too.
-
-Words are lower-cased (A-Z). Null, empty and short texts have no passages. Rows with one id are one document: they do not match each other.
-An empty table gives an empty result.
+The sort key ends with the document and the position, so a passage that most documents share is spread over partitions. A context of ``least`` - k
+words on each side travels with a suffix, longer passages are covered by several suffixes. Neighbours are those with the longest common right side,
+so rows that differ on the left may sort between equal passages, and neighbours may stand in another partition. What neighbours leave uncovered is
+therefore grouped by hashes of the windows of ``least`` words around each suffix: inside a batch where all rows of the key are in it, else by Spark,
+which aggregates in the tasks first, so a frequent passage does not meet in one of them. A window shared with the row before is left to that row, which holds it too.
+
+Words are lower-cased (A-Z). Null, empty and short texts have no passages. Rows with one id are one document: they do not match each other; a null id
+is an id like any other here, and is returned as null. Ids may be of any simple type; those that are not whole numbers are hashed to 64 bits and looked up again.
+An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import bloom, common
@@ -237,29 +238,20 @@ MATCH = "doc long, start int, end int, other long"
 def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     """(doc, start, end, other) from neighbours in a sorted table of suffixes."""
 
-    def pack(found, edge):
-        """Matches, and suffixes for a later step; an ``end`` of theirs tells what neighbours cover, for windows(), and ``other`` the document behind."""
+    def pack(found, later):
+        """Matches, and suffixes for a later step, whose ``end`` tells what neighbours cover, for windows(), and ``other`` the document behind."""
         import pyarrow as pa
 
-        m = [pa.array(found[:, c].astype(np.int64) if len(found) else [], pa.int64()) for c in range(4)]
-        n = len(found)
-        e = len(edge["key"]) if edge else 0
-        none = lambda t: pa.nulls(e, t)
-        arrays = [
-            pa.concat_arrays([m[0], pa.array(edge["doc"], pa.int64()) if e else none(pa.int64())]),
-            pa.concat_arrays([m[1].cast(pa.int32()), pa.array(edge["pos"], pa.int64()).cast(pa.int32()) if e else none(pa.int32())]),
-            pa.concat_arrays([m[2].cast(pa.int32()), pa.array(edge["cover"], pa.int64()).cast(pa.int32()) if e and "cover" in edge else none(pa.int32())]),
-            pa.concat_arrays([m[3], pa.array(edge["partner"], pa.int64()) if e and "cover" in edge else none(pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(edge["key"], pa.int64()) if e else none(pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(edge["right"], pa.binary()) if e else none(pa.binary())]),
-            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(edge["left"], pa.binary()) if e else none(pa.binary())]),
-        ]
+        n, e = len(found), len(later["key"])
+        both = lambda m, x, t: pa.concat_arrays([pa.array(found[:, m] if n else [], pa.int64()).cast(t), pa.array(x, pa.int64()).cast(t)])
+        only = lambda x, t: pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)])
+        arrays = [both(0, later["doc"], pa.int64()), both(1, later["pos"], pa.int32()), both(2, later["cover"], pa.int32()), both(3, later["partner"], pa.int64()), only(later["key"], pa.int64()), only(later["right"], pa.binary()), only(later["left"], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["doc", "start", "end", "other", "key", "right", "left"])
 
-    def ends(rows):
-        """Rows of the first and of the last run of one document."""
+    def last_run(rows):
+        """Where the last run of one document begins."""
         change = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["doc"][1:] != rows["doc"][:-1])) + 1
-        return (int(change[0]), int(change[-1])) if len(change) else (len(rows["key"]), 0)
+        return int(change[-1]) if len(change) else 0
 
     def work(rows, a, b):
         """Matches of rows a..b, those of windows where a key is whole, and rows of other keys."""
@@ -280,37 +272,23 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
         return np.concatenate(parts), later
 
     def run(batches):
-        held, from_, first = None, 0, True
+        held, from_ = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             rows = _load(b) if held is None else _stack([held, _load(b)])
-            head, tail = ends(rows)
+            tail = last_run(rows)
             if tail <= from_:  # still one run
                 held = rows
                 continue
-            found, later = work(rows, from_, tail)
-            yield pack(found, _cut(rows, 0, head) if first else None)
-            yield pack(found[:0], later)
-            first = False
+            yield pack(*work(rows, from_, tail))
             # the last run waits for what follows; the row before it is its neighbour
-            held, from_ = _cut(rows, max(0, tail - 1), len(rows["key"])), 1 if tail else 0
+            held, from_ = _cut(rows, tail - 1, len(rows["key"])), 1
         if held is not None:
-            found, later = work(held, from_, len(held["key"]))
-            yield pack(found, _cut(held, from_, len(held["key"])))
-            yield pack(found[:0], later)
+            yield pack(*work(held, from_, len(held["key"])))
 
     both = common.cut(sorted_suffixes.mapInArrow(run, f"{MATCH}, key long, right binary, left binary"))
 
-    def edges(key, parts):
-        """Runs at partitions' ends that share a key, in order; a few for each partition at most."""
-        import pyarrow as pa
-
-        t = parts.sort_by([("right", "ascending"), ("left", "ascending"), ("doc", "ascending"), ("start", "ascending")])
-        rows = _load(t.rename_columns(["pos" if c == "start" else c for c in t.column_names]).combine_chunks())
-        found = _compare(rows, 0, len(rows["key"]), least, k)[0]
-        return pa.table({c: pa.array(found[:, i], pa.int64()).cast(t_) for i, (c, t_) in enumerate((("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())))})
-
     def windows(batches):
         import pyarrow as pa
 
@@ -321,24 +299,40 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(x[c], pa.int64()) for c in ("key", "w", "doc", "pos", "start", "lo", "hi")] + [pa.array(x["need"])], ["key", "w", "doc", "pos", "start", "lo", "hi", "need"])
 
     inner = both.where("key IS NULL").select("doc", "start", "end", "other")
-    edge = both.where("key IS NOT NULL AND end IS NULL").select("key", "right", "left", "doc", "start").groupBy("key").applyInArrow(edges, MATCH)
-    around = both.where("key IS NOT NULL AND end IS NOT NULL").mapInArrow(windows, "key long, w long, doc long, pos long, start long, lo long, hi long, need boolean")
+    around = both.where("key IS NOT NULL").mapInArrow(windows, "key long, w long, doc long, pos long, start long, lo long, hi long, need boolean")
     shared = around.groupBy("key", "w").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low <> high")
     met = around.where("need").select("key", "w", "doc", "pos", "start").join(shared, ["key", "w"]).withColumn("other", F.when(F.col("low") != F.col("doc"), F.col("low")).otherwise(F.col("high")))
     met = met.groupBy("doc", "pos", "other").agg(F.min("start").cast("int").alias("start"), (F.max("start") + least).cast("int").alias("end")).select("doc", "start", "end", "other")
-    return inner.unionByName(edge).unionByName(met)
+    return inner.unionByName(met)
+
+
+def _coded(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """((doc, text), (doc, id) if ids are hashed, the number that stands for null)."""
+    if isinstance(docs.schema[id].dataType, T.IntegralType):
+        low, high = docs.agg(F.min(id), F.max(id)).first()
+        null = -1 if low is None else low - 1 if low > -(1 << 63) else high + 1 if high < (1 << 63) - 1 else 0
+        return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(null)).alias("doc"), F.col(text).alias("text")), None, null
+    doc = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.col(id).isNull())
+    return docs.select(doc.alias("doc"), F.col(text).alias("text")), docs.select(doc.alias("doc"), F.col(id).alias("id")), 0
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, k: int = K) -> DataFrame:
     """(id, start_word, end_word, n_words, other_id, matches): each repeated passage of each document, and the least other document met."""
-    own = docs.select(F.coalesce(F.col(id), F.lit(-1)).cast("long").alias("doc"), F.col(text).alias("text"))
+    own, names, null = _coded(docs, id, text)
     ordered = suffixes(own, least, k).orderBy("key", "right", "left", "doc", "pos")
     found = matches(ordered, least, k)
     reach = F.max("end").over(Window.partitionBy("doc").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum("__new").over(Window.partitionBy("doc").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, 0))
     spans = found.distinct().withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("__i", island)
-    out = spans.groupBy("doc", "__i").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_id"), F.count("*").alias("matches"))
-    return out.select(F.when(F.col("doc") >= 0, F.col("doc")).alias(id), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.when(F.col("other_id") >= 0, F.col("other_id")).alias("other_id"), "matches")
+    out = spans.groupBy("doc", "__i").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other"), F.count("*").alias("matches"))
+    if names is None:
+        kind = docs.schema[id].dataType
+        out = out.withColumn("id", F.when(F.col("doc") != null, F.col("doc")).cast(kind)).withColumn("other_id", F.when(F.col("other") != null, F.col("other")).cast(kind))
+    else:
+        out = common.cut(out)
+        known = common.cut(names.join(out.select("doc").union(out.select("other")).distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("id").alias("id")))
+        out = out.join(known, "doc").join(known.select(F.col("doc").alias("other"), F.col("id").alias("other_id")), "other")
+    return out.select(F.col("id").alias(id), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id", "matches")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
