@@ -8,7 +8,8 @@ middles tile the text, and labels are joined over the whole text. A found span c
 test of digits or parts. Base spans always stay.
 
 Null and empty texts have no spans. Without any base span in the sample there is no tagger and only base spans are returned. An empty
-table gives an empty result; repeated rows give repeated results.
+table gives an empty result; repeated rows give repeated results. Only windows that hold a digit or an @ are decoded, so addresses spelled out in words
+are not looked for. ``digests`` adds n_spans, the number of all spans.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _sigmoid(x):
 class Tagger:
     """Two LSTMs over character classes, a linear layer and CRF transitions; float32, time first."""
 
-    def __init__(self, hidden: int = 16, seed: int = 7):
+    def __init__(self, hidden: int = 24, seed: int = 7):
         r = np.random.default_rng(seed)
         g = lambda *s: (r.standard_normal(s) * 0.2).astype(np.float32)
         self.h = hidden
@@ -136,14 +137,17 @@ class Tagger:
     def _back(self, x, d, saved, dh, grads):
         h = self.h
         dstate, dc = np.zeros_like(dh[0]), np.zeros_like(dh[0])
+        dz, before_ = np.empty((len(saved), dh.shape[1], 4 * h), dh.dtype), np.empty((len(saved), dh.shape[1], h), dh.dtype)
         for t, i, f, o, g, before, tc, prev in reversed(saved):
             total = dh[t] + dstate
             dc = dc + total * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), total * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-            np.add.at(grads["x" + d], x[t], dz)
-            grads["r" + d] += prev.T @ dz
-            dstate = dz @ self.p["r" + d].T
+            dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), total * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
+            before_[t] = prev
+            dstate = dz[t] @ self.p["r" + d].T
             dc = dc * f
+        flat = dz.reshape(-1, 4 * h)
+        grads["x" + d] += np.eye(N_CLASSES, dtype=flat.dtype)[x.ravel()].T @ flat
+        grads["r" + d] += before_.reshape(-1, h).T @ flat
 
     def emissions(self, x, keep=False):
         hf, sf = self._run(x, "f", keep)
@@ -152,26 +156,28 @@ class Tagger:
         return both @ self.p["o"] + self.p["ob"], both, sf, sb
 
     def gradients(self, x: np.ndarray, y: np.ndarray):
-        """Mean negative log likelihood and its gradients; forward-backward over the CRF."""
+        """Mean negative log likelihood and its gradients; forward-backward over the CRF, scaled at each step."""
         e, both, sf, sb = self.emissions(x, True)
         t_n, b, k = e.shape
-        lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = self.p["s"] + e[0]
-        for t in range(1, t_n):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + self.p["t"], 1) + e[t]
+        m = e.max(2, keepdims=True)
+        pe, pt = np.exp(e - m), np.exp(self.p["t"])
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((t_n, b, 1), e.dtype)
+        for t in range(t_n):
+            a = pe[t] * (np.exp(self.p["s"]) if t == 0 else alpha[t - 1] @ pt)
+            scale[t] = a.sum(1, keepdims=True)
+            alpha[t] = a / scale[t]
         for t in range(t_n - 2, -1, -1):
-            beta[t] = lse(self.p["t"] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
-        de = np.exp(alpha + beta - z[None, :, None])
+            beta[t] = (pe[t + 1] * beta[t + 1]) @ pt.T / scale[t + 1]
+        z = (np.log(scale) + m).sum((0, 2))
+        de = alpha * beta
         grads = {n: np.zeros_like(v) for n, v in self.p.items()}
-        for t in range(1, t_n):
-            pair = np.exp(alpha[t - 1][:, :, None] + self.p["t"] + (e[t] + beta[t])[:, None, :] - z[:, None, None])
-            grads["t"] += pair.sum(0)
-            np.add.at(grads["t"], (y[t - 1], y[t]), -1.0)
+        after = pe[1:] * beta[1:] / scale[1:]
+        grads["t"] += pt * (alpha[:-1].reshape(-1, k).T @ after.reshape(-1, k))
+        np.add.at(grads["t"], (y[:-1].ravel(), y[1:].ravel()), -1.0)
         rows = np.arange(b)
-        gold = self.p["s"][y[0]] + sum(e[t, rows, y[t]] for t in range(t_n)) + sum(self.p["t"][y[t - 1], y[t]] for t in range(1, t_n))
-        de[np.arange(t_n)[:, None], rows[None, :], y] -= 1
+        at = np.arange(t_n)[:, None]
+        gold = self.p["s"][y[0]] + e[at, rows, y].sum(0) + self.p["t"][y[:-1], y[1:]].sum(0)
+        de[at, rows, y] -= 1
         grads["s"] += de[0].sum(0)
         grads["o"] += both.reshape(-1, both.shape[2]).T @ de.reshape(-1, k)
         grads["ob"] += de.sum((0, 1))
@@ -180,7 +186,7 @@ class Tagger:
         self._back(x, "b", sb, dh[:, :, self.h :], grads)
         return float((z - gold).mean()), {n: g / b for n, g in grads.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 260, batch: int = 96, rate: float = 0.02, seed: int = 11) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 700, batch: int = 96, rate: float = 0.02, seed: int = 11) -> float:
         """Adam; x and y are (window, character)."""
         r, m, v, loss = np.random.default_rng(seed), {}, {}, 0.0
         for step in range(1, steps + 1):
@@ -261,8 +267,8 @@ def spans(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list]]:
     return out
 
 
-#: How spans are also written: kind, what is replaced, by what.
-SPELLINGS = [("email", "@", " @ "), ("email", ".", " . "), ("phone", "+", "00"), ("phone", "+", "("), ("card", " ", "."), ("card", "-", "/"), ("ip", ".", " . "), ("ip", ".", "-")]
+#: How spans are also written: kind, what is replaced, by what; nothing replaced: digits in groups of four.
+SPELLINGS = [("email", "@", " @ "), ("email", ".", " . "), ("phone", "+", "00"), ("phone", "+", "("), ("card", "", "."), ("card", "", "/"), ("ip", ".", " . "), ("ip", ".", "-")]
 
 
 def respell(text: str, own: list[tuple[int, int, str]], rule: tuple[str, str, str]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -272,7 +278,12 @@ def respell(text: str, own: list[tuple[int, int, str]], rule: tuple[str, str, st
     for a, b, kind in own:
         if a < at:
             continue
-        piece = text[a:b].replace(rule[1], rule[2]) if kind == rule[0] else text[a:b]
+        piece = text[a:b]
+        if kind == rule[0] and rule[1]:
+            piece = piece.replace(rule[1], rule[2])
+        elif kind == rule[0]:
+            d = "".join(map(str, _digits(piece)))
+            piece = rule[2].join(d[i : i + 4] for i in range(0, len(d), 4))
         out += [text[at:a], piece]
         size += a - at
         new.append((size, size + len(piece), kind))
@@ -360,9 +371,9 @@ def _written(found: list[tuple[int, int, str]]) -> str:
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     def row(base, every):
-        return (*[sum(s[2] == k for s in base) for k in KINDS], hashlib.sha256(_written(base).encode()).hexdigest(), _written(every))
+        return (*[sum(s[2] == k for s in base) for k in KINDS], hashlib.sha256(_written(base).encode()).hexdigest(), _written(every), len(every))
 
-    return _map(docs, id, text, tagger, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", row)
+    return _map(docs, id, text, tagger, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", row)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
