@@ -5,6 +5,8 @@ functions are composed block by block (composition is associative, so blocks are
 which gives the state after each code point, and token starts follow from neighbouring states. The pieces are those of the
 pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``. Each distinct piece is merged once and kept.
 
+A worker keeps at most twice ``kept_pieces`` pieces and drops them when its task ends.
+
 Null counts as empty: no tokens. Any Unicode text is encoded, and decoding gives back its UTF-8 bytes exactly. Texts are handled
 whole; repeated rows give repeated results; an empty table gives an empty result.
 """
@@ -66,26 +68,31 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["next"], _TABLES["classes"]
 
 
-def states(classes: np.ndarray, block: int = 512) -> np.ndarray:
-    """State after each code point, by a blocked scan over composed transition functions."""
+def states(classes: np.ndarray, block: int = 512, slab: int = 1 << 20) -> np.ndarray:
+    """State after each code point, by a blocked scan over composed transition functions; a slab at a time, so that one long text needs little more than its own length."""
     step = _tables()[0].ravel()
-    n = len(classes)
-    rows = max(1, -(-n // block))
-    padded = np.full(rows * block, _END, np.uint8)
-    padded[:n] = classes
-    at = padded.reshape(rows, block).T.astype(np.intp) * _S  # one row for each place in a block
-    whole = np.tile(np.arange(_S, dtype=np.uint8), (rows, 1))
-    for a in at:
-        whole = step[a[:, None] + whole]
-    entry, s = np.zeros(rows, np.uint8), START
-    for i, f in enumerate(whole.tolist()):
-        entry[i] = s
-        s = f[s]
-    out = np.empty((block, rows), np.uint8)
-    for j, a in enumerate(at):
-        entry = step[a + entry]
-        out[j] = entry
-    return out.T.ravel()[:n]
+    n, s = len(classes), START
+    out = np.empty(n, np.uint8)
+    for low in range(0, n, slab):
+        own = classes[low : low + slab]
+        rows = -(-len(own) // block)
+        padded = np.full(rows * block, _END, np.uint8)
+        padded[: len(own)] = own
+        at = padded.reshape(rows, block).T.astype(np.intp) * _S  # one row for each place in a block
+        whole = np.tile(np.arange(_S, dtype=np.uint8), (rows, 1))
+        for a in at:
+            whole = step[a[:, None] + whole]
+        entry = np.zeros(rows, np.uint8)
+        for i, f in enumerate(whole.tolist()):
+            entry[i] = s
+            s = f[s]
+        held = np.empty((block, rows), np.uint8)
+        for j, a in enumerate(at):
+            entry = step[a + entry]
+            held[j] = entry
+        out[low : low + len(own)] = held.T.ravel()[: len(own)]
+        s = int(out[low + len(own) - 1])
+    return out
 
 
 def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -128,71 +135,105 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 if k >= 0 and right[k] < n and (q := parts[k] + parts[right[k]]) in ranks:
                     heapq.heappush(heap, (ranks[q], k, q))
         return [ranks[p] for p, a in zip(parts, alive) if a]
-    while True:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-
-class _Pieces(dict):
-    """Piece to its entry: ids as integers and as decimal text, each id after a comma."""
+    get, none = ranks.get, 1 << 62
+    pairs = [get(parts[i] + parts[i + 1], none) for i in range(n - 1)]
+    while pairs and (r := min(pairs)) < none:
+        i = pairs.index(r)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+class _Pieces:
+    """Piece to its ids, packed. Two generations of at most ``limit`` pieces each: what is used moves to the new one, the old one goes
+    when that is full. Pieces of more than 64 bytes are not kept. So a worker holds some 30 MB at the default limit, whatever it reads.
+    """
 
     def __init__(self, ranks: dict[bytes, int], limit: int):
-        super().__init__()
-        self.ranks, self.limit, self.ids, self.text = ranks, limit, [], []
-
-    def __missing__(self, piece: str) -> int:
-        ids = merge(piece.encode(), self.ranks)
-        self[piece] = n = len(self.ids)
-        self.ids.append(ids)
-        self.text.append("".join([f",{i}" for i in ids]).encode())
-        return n
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-            self.ids, self.text = [], []
+        self.ranks, self.limit, self.new, self.old = ranks, limit, {}, {}
+
+    def pack(self, piece: bytes) -> bytes:
+        """Ids of a piece that is not in the new generation, four bytes each."""
+        found = self.old.get(piece)
+        if found is None:
+            found = np.array(merge(piece, self.ranks), "<u4").tobytes()
+            if len(piece) > 64:
+                return found
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[piece] = found
+        return found
+
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
+
+def distinct_slices(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct slice, for each slice which of them it is). Slices of up to 15 bytes are compared as two words, found by a hash of them; if two
+    different ones had one hash, or a slice is longer, each stands for itself.
+    """
+    n = end - begin
+    short = np.flatnonzero(n <= 15)
+    padded = np.r_[raw, np.zeros(16, np.uint8)].astype(np.uint64)
+    words = []
+    for low in (0, 8):
+        w = np.zeros(len(short), np.uint64)
+        for k in range(low, min(low + 8, 15)):
+            w |= np.where(n[short] > k, padded[begin[short] + k], np.uint64(0)) << np.uint64(8 * (k - low))
+        words.append(w)
+    words[1] |= n[short].astype(np.uint64) << np.uint64(56)
+    with np.errstate(over="ignore"):
+        _, first, which = np.unique(common.mix(words[0] * np.uint64(0x9E3779B97F4A7C15) + common.mix(words[1])), return_index=True, return_inverse=True)
+    if not all((w[first][which] == w).all() for w in words):
+        first = which = np.arange(len(short))
+    long = np.flatnonzero(n > 15)
+    of = np.empty(len(n), np.int64)
+    of[short], of[long] = which, len(first) + np.arange(len(long))
+    return np.r_[short[first], long], of
 
 
 class Codec:
     """Encoder and decoder over a rank file's content."""
 
-    def __init__(self, content: bytes, kept_pieces: int = 500_000):
+    def __init__(self, content: bytes, kept_pieces: int = 80_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x)}
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for k, v in self.ranks.items():
             self.token[v] = k
+        self.decimal = [str(i) for i in range(len(self.token))]
         self.pieces = _Pieces(self.ranks, kept_pieces)
 
-    def entries(self, texts: list[str]):
-        """For each text the entries of its pieces and where the pieces begin (code points)."""
+    def tokens(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Distinct pieces of the texts are looked up or merged once, all others get their ids by gathering."""
         if not texts:
-            return
-        self.pieces.trim()
+            return []
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         starts = np.flatnonzero(token_starts(points, ends))
-        a = starts.tolist()
-        get = self.pieces
-        found = [get[joined[i:j]] if j - i > 1 or joined[i] != "\0" else -1 for i, j in zip(a, [*a[1:], len(joined)])]
-        bounds = np.searchsorted(starts, ends).tolist()
-        at = first = 0
-        for b, e in zip(bounds, ends.tolist()):
-            own = found[at:b]
-            if -1 in own:  # a text may hold the joining character itself
-                own = [get["\0"] if x < 0 else x for x in own]
-            yield own, starts[at:b] - first
-            at, first = b + 1, e + 1
+        data = joined.encode()
+        at = np.r_[0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)]
+        bounds = np.searchsorted(starts, ends)  # where each text's end stands among the starts
+        own = np.ones(len(starts), bool)
+        own[bounds] = False
+        begin, end = at[starts[:-1]][own[:-1]], at[starts[1:]][own[:-1]]
+        places, of = distinct_slices(np.frombuffer(data, np.uint8), begin, end)
+        known, pack = self.pieces, self.pieces.pack
+        packed = [known.new.get(p) or pack(p) for p in (data[i:j] for i, j in zip(begin[places].tolist(), end[places].tolist()))]
+        ids, sizes = np.frombuffer(b"".join(packed), "<u4"), np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+        offsets = np.cumsum(np.r_[0, sizes])[:-1] if len(sizes) else sizes
+        counts = sizes[of]
+        upto = np.cumsum(np.r_[0, counts])
+        flat = ids[np.repeat(offsets[of] - upto[:-1], counts) + np.arange(upto[-1])]
+        cuts = upto[bounds - np.arange(len(bounds))]  # of the starts before a text's end, one a text is itself an end
+        return np.split(flat, cuts[:-1])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        ids = self.pieces.ids
-        return [[i for x in own for i in ids[x]] for own, _ in self.entries(texts)]
+        return [x.tolist() for x in self.tokens(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -239,18 +280,22 @@ def _texts(column) -> list[str]:
 
 
 def _sliced(texts: list[str]):
-    for a, b in common.chunks(texts, 1_000_000):
-        yield a, b
+    yield from common.chunks(texts, 400_000)
 
 
 def _map(df: DataFrame, schema: str, work) -> DataFrame:
     """Work takes a record batch and the texts' list and yields record batches; text is the last column."""
 
     def run(batches):
-        for b in common.small(batches):
-            texts = _texts(b.columns[-1])
-            for i, j in _sliced(texts):
-                yield work(b.slice(i, j - i), texts[i:j])
+        try:
+            for b in common.small(batches):
+                texts = _texts(b.columns[-1])
+                for i, j in _sliced(texts):
+                    yield work(b.slice(i, j - i), texts[i:j])
+        finally:  # workers are reused by other stages
+            for codec in _CODEC.values():
+                codec.pieces.clear()
+            common.release()
 
     return df.mapInArrow(run, schema)
 
@@ -293,13 +338,10 @@ def digests(df: DataFrame, id: str = "doc_id", text: str = "text", path: str | N
 
         codec = _codec(shared)
         counts, ids_sha, decoded_sha = [], [], []
-        entries = list(codec.entries(texts))
-        ids, written, token = codec.pieces.ids.__getitem__, codec.pieces.text.__getitem__, codec.token.__getitem__
-        for own, _ in entries:
-            flat = [i for x in map(ids, own) for i in x]
-            counts.append(len(flat))
-            ids_sha.append(hashlib.sha256(b"".join(map(written, own))[1:]).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join(map(token, flat))).hexdigest())
+        for ids in codec.encode(texts):
+            counts.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], [id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id].dataType.simpleString()
