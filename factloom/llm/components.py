@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,29 @@ from . import common
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, root): the least node that each linked node reaches. Groups are only ever aggregated to a minimum."""
-    e = common.cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    """(node, root): the least node that each linked node reaches. Groups are only ever aggregated to a minimum.
+
+    Links that are null on a side, or lead to themselves, connect nothing. Rounds are written as tables in the shared folder, whose sizes Spark knows
+    (estimates carried on through the joins of many rounds grow beyond all measure). Minima are written before they are joined, so both sides of every
+    join are plain shuffles and the partition of a node with very many links can be split. More than ``most`` rounds (paths of over 10^15 nodes) raise.
+    """
+    spark = links.sparkSession
+    folder = f"{common.shared_folder(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    e = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "links")
     before = None
-    for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()  # large star
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = common.cut(e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct())  # small star
+    for k in range(most):
+        # large star: what is above v goes to the least of v and its neighbours, which is v itself or below it
+        low = kept(e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), f"low{k}")
+        e = kept(e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), f"large{k}")
+        # small star: what is below u, and u, go to the least of them
+        low = kept(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"least{k}")
+        star = low.select("u", F.col("m").alias("v"))
+        e = kept(star.unionByName(e.join(low.where("n > 1"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()).distinct(), f"small{k}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -25,4 +41,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = common.cut(roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    common.remove(spark, folder)
+    return out

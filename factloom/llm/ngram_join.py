@@ -1,20 +1,27 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 A document is the set of its distinct word shingles. Shingles are hashed into groups, the number in each group is a coordinate,
-and two sets overlap by no more than the sum of the coordinate-wise minima. Boxes of near points (leaves) are tested by that
-bound with their upper corners, then points by their coordinates; surviving pairs are verified on the sets themselves.
+and two sets overlap by no more than the sum of the coordinate-wise minima. Trees are descended in pairs: boxes of nodes (least and
+greatest size, upper corner) are tested by that bound, level by level, then points; surviving pairs are verified on the sets themselves.
 
 One tree over everything would visit most leaves, since unrelated documents of a size have similar counts. So the forest is cut first,
 without loss: sets that link differ in at most T shingles (T follows from their sizes), so of G groups G - T at least
 have the same content in both. Documents of a size range that share the content of a group, or a chain of such, form a plot,
-and each plot has its own tree. A content that more than FREQUENT sets have joins only sets that have as many frequent ones as a link that
-rests on those alone would need; so a passage in many documents does not chain them. Equal sets are one point. Small plots are packed into tasks; a large plot becomes leaves of bounded
-size. Pairs of leaves compare points first; only sets whose point meets one of the other leaf travel to the pair's verification, so no group
-has to fit one task. Within a comparison only links between parts that are not yet
-connected are looked for, and connected components join the rest: no pair within a group is emitted needlessly, no component is lost.
-
-Null and empty texts have no shingles and link with nothing; a text shorter than a shingle is one shingle. Sets are compared by
-64-bit hashes of words and shingles. Rows with one id are one document of the component. An empty table gives an empty result.
+and each plot has its own trees. A content that more than FREQUENT sets have joins only sets that have as many frequent ones as a link that
+rests on those alone would need; so a passage in many documents does not chain them. Equal sets are one point.
+
+Plots that fit a leaf are packed into tasks, a tree of nodes of FAN points each. A larger plot is cut into leaves of bounded size in order of
+size and first coordinates; every leaf is compared with itself and the next one, which connects most of a large group of near copies. A component
+of LEAF_SETS or more then gets a tree of its own, what is left of the plot another, with inner nodes of FAN children; trees are descended level by level, and
+no two sets of one component are compared again, so the work of a large group grows with its size, not with its square. Leaves that meet compare
+points first; only sets whose point meets one of the other leaf travel to the pair's verification, so no group has to fit one task.
+Only links between parts that are not yet connected are looked for, and connected components join the rest: no pair within a
+group is emitted needlessly, no component is lost.
+
+Null and empty texts have no shingles and link with nothing; a text shorter than a shingle is one shingle. Rows with one id are one node of the
+component through each of their texts; rows with a null id link as others do, and are left out only where the least id is looked for. Sets are
+compared by 64-bit hashes of words and shingles, and sets whose 63-bit hashes are equal count as equal: among 10^10 different sets some five pairs
+would be taken for equal wrongly. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +39,9 @@ from .components import components
 
 DIMENSIONS = 256  # coordinates of the points in the trees
 FREQUENT = 8
+LEAF_SETS = 256
 LEAF = 1 << 20  # weight of a leaf: 256 sets, or fewer if they exceed 4,096 shingles
+FAN = 16  # children of a node
 
 
 @dataclass(frozen=True)
@@ -104,18 +113,23 @@ def _chunked(batches, text: int):
             yield b.slice(i, j - i), texts[i:j]
 
 
-def features(docs: DataFrame, rule: Rule, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, key, corner) of every document."""
-    kind = docs.schema[id].dataType.simpleString()
+def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, row, text): row is a hash that rows with the same id and text share; unlike an id it is never null."""
+    return docs.select(F.col(id).alias("id"), F.xxhash64(F.col(id), F.col(text)).alias("row"), F.col(text).alias("text"))
+
+
+def features(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(id, row, n, key, corner) of every document."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b, texts in _chunked(batches, 1):
-            rows = [(len(s), set_key(s), _corner(s)) for s in shingle_sets(texts, rule.words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]], [id, "n", "key", "corner"])
+        for b, texts in _chunked(batches, 2):
+            own = [(len(s), set_key(s), _corner(s)) for s in shingle_sets(texts, rule.words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[k] for r in own], pa.int64()) for k in range(3)]], ["id", "row", "n", "key", "corner"])
 
-    return docs.select(id, text).mapInArrow(run, f"{id} {kind}, n long, key long, corner long")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, row long, n long, key long, corner long")
 
 
 def signatures(s: np.ndarray, ranges: list, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +168,7 @@ def _blocks(sig: np.ndarray, key: np.ndarray, need: np.ndarray):
     return sig, key, need, heads, np.diff(np.r_[heads, len(sig)])
 
 
-def plots(docs: DataFrame, rule: Rule, n_docs: int, text: str = "text") -> DataFrame:
+def plots(docs: DataFrame, rule: Rule, n_docs: int) -> DataFrame:
     """(node, root) of sets that share the content of a group, by chains."""
     ranges = rule.ranges()
     lows = np.array([r[0] for r in ranges])
@@ -202,7 +216,7 @@ def plots(docs: DataFrame, rule: Rule, n_docs: int, text: str = "text") -> DataF
                 if len(sig):
                     parts.append((sig, np.full(len(sig), set_key(s), np.int64), need))
                     held += len(sig)
-            if held > 2_000_000:
+            if held > 500_000:
                 yield emit(parts)
                 parts, held = [], 0
         if parts:
@@ -232,7 +246,7 @@ def plots(docs: DataFrame, rule: Rule, n_docs: int, text: str = "text") -> DataF
         f = np.concatenate([*frequent, np.stack([key[own], ids, need[own]], 1)])
         return pa.table({"a": pa.array(np.r_[edges[:, 0], f[:, 0]], pa.int64()), "b": pa.array(np.r_[edges[:, 1], f[:, 1]], pa.int64()), "need": pa.concat_arrays([pa.nulls(len(edges), pa.int64()), pa.array(f[:, 2], pa.int64())])})
 
-    packed = docs.select(text).mapInArrow(map_side, schema)
+    packed = docs.select("text").mapInArrow(map_side, schema)
     found = common.cut(packed.groupBy("bucket").applyInArrow(reduce_side, "a long, b long, need long"))
     frequent = found.where("need IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("sig"), "need").distinct()
     enough = frequent.groupBy("key", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND((1 << 32) - 1)).select("key", "need")
@@ -264,38 +278,67 @@ def fold(p: np.ndarray, d: int) -> np.ndarray:
     return p if p.shape[1] == d else p.reshape(len(p), -1, d).sum(1).astype(p.dtype if p.dtype != np.uint8 else np.uint16)
 
 
-def survivors(rule: Rule, n1: np.ndarray, p1: np.ndarray, other: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which points of a leaf meet a point of the other leaf (or of their own) by the sum of minima, and which of the other leaf do."""
+def nodes(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size, greatest size and upper corner of every FAN points in a row."""
+    heads = np.arange(0, len(n), FAN)
+    return np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads), np.maximum.reduceat(p, heads, axis=0)
+
+
+def candidates(rule: Rule, n1: np.ndarray, p1: np.ndarray, other: tuple | None = None):
+    """(i, js): for each point those of the other tree, or later ones of its own, whose node's box may meet the box of its node."""
+    if not len(n1) or other is not None and not len(other[0]):
+        return
     n2, p2 = (n1, p1) if other is None else other
+    low1, high1, top1 = nodes(n1, p1)
+    low2, high2, top2 = (low1, high1, top1) if other is None else nodes(n2, p2)
+    for a in range(len(low1)):
+        near = (rule.den * high1[a] >= rule.num * low2) & (rule.den * high2 >= rule.num * low1[a])
+        if other is None:
+            near[:a] = False
+        b = np.flatnonzero(near)
+        b = b[np.minimum(top1[a], top2[b]).sum(1, dtype=np.int64) >= rule.need(low1[a], low2[b])]
+        if len(b):
+            js = (b[:, None] * FAN + np.arange(FAN)).ravel()
+            js = js[js < len(n2)]
+            for i in range(a * FAN, min(len(n1), (a + 1) * FAN)):
+                yield i, (js[js > i] if other is None else js)
+
+
+def _meeting(rule: Rule, i: int, js: np.ndarray, n1, p1, n2, p2) -> np.ndarray:
+    """Those of js whose size and point may belong to a link with i."""
+    js = js[rule.den * np.minimum(n1[i], n2[js]) >= rule.num * np.maximum(n1[i], n2[js])]
+    return js[np.minimum(p1[i], p2[js]).sum(1, dtype=np.int64) >= rule.need(n1[i], n2[js])] if len(js) else js
+
+
+def survivors(rule: Rule, n1: np.ndarray, p1: np.ndarray, c1: np.ndarray, other: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which points of a leaf meet a point of the other leaf (or of their own) of another component, and which of the other leaf do."""
+    n2, p2, c2 = (n1, p1, c1) if other is None else other
     d = min(p1.shape[1], p2.shape[1])
     p1, p2 = fold(p1, d), fold(p2, d)
     one, two = np.zeros(len(n1), bool), np.zeros(len(n2), bool)
-    for i in range(len(n1)):
-        js = np.arange(i + 1, len(n2)) if other is None else np.arange(len(n2))
-        js = js[rule.den * np.minimum(n1[i], n2[js]) >= rule.num * np.maximum(n1[i], n2[js])]
-        if len(js):
-            js = js[np.minimum(p1[i], p2[js]).sum(1, dtype=np.int64) >= rule.need(n1[i], n2[js])]
-            one[i] |= len(js) > 0
-            two[js] = True
+    for i, js in candidates(rule, n1, p1, None if other is None else (n2, p2)):
+        js = _meeting(rule, i, js[c2[js] != c1[i]], n1, p1, n2, p2)
+        one[i] |= len(js) > 0
+        two[js] = True
     return (one | two, two) if other is None else (one, two)
 
 
-def verify(rule: Rule, keys: np.ndarray, sets: list[np.ndarray], other: tuple | None = None) -> list[tuple[int, int]]:
-    """Links that connect whatever is connected, within one leaf or between two. Once two sets are connected they are not compared."""
-    k2, s2 = (keys, sets) if other is None else other
-    n1, n2 = np.array([len(s) for s in sets]), np.array([len(s) for s in s2])
+def verify(rule: Rule, keys: np.ndarray, sets: list[np.ndarray], parts: np.ndarray | None = None, other: tuple | None = None) -> list[tuple[int, int]]:
+    """Links that connect whatever is connected, within one leaf or between two. Once two sets are connected they are not compared; parts tells what is from the start."""
+
+    def ordered(keys, sets, parts):
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        return keys[order], [sets[i] for i in order], parts[order], np.array([len(sets[i]) for i in order], np.int64)
+
+    first = np.arange(len(sets)) if parts is None else parts
+    label = np.unique(first if other is None else np.r_[first, other[2]], return_inverse=True)[1]
+    keys, sets, part1, n1 = ordered(keys, sets, label[: len(sets)])
+    k2, s2, part2, n2 = (keys, sets, part1, n1) if other is None else ordered(other[0], other[1], label[len(sets) :])
     p1 = points(sets)
     p2 = p1 if other is None else points(s2)
-    part1 = np.arange(len(sets))
-    part2 = part1 if other is None else np.arange(len(sets), len(sets) + len(s2))
     links = []
-    for i in range(len(sets)):
-        js = np.arange(i + 1, len(s2)) if other is None else np.arange(len(s2))
-        js = js[(rule.den * np.minimum(n1[i], n2[js]) >= rule.num * np.maximum(n1[i], n2[js])) & (part2[js] != part1[i])]
-        if not len(js):
-            continue
-        js = js[np.minimum(p1[i], p2[js]).sum(1) >= rule.need(n1[i], n2[js])]
-        for j in js.tolist():
+    for i, js in candidates(rule, n1, p1, None if other is None else (n2, p2)):
+        for j in _meeting(rule, i, js[part2[js] != part1[i]], n1, p1, n2, p2).tolist():
             if part2[j] == part1[i]:
                 continue
             both = len(np.intersect1d(sets[i], s2[j], assume_unique=True))
@@ -313,24 +356,24 @@ def _links(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, slim: DataFrame, rule: Rule, id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_leaves(members: DataFrame, by: list[str]) -> DataFrame:
+    """members with ``leaf`` and ``total``, the weight of their tree (by): every tree's points in order of size and first coordinates, cut by cumulative weight."""
+    place = members.groupBy(*by, "n", "corner").agg(F.sum("w").alias("sum"))
+    before = Window.partitionBy(*by).orderBy("n", "corner").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    place = common.cut(place.select(*by, "n", "corner", "sum", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), F.sum("sum").over(whole).alias("total")))  # a hot place can then be split
+    inside = F.floor(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) * F.col("sum") / (1 << 20))
+    return members.join(place, [*by, "n", "corner"]).withColumn("leaf", F.floor((F.col("base") + inside) / LEAF)).drop("sum", "base")
+
+
+def links(rows: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between keys, enough of them to connect every component."""
-    kind = docs.schema[id].dataType.simpleString()
     n_docs = slim.count()
-    plot = plots(docs, rule, n_docs, text).select(F.col("node").alias("key"), F.col("root").alias("plot"))
-    members = slim.where("n > 0").groupBy("key").agg(F.min(id).alias(id), F.max("n").alias("n"), F.max("corner").alias("corner")).join(plot, "key")
-    members = common.cut(members.withColumn("w", F.greatest(F.lit(LEAF // 256), F.col("n"))))
-    # leaves: every plot's points in order of size and first coordinates, cut by cumulative weight
-    place = members.groupBy("plot", "n", "corner").agg(F.sum("w").alias("sum"))
-    before = Window.partitionBy("plot").orderBy("n", "corner").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("plot")
-    place = place.select("plot", "n", "corner", "sum", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), F.sum("sum").over(whole).alias("total"))
-    inside = F.floor(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) * F.col("sum") / (1 << 20))
-    bins = max(common.parallelism(docs), (place.agg(F.sum("sum")).first()[0] or 0) // (8 * LEAF))
-    members = members.join(place, ["plot", "n", "corner"]).select(
-        id, "key", "plot",
-        F.when(F.col("total") <= LEAF, F.pmod(F.xxhash64("plot"), F.lit(bins)) - bins).otherwise(F.floor((F.col("base") + inside) / LEAF)).alias("leaf"),
-    )
+    plot = plots(rows, rule, n_docs).select(F.col("node").alias("key"), F.col("root").alias("plot"))
+    members = slim.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("corner").alias("corner")).join(plot, "key")
+    members = common.cut(members.withColumn("w", F.greatest(F.lit(LEAF // LEAF_SETS), F.col("n"))))
+    bins = max(common.parallelism(rows), (members.agg(F.sum("w")).first()[0] or 0) // (8 * LEAF))
+    members = cut_leaves(members, ["plot"]).withColumn("leaf", F.when(F.col("total") <= LEAF, F.pmod(F.xxhash64("plot"), F.lit(bins)) - bins).otherwise(F.col("leaf"))).drop("total")
     members = common.cut(members)
 
     def tokenise(batches):
@@ -339,12 +382,17 @@ def links(docs: DataFrame, slim: DataFrame, rule: Rule, id: str = "doc_id", text
         for b, texts in _chunked(batches, 1):
             sets = list(shingle_sets(texts, rule.words))
             large = [x >= 0 for x in b["leaf"].to_pylist()]
-            keep = [i for i, (s, k) in enumerate(zip(sets, b["key"].to_pylist())) if set_key(s) == k]  # not another text of the same id
+            keep = [i for i, (s, k) in enumerate(zip(sets, b["key"].to_pylist())) if set_key(s) == k]
             yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(keep, pa.int64())) for c in ("key", "plot", "leaf")], pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array([fine_point(sets[i]).tobytes() if large[i] else b"" for i in keep], pa.binary())], ["key", "plot", "leaf", "set", "point"])
 
-    texts = bloom.pick(docs.select(id, text), members, id).select(id, text, "key", "plot", "leaf")
+    texts = bloom.pick(rows.select("row", "text"), members.select("row", "key", "plot", "leaf"), "row").select("row", "text", "key", "plot", "leaf")
     sets = texts.mapInArrow(tokenise, "key long, plot long, leaf long, set binary, point binary")
 
+    def unique(parts):
+        found = {k: np.frombuffer(raw, np.uint64) for k, raw in zip(parts["key"].to_pylist(), parts["set"].to_pylist())}
+        keys = sorted(found)
+        return np.array(keys, np.int64), [found[k] for k in keys]
+
     def small(parts):
         """Plots of one bin, each a tree of a single leaf."""
         import pyarrow as pa
@@ -359,83 +407,137 @@ def links(docs: DataFrame, slim: DataFrame, rule: Rule, id: str = "doc_id", text
                 out += verify(rule, key[own], [np.frombuffer(raw[i], np.uint64) for i in own])
         return pa.Table.from_batches([_links(out)])
 
+    def beside(parts):
+        """A leaf and the next one."""
+        import pyarrow as pa
+
+        return pa.Table.from_batches([_links(verify(rule, *unique(parts)))])
+
+    found = sets.where("leaf < 0").select("key", "plot", "leaf", "set").groupBy("leaf").applyInArrow(small, "a long, b long")
+    if members.where("leaf >= 0").isEmpty():
+        return found
+    own = common.cut(sets.where("leaf >= 0"))
+    twice = own.select("plot", F.explode(F.when(F.col("leaf") > 0, F.array(F.col("leaf") - 1, "leaf")).otherwise(F.array("leaf"))).alias("at"), "key", "set")
+    near = common.cut(twice.groupBy("plot", "at").applyInArrow(beside, "a long, b long"))
+    return found.unionByName(near).unionByName(far_links(own, members.where("leaf >= 0").drop("leaf"), components(near), rule))
+
+
+LEAVES = "plot long, tree long, leaf long, low long, high long, box array<int>, keys binary, parts binary, sizes binary, points binary"
+
+
+def leaf_rows(rows: DataFrame) -> DataFrame:
+    """(plot, tree, leaf, key, part, n, point) to one row a leaf: its box and its points, in order of size, in as many coordinates as its smallest set has."""
+
     def leaf(key, parts):
-        """A leaf: its box and its points, in order of size, in as many coordinates as its smallest set has."""
         import pyarrow as pa
 
-        unique = {k: (n, np.frombuffer(p, "<u2")) for k, n, p in zip(parts["key"].to_pylist(), parts["n"].to_pylist(), parts["point"].to_pylist())}
+        unique = {k: (n, c, np.frombuffer(p, "<u2")) for k, n, c, p in zip(*[parts[x].to_pylist() for x in ("key", "n", "part", "point")])}
         keys = sorted(unique, key=lambda k: (unique[k][0], k))
-        d = min(len(p) for _, p in unique.values())
-        p = np.concatenate([fold(unique[k][1][None, :], d) for k in keys])
-        sizes = np.array([unique[k][0] for k in keys], np.int64)
-        box = p.reshape(len(p), -1, DIMENSIONS).sum(1).max(0).tolist()
-        row = {"plot": key[0].as_py(), "leaf": key[1].as_py(), "low": int(sizes[0]), "high": int(sizes[-1]), "box": box, "keys": np.array(keys, np.int64).tobytes(), "sizes": sizes.tobytes(), "points": p.astype(np.uint8 if p.max() < 256 else "<u2").tobytes()}
-        return pa.Table.from_pylist([row], pa.schema([("plot", pa.int64()), ("leaf", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("box", pa.list_(pa.int32())), ("keys", pa.binary()), ("sizes", pa.binary()), ("points", pa.binary())]))
-
-    def unpack(keys, sizes, raw):
-        keys, sizes = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64)
+        d = min(len(p) for _, _, p in unique.values())
+        p = np.concatenate([fold(unique[k][2][None, :], d) for k in keys])
+        sizes, own = (np.array([unique[k][c] for k in keys], np.int64) for c in (0, 1))
+        row = {"low": int(sizes[0]), "high": int(sizes[-1]), "box": p.reshape(len(p), -1, DIMENSIONS).sum(1).max(0).tolist(), "keys": np.array(keys, np.int64).tobytes(), "parts": own.tobytes(), "sizes": sizes.tobytes(), "points": p.astype(np.uint8 if p.max() < 256 else "<u2").tobytes()}
+        kinds = {"box": pa.list_(pa.int32())} | dict.fromkeys(("keys", "parts", "sizes", "points"), pa.binary())
+        return pa.Table.from_pylist([dict(zip(("plot", "tree", "leaf"), (k.as_py() for k in key))) | row], pa.schema([(x.split()[0], kinds.get(x.split()[0], pa.int64())) for x in LEAVES.split(", ")]))
+
+    return rows.groupBy("plot", "tree", "leaf").applyInArrow(leaf, LEAVES)
+
+
+def meeting_leaves(leaves: DataFrame, rule: Rule) -> DataFrame:
+    """(plot, tree, leaf, tree2, leaf2): pairs of leaves that may hold a link, by descending trees in pairs from their roots. A tree other than -1 is one component and is not compared with itself."""
+    level = leaves.select("plot", "tree", F.col("leaf").alias("node"), "low", "high", "box")
+    levels, top = [level], leaves.agg(F.max("leaf")).first()[0] or 0
+    corner = F.aggregate("boxes", F.element_at("boxes", 1), lambda s, v: F.zip_with(s, v, lambda p, q: F.greatest(p, q)))
+    while top > 0:  # collect_list holds FAN boxes at most
+        level = level.groupBy("plot", "tree", F.expr(f"node div {FAN}").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("box").alias("boxes"))
+        level = common.cut(level.withColumn("box", corner).drop("boxes"))
+        levels.append(level)
+        top //= FAN
+    bound = F.aggregate(F.zip_with("box", "box2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    least = F.ceil(rule.num * (F.col("low") + F.col("low2")) / (rule.num + rule.den))
+    may = (F.col("high") * rule.den >= F.col("low2") * rule.num) & (F.col("high2") * rule.den >= F.col("low") * rule.num) & (bound >= least)
+    pair = ["plot", "tree", "node", "tree2", "node2"]
+    second = lambda x: x.select(*[F.col(c) if c in ("plot", "above2") else F.col(c).alias(f"{c}2") for c in x.columns])
+    x, y = levels[-1], second(levels[-1])
+    pairs = x.join(y, "plot").where((F.col("tree") < F.col("tree2")) | ((F.col("tree") == -1) & (F.col("tree2") == -1))).where(may).select(*pair)
+    for level in levels[-2::-1]:
+        pairs = common.cut(pairs.select("plot", "tree", F.col("node").alias("above"), "tree2", F.col("node2").alias("above2")))
+        x, y = level.withColumn("above", F.expr(f"node div {FAN}")), second(level).withColumn("above2", F.expr(f"node2 div {FAN}"))
+        pairs = pairs.join(x, ["plot", "tree", "above"]).join(y, ["plot", "tree2", "above2"]).where(((F.col("tree") != F.col("tree2")) | (F.col("node") <= F.col("node2"))) & may).select(*pair)
+    return pairs.select("plot", "tree", F.col("node").alias("leaf"), "tree2", F.col("node2").alias("leaf2"))
+
+
+def far_links(own: DataFrame, members: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links of large plots between the components (node, root) known so far. own has (plot, key, set, point)."""
+    size = known.groupBy("root").agg(F.count("*").alias("size"))
+    big = common.cut(size.where(F.col("size") >= LEAF_SETS).select(F.col("root").alias("part"), F.col("root").alias("tree")))
+    parted = members.join(known.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("part", F.coalesce("root", "key")).drop("root")
+    parted = common.cut(parted).join(big, "part", "left").withColumn("tree", F.coalesce("tree", F.lit(-1)))
+    placed = common.cut(cut_leaves(parted, ["plot", "tree"]).select("plot", "tree", "leaf", "key", "part", "n"))
+    leaves = common.cut(leaf_rows(own.select("plot", "key", "point").join(placed, ["plot", "key"])))
+    joined = common.cut(meeting_leaves(leaves, rule))
+    side = ["plot", "tree", "leaf", "tree2", "leaf2"]
+
+    def unpack(keys, parts, sizes, raw):
+        keys, parts, sizes = (np.frombuffer(x, np.int64) for x in (keys, parts, sizes))
         d = coordinates(int(sizes[0]))
-        return keys, sizes, np.frombuffer(raw, np.uint8 if len(raw) == d * len(keys) else "<u2").reshape(len(keys), d)
+        return keys, sizes, np.frombuffer(raw, np.uint8 if len(raw) == d * len(keys) else "<u2").reshape(len(keys), d), parts
 
     def meet(batches):
         """Keys of the sets of two leaves that have to be verified, by the side they stand on."""
         import pyarrow as pa
 
         for b in batches:
-            for plot, i, j, *raw in zip(*[b[c].to_pylist() for c in ("plot", "leaf", "leaf2", "keys", "sizes", "points", "keys2", "sizes2", "points2")]):
-                (k1, n1, p1), (k2, n2, p2) = unpack(*raw[:3]), unpack(*raw[3:])
-                one, two = survivors(rule, n1, p1, None if i == j else (n2, p2))
-                keys = k1[one] if i == j else np.r_[k1[one], k2[two]]
-                side = np.zeros(len(keys), np.int32)
-                side[int(one.sum()) :] = 1
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(keys), x, np.int64)) for x in (plot, i, j)], pa.array(keys), pa.array(side)], ["plot", "leaf", "leaf2", "key", "side"])
+            for *at, k1, c1, n1, p1, k2, c2, n2, p2 in zip(*[b[c].to_pylist() for c in (*side, "keys", "parts", "sizes", "points", "keys2", "parts2", "sizes2", "points2")]):
+                one_leaf = at[1:3] == at[3:5]
+                (k1, n1, p1, c1), (k2, n2, p2, c2) = unpack(k1, c1, n1, p1), unpack(k2, c2, n2, p2)
+                one, two = survivors(rule, n1, p1, c1, None if one_leaf else (n2, p2, c2))
+                keys, parts = (k1[one], c1[one]) if one_leaf else (np.r_[k1[one], k2[two]], np.r_[c1[one], c2[two]])
+                second = np.zeros(len(keys), np.int32)
+                second[int(one.sum()) :] = 1
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(keys), x, np.int64)) for x in at], pa.array(keys), pa.array(parts), pa.array(second)], [*side, "key", "part", "second"])
 
     def pair(parts):
         """Links between the sets of two leaves, or within one."""
         import pyarrow as pa
 
         sides = ({}, {})
-        for k, side, raw in zip(parts["key"].to_pylist(), parts["side"].to_pylist(), parts["set"].to_pylist()):
-            sides[side][k] = np.frombuffer(raw, np.uint64)
-        (k1, s1), (k2, s2) = ((np.array(sorted(x), np.int64), [x[k] for k in sorted(x)]) for x in sides)
-        return pa.Table.from_batches([_links(verify(rule, k1, s1, (k2, s2) if len(k2) else None))])
+        for k, c, second, raw in zip(*[parts[x].to_pylist() for x in ("key", "part", "second", "set")]):
+            sides[second][k] = (np.frombuffer(raw, np.uint64), c)
+        (k1, s1, c1), (k2, s2, c2) = ((np.array(sorted(x), np.int64), [x[k][0] for k in sorted(x)], np.array([x[k][1] for k in sorted(x)], np.int64)) for x in sides)
+        return pa.Table.from_batches([_links(verify(rule, k1, s1, c1, (k2, s2, c2) if len(k2) else None))])
 
-    found = sets.where("leaf < 0").select("key", "plot", "leaf", "set").groupBy("leaf").applyInArrow(small, "a long, b long")
-    if not members.where("leaf >= 0").isEmpty():
-        own = common.cut(sets.where("leaf >= 0"))
-        by_leaf = own.select("plot", "leaf", "key", F.expr("octet_length(set) div 8").alias("n"), "point").groupBy("plot", "leaf")
-        leaves = common.cut(by_leaf.applyInArrow(leaf, "plot long, leaf long, low long, high long, box array<int>, keys binary, sizes binary, points binary"))
-        x, y = leaves.select("plot", "leaf", "low", "high", "box"), leaves.select("plot", F.col("leaf").alias("leaf2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("box").alias("box2"))
-        bound = F.aggregate(F.zip_with("box", "box2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-        least = F.ceil(rule.num * (F.col("low") + F.col("low2")) / (rule.num + rule.den))
-        near = (F.col("high") * rule.den >= F.col("low2") * rule.num) & (F.col("high2") * rule.den >= F.col("low") * rule.num)
-        joined = x.join(y, "plot").where((F.col("leaf") <= F.col("leaf2")) & near & (bound >= least)).select("plot", "leaf", "leaf2")
-        body = leaves.select("plot", "leaf", "keys", "sizes", "points")
-        second = body.select("plot", F.col("leaf").alias("leaf2"), *[F.col(c).alias(f"{c}2") for c in ("keys", "sizes", "points")])
-        both = joined.repartition(common.parallelism(docs), "plot", "leaf", "leaf2").join(body, ["plot", "leaf"]).join(second, ["plot", "leaf2"])
-        met = common.cut(both.mapInArrow(meet, "plot long, leaf long, leaf2 long, key long, side int"))
-        texts = own.select("plot", "key", "set").join(met, ["plot", "key"]).select("plot", "leaf", "leaf2", "key", "side", "set")
-        found = found.unionByName(texts.groupBy("plot", "leaf", "leaf2").applyInArrow(pair, "a long, b long"))
-    return found
+    body = ["keys", "parts", "sizes", "points"]
+    first = leaves.select("plot", "tree", "leaf", *body)
+    second = leaves.select("plot", F.col("tree").alias("tree2"), F.col("leaf").alias("leaf2"), *[F.col(c).alias(f"{c}2") for c in body])
+    both = joined.repartition(common.parallelism(own), *side).join(first, ["plot", "tree", "leaf"]).join(second, ["plot", "tree2", "leaf2"])
+    met = common.cut(both.mapInArrow(meet, "plot long, tree long, leaf long, tree2 long, leaf2 long, key long, part long, second int"))
+    texts = own.select("plot", "key", "set").join(met, ["plot", "key"]).select(*side, "key", "part", "second", "set")
+    return texts.groupBy(*side).applyInArrow(pair, "a long, b long")
 
 
 def join(docs: DataFrame, rule: Rule = Rule(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of docs."""
-    slim = common.cut(features(docs, rule, id, text))
-    linked = components(links(docs, slim, rule, id, text))
-    least = slim.where("n > 0").groupBy("key").agg(F.min(id).alias("least"))
-    rooted = least.join(linked.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    per_root = common.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    per_key = common.cut(rooted.join(per_root, "root").select("key", "component_id"))
-    full = slim.where("n > 0").join(per_key, "key").select(id, F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(slim.where("n = 0").select(id, F.col("n").alias("n_shingles"), F.col(id).alias("component_id")))
+    """(id, n_shingles, component_id) of every row of docs; component_id is null where no id of the component is known."""
+    return classes(_rows(docs, id, text), rule).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component_id"))
+
+
+def classes(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(id, row, n, component_id, first) of every row; first is the row hash of the component's first member by id, nulls last."""
+    slim = common.cut(features(rows, rule))
+    linked = components(links(rows, slim, rule))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    least = slim.where("n > 0").groupBy("key").agg(F.min(order).alias("least"))
+    rooted = common.cut(least).join(linked.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    per_root = common.cut(rooted.groupBy("root").agg(F.min("least").alias("least")))
+    per_key = common.cut(rooted.select("key", "root").join(per_root, "root").select("key", F.col("least.id").alias("component_id"), F.col("least.row").alias("first")))
+    full = slim.where("n > 0").join(per_key, "key").select("id", "row", "n", "component_id", "first")
+    return full.unionByName(slim.where("n = 0").select("id", "row", "n", F.col("id").alias("component_id"), F.col("row").alias("first")))
 
 
 def representatives(docs: DataFrame, rule: Rule = Rule(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the least id; columns as they were."""
-    marked = join(docs, rule, id, text)
-    gone = common.cut(marked.where(F.col(id) != F.col("component_id")).select(id).distinct())
-    return bloom.without(docs, gone, id)
+    """docs with one document of each component, that of the least id (null last); columns as they were. Rows alike in id and text stay or go together."""
+    gone = common.cut(classes(_rows(docs, id, text), rule).where("row <> first").select(F.col("row").alias("__row")).distinct())
+    return bloom.without(docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))), gone, "__row").select(*[f"`{c}`" for c in docs.columns])
 
 
 CONTRACT = Rule(words=3, num=90, den=100)
