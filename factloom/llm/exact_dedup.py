@@ -7,7 +7,8 @@ the rest are grouped by digest. The filter has at most ``max_bits`` bits, so its
 ``max_bits / 8`` bytes whatever the input; a filter too small for the input only lets more rows be shuffled.
 
 Null and empty texts are equal to each other. Of rows that tie on the largest id, exactly one is kept.
-An empty table gives an empty result. Columns of the input that have an added column's name are replaced.
+An empty table gives an empty result. ``mark`` replaces columns of the input that have an added column's name, ``distinct`` keeps all;
+names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -25,28 +26,34 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(common.lower_ascii(F.coalesce(text, F.lit(""))), "UTF-8"), 256)
 
 
+def _marked(hashed: DataFrame, id: str, max_bits: int) -> DataFrame:
+    """hashed, which has ``__sha``, with ``__keep_id``, ``__size`` and ``__kept``. Rows whose digest can't repeat are not shuffled."""
+    columns = [f"`{c}`" for c in hashed.columns]
+    bits = bloom.bits_for(hashed.count(), max_bits)
+    sha, maybe = F.col("__sha"), F.col("__maybe")
+    tested = bloom.test(hashed, sha, bloom.build(hashed, sha, bits, least=2), bits, "__maybe")
+    alone = tested.where(~maybe).select(*columns, F.col(id).alias("__keep_id"), F.lit(1).cast("long").alias("__size"), F.lit(True).alias("__kept"))
+    repeated = common.cut(tested.where(maybe).select(*columns, F.monotonically_increasing_id().alias("__row")))  # row numbers are fixed once
+    groups = repeated.groupBy("__sha").agg(F.max(F.struct(F.col(id).alias("__keep_id"), F.col("__row").alias("__keep_row"))).alias("k"), F.count("*").alias("__size")).select("__sha", "k.*", "__size")
+    groups = common.cut(groups)  # the join then has plain shuffles on both sides, so a hot digest's partition can be split
+    again = repeated.join(groups, "__sha").select(*columns, "__keep_id", "__size", (F.col("__row") == F.col("__keep_row")).alias("__kept"))
+    return alone.unionByName(again)
+
+
 def mark(df: DataFrame, id: str = "doc_id", text: str = "text", hashed: DataFrame | None = None, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """Each row of df with keep_id, group_size, kept and text_sha256.
 
-    hashed: df with ``text_sha256`` and only the columns wanted, if that is at hand. Rows whose digest can't repeat are not shuffled.
+    hashed: df with ``text_sha256`` and only the columns wanted, if that is at hand.
     """
     if hashed is None:
         hashed = df.drop(*[c for c in df.columns if c in ADDED]).withColumn("text_sha256", digest(F.col(text)))
-    columns = hashed.columns
-    bits = bloom.bits_for(hashed.count(), max_bits)
-    sha, maybe = F.col("text_sha256"), F.col("__maybe")
-    tested = bloom.test(hashed, sha, bloom.build(hashed, sha, bits, least=2), bits, "__maybe")
-    alone = tested.where(~maybe).select(*columns, F.col(id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    repeated = common.cut(tested.where(maybe).select(*columns, F.monotonically_increasing_id().alias("__row")))  # row numbers are fixed once
-    groups = repeated.groupBy("text_sha256").agg(F.max(F.struct(F.col(id).alias("keep_id"), F.col("__row").alias("keep_row"))).alias("k"), F.count("*").alias("group_size")).select("text_sha256", "k.*", "group_size")
-    groups = common.cut(groups)  # the join then has plain shuffles on both sides, so a hot digest's partition can be split
-    again = repeated.join(groups, "text_sha256").select(*columns, "keep_id", "group_size", (F.col("__row") == F.col("keep_row")).alias("kept"))
-    return alone.unionByName(again)
+    marked = _marked(hashed.withColumnRenamed("text_sha256", "__sha"), id, max_bits)
+    return marked.withColumnsRenamed({"__sha": "text_sha256", "__keep_id": "keep_id", "__size": "group_size", "__kept": "kept"})
 
 
 def distinct(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without its copies, columns as they were."""
-    return mark(df, id, text).where("kept").select(*df.columns)
+    """df without its copies, all columns as they were."""
+    return _marked(df.withColumn("__sha", digest(F.col(text))), id, bloom.MAX_BITS).where("__kept").select(*[f"`{c}`" for c in df.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

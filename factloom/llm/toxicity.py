@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .ngram_join import _chunked, shingle_sets
@@ -223,9 +224,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] = ("doc_id",)) -> DataFrame:
-    """The columns asked for (text must be in docs) with ``score`` and ``predicted``."""
-    columns = list(columns)
-    text_kept = "text" in columns
+    """The columns asked for, but for any of these names, with ``score`` and ``predicted``."""
+    columns = [c for c in columns if c not in ("score", "predicted")]
 
     def run(batches):
         import pyarrow as pa
@@ -233,12 +233,26 @@ def score(docs: DataFrame, model: Model, columns: list[str] = ("doc_id",)) -> Da
         a = model.automaton()
         for b in common.small(batches):
             s = [round(model.score(fold(t or ""), a), 9) for t in b.column(b.num_columns - 1).to_pylist()]
-            kept = b.select(list(range(len(columns))))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], [*columns, "score", "predicted"])
+            kept = b.columns[: len(columns)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], [*columns, "score", "predicted"])
 
-    source = docs.select(*columns, F.col("text").alias("__text")) if text_kept else docs.select(*columns, "text")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
+    source = docs.select(*[f"`{c}`" for c in columns], F.col("text").alias("__text"))
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return source.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without those that score the threshold or more, all columns as they were."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        a = model.automaton()
+        for b in common.small(batches):
+            yield b.filter(pa.array([round(model.score(fold(t or ""), a), 9) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
