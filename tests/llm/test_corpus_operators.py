@@ -157,6 +157,8 @@ def test_ngram_join(spark, docs, empty, rule):
 def test_ngram_join_large_plots(spark, monkeypatch):
     """Leaves so small that a plot needs many of them."""
     monkeypatch.setattr(ngram_join, "LEAF", 1 << 11)
+    monkeypatch.setattr(ngram_join, "LEAF_SETS", 16)
+    monkeypatch.setattr(ngram_join, "FAN", 2)
     rng = random.Random(9)
     base = [prose(rng, 1) for _ in range(120)]
     rows = []
