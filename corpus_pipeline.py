@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, common, exact_dedup, mixing, ngram_join, toxicity
 
@@ -18,7 +17,7 @@ from factloom.llm import byte_bpe, common, exact_dedup, mixing, ngram_join, toxi
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; the model is fitted on this stage's documents and the labels table."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix begins it, from not at all to twice."""
-    sized = docs.withColumn("size", mixing.words(F.col("text")))
-    mixed = mixing.take(sized.select("doc_id", "source", "size"))
-    times = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    keyed = sized.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("__source", F.coalesce(F.col("source"), F.lit("")))
-    times = times.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), F.coalesce(F.col("source"), F.lit("")).alias("__source"), "size", "copies")
-    taken = keyed.join(times.groupBy("__key", "__source", "size").agg(F.max("copies").alias("copies")).hint("shuffle_hash"), ["__key", "__source", "size"])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +46,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's input goes when its output is written.
+
+    What the last stage reads stays as long as its result may be asked for: the caller removes that folder.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}_{name}")
-            docs = spark.read.parquet(f"{folder}/{k}_{name}")
+            path = f"{folder}/{k}_{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                common.remove(spark, before)
+            before = path
     return docs
