@@ -13,20 +13,44 @@ FACT_KEY = ["subject_id", "subject_type", "relation", "object_id", "object_type"
 DOC = ["document_collection", "document_id"]
 
 
-def postings(rows: DataFrame, key: list[str]) -> DataFrame:
-    """For each key and collection the distinct documents, highest id first, and their number."""
+#: Document ids of one range of this many make one row of a posting list.
+BLOCK = 1 << 20
+
+
+def postings(rows: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
+    """Posting lists in blocks: for each key, collection and range of ids (block) the distinct documents, highest id first, and their number n.
+
+    A list never has to fit one row or one task, however frequent its key is. supports() gives the number of documents of whole keys.
+    """
     docs = F.sort_array(F.collect_set("document_id"), asc=False)
-    return rows.groupBy("document_collection", *key).agg(docs.alias("document_ids")).withColumn("support", F.size("document_ids").cast("long"))
+    blocks = rows.groupBy("document_collection", *key, F.floor(F.col("document_id") / block).alias("block")).agg(docs.alias("document_ids"))
+    return blocks.withColumn("n", F.size("document_ids").cast("long"))
+
 
+def supports(index: DataFrame, key: list[str]) -> DataFrame:
+    """Documents of each key and collection."""
+    return index.groupBy("document_collection", *key).agg(F.sum("n").alias("support"))
 
-def predication_index(predications: DataFrame) -> DataFrame:
-    return postings(predications.where(F.col("relation").isNotNull()), FACT_KEY)
 
+def predication_index(predications: DataFrame, block: int = BLOCK) -> DataFrame:
+    return postings(predications.where(F.col("relation").isNotNull()), FACT_KEY, block)
 
-def merge_postings(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """An index with the postings of new documents added; keys of either side survive."""
-    rows = old.select("document_collection", *key, F.explode("document_ids").alias("document_id")).unionByName(new.select("document_collection", *key, "document_id"))
-    return postings(rows, key)
+
+def changed_postings(old: DataFrame, new: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
+    """The blocks that new rows touch, old and new documents together. Only blocks with new documents are looked up in the old index."""
+    at = ["document_collection", *key, "block"]
+    fresh = postings(new, key, block)
+    known = old.join(fresh.select(*at), at, "left_semi").select(*at, F.col("document_ids").alias("__old"))
+    both = fresh.join(known, at, "left")
+    docs = F.sort_array(F.array_union("document_ids", F.coalesce("__old", F.array().cast("array<bigint>"))), asc=False)
+    return both.select(*at, docs.alias("document_ids")).withColumn("n", F.size("document_ids").cast("long"))
+
+
+def merge_postings(old: DataFrame, new: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
+    """An index with the postings of new documents added; blocks without new documents are taken over as they are, and keys of either side survive."""
+    at = ["document_collection", *key, "block"]
+    changed = changed_postings(old, new, key, block)
+    return old.join(changed.select(*at), at, "left_anti").unionByName(changed)
 
 
 def since(rows: DataFrame, documents: DataFrame, date: str) -> DataFrame:
@@ -42,8 +66,8 @@ def tag_rows(tags: DataFrame, translation: DataFrame | None = None) -> DataFrame
     return rows
 
 
-def tag_index(tags: DataFrame, translation: DataFrame | None = None) -> DataFrame:
-    return postings(tag_rows(tags, translation), ["ent_id", "ent_type"])
+def tag_index(tags: DataFrame, translation: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    return postings(tag_rows(tags, translation), ["ent_id", "ent_type"], block)
 
 
 def term_rows(documents: DataFrame) -> DataFrame:
@@ -51,8 +75,8 @@ def term_rows(documents: DataFrame) -> DataFrame:
     return documents.select(*DOC, F.explode(T.terms(F.col("text"))).alias("term"))
 
 
-def term_index(documents: DataFrame) -> DataFrame:
-    return postings(term_rows(documents), ["term"]).drop("support")
+def term_index(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    return postings(term_rows(documents), ["term"], block)
 
 
 def document_metadata(metadata: DataFrame, documents: DataFrame, classes: DataFrame, present: DataFrame | None = None) -> DataFrame:
@@ -84,13 +108,42 @@ def with_descendants(ontology: DataFrame) -> DataFrame:
     return below.join(above, "prefix").select("ancestor", "descriptor_id").distinct()
 
 
-def tagger_index(vocabularies: list[DataFrame]) -> DataFrame:
-    """Vocabularies (entity_id, entity_type, entity_class, synonym) as one, synonyms also lower-cased with spaces for punctuation and one in front."""
+def inherited(vocabulary: DataFrame, ontology: DataFrame) -> DataFrame:
+    """A vocabulary with every term also given to the descriptors below its own in the tree, with its own type."""
+    below = with_descendants(ontology).where("ancestor <> descriptor_id")
+    more = vocabulary.join(below.withColumnRenamed("ancestor", "entity_id"), "entity_id").select(F.col("descriptor_id").alias("entity_id"), "entity_type", "entity_class", "synonym")
+    return vocabulary.select("entity_id", "entity_type", "entity_class", "synonym").unionByName(more).distinct()
+
+
+def class_members(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(class_id, class_name) and (class_id, entity_id, entity_type): class names as terms of their members."""
+    return classes.join(members, "class_id").select("entity_id", "entity_type", F.col("class_name").alias("entity_class"), F.col("class_name").alias("synonym"))
+
+
+def tagger_index(vocabularies: list[DataFrame], ontology: DataFrame | None = None) -> DataFrame:
+    """Vocabularies (entity_id, entity_type, entity_class, synonym) as one, synonyms also lower-cased with spaces for punctuation and one in front.
+
+    With an ontology, the terms of a descriptor are inherited by all descriptors below it.
+    """
     union = reduce(DataFrame.unionByName, vocabularies)
+    if ontology is not None:
+        union = inherited(union, ontology)
     plain = F.regexp_replace(F.regexp_replace(F.lower("synonym"), r"\p{Punct}", " "), r" +", " ")
     return union.withColumn("synonym_processed", F.concat(F.lit(" "), F.btrim(plain))).distinct()
 
 
+def present_vocabulary(vocabulary: DataFrame, tags: DataFrame, entity_type: str) -> DataFrame:
+    """Rows (entity_id, synonyms joined by bars) of entities of a type that are mentioned somewhere, one for each synonym."""
+    used = tags.where(F.col("ent_type") == entity_type).select(F.col("ent_id").alias("entity_id")).distinct()
+    return vocabulary.join(used, "entity_id", "left_semi").select("entity_id", F.explode(F.array_distinct(F.split("synonyms", r"\|"))).alias("synonym")).where("synonym <> ''")
+
+
+def watermark(documents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(last_update): the newest insertion date of documents and of the stored watermark, which it replaces."""
+    dates = documents.select(F.col("date_inserted").cast("date").alias("last_update"))
+    return (dates if stored is None else dates.unionByName(stored.select("last_update"))).agg(F.max("last_update").alias("last_update"))
+
+
 def find_entities(index: DataFrame, term: str) -> DataFrame:
     """Entities with a synonym that has, for every word of the term, a word that begins with it, in any order."""
     tests = [F.contains("synonym_processed", F.lit(f" {w}")) for w in T.search_words(term)]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shortened
+from ..functions.text import rounded, shortened
 from ..model import ANY, Query, Var, Vocabulary
 
 DOC = ["document_collection", "document_id"]
@@ -37,7 +37,17 @@ def by_ids(provenance: DataFrame, predications: DataFrame, sentences: DataFrame)
     return provenance.join(predications, "predication_id").join(sentences.select("sentence_id", shortened(F.col("text")).alias("sentence")), "sentence_id")
 
 
-def merged(explained: DataFrame, key: list[str]) -> DataFrame:
-    """Explanations of one pattern and sentence as one: distinct words of each side joined, best confidence."""
-    join = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "//").alias(c)
-    return explained.groupBy(*key).agg(join("subject_id"), join("relation"), join("object_id"), F.max("confidence").alias("confidence"), F.count("*").alias("statements"))
+def merged(explained: DataFrame, key: list[str], order: list[str] = ("subject_id", "relation", "object_id")) -> DataFrame:
+    """Explanations of one pattern and sentence as one, taken in order: a word joins those of its side unless what is there already holds it as a part; best confidence."""
+    rows = explained.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "subject_id", "relation", "object_id"])))).alias("__s"), F.max("confidence").alias("confidence"), F.count("*").alias("statements"))  # a sentence's statements
+
+    def join(c):
+        words = F.filter(F.transform("__s", lambda x: x[c]), lambda w: w.isNotNull())
+        return F.aggregate(words, F.lit(None).cast("string"), lambda acc, w: F.when(acc.isNull(), w).when(F.contains(acc, w), acc).otherwise(F.concat(acc, F.lit("//"), w))).alias(c)
+
+    return rows.select(*key, *[join(c) for c in ("subject_id", "relation", "object_id")], "confidence", "statements")
+
+
+def shown(explanations: DataFrame) -> DataFrame:
+    """Explanations as they are shown: by pattern, highest confidence first, to two decimals."""
+    return explanations.orderBy("pattern", F.desc("confidence")).withColumn("confidence", rounded(F.col("confidence")))

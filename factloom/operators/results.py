@@ -33,6 +33,17 @@ def by_classes(rows: DataFrame, wanted: list[str]) -> DataFrame:
     return rows.where(F.size(F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("classifications", F.array().cast("array<string>")))) == 0)
 
 
+def main_view(rows: DataFrame, title: str = "", classes: list[str] = (), first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, histogram) of a search: title, then classes, then the histogram is taken, then years."""
+    rows = by_classes(by_title(rows, title), list(classes))
+    return by_year(rows, first, last), year_histogram(rows)
+
+
+def recommendation_view(rows: DataFrame, title: str = "", classes: list[str] = (), first: int | None = None, last: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, histogram) of recommendations: the histogram is taken first, then years, title and classes."""
+    return by_classes(by_title(by_year(rows, first, last), title), list(classes)), year_histogram(rows)
+
+
 def tree_level(answer: DataFrame, variables: list[str]) -> DataFrame:
     """Sizes of the groups at one level of the substitution tree: the entities of the first variables."""
     return answer.groupBy(*[f"{v}_{k}" for v in variables for k in ("id", "type")]).agg(F.count("*").alias("n"), F.countDistinct("document_collection", "document_id").alias("n_documents"))
@@ -55,14 +66,43 @@ def newest_first(rows: DataFrame, per: list[str], keep: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
-def ontology_counts(answer: DataFrame, variable: str, ontology: DataFrame) -> DataFrame:
-    """(node, parent, n) for every tree number and all its prefixes; a document under several numbers counts at each."""
+def single_variable(query) -> str:
+    """The one variable that an ontology grouping needs; more are refused."""
+    names = query.variables()
+    if len(names) != 1:
+        raise ValueError(f"an ontology grouping needs one variable, not {len(names)}")
+    return names[0]
+
+
+def ontology_counts(answer: DataFrame, variable: str, ontology: DataFrame, roots: dict[str, list[str]] | None = None) -> DataFrame:
+    """(node, parent, n) for every tree number and all its prefixes; a document under several numbers counts at each.
+
+    roots: for each entity type the beginnings of the tree numbers that it is shown under; other numbers and types are left out.
+    """
     parts = F.split("tree_no", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    rows = answer.join(ontology.select(F.col("descriptor_id").alias(f"{variable}_id"), "tree_no"), f"{variable}_id").select(F.explode(prefixes).alias("node"))
+    rows = answer.join(ontology.select(F.col("descriptor_id").alias(f"{variable}_id"), "tree_no"), f"{variable}_id")
+    if roots is not None:
+        shown = F.lit(False)
+        for kind, begins in roots.items():
+            for r in begins:
+                shown |= (F.col(f"{variable}_type") == kind) & F.startswith("tree_no", F.lit(r))
+        rows = rows.where(shown)
+    rows = rows.select(F.explode(prefixes).alias("node"))
     return rows.groupBy("node").agg(F.count("*").alias("n")).withColumn("parent", F.when(F.contains("node", F.lit(".")), F.regexp_replace("node", r"\.[^.]*$", "")))
 
 
+def sorted_groups(rows: DataFrame, levels: list[str]) -> DataFrame:
+    """rows (levels, document_id, publication_year, publication_month) with a rank for each level, largest groups first (then by name), and ``document_rank``, newest first."""
+    for i, level in enumerate(levels):
+        above, own = levels[:i], levels[: i + 1]
+        sizes = rows.groupBy(*own).agg(F.count("*").alias("__n"))
+        order = Window.partitionBy(*above).orderBy(F.desc("__n"), level)  # one row a group
+        rows = rows.join(sizes.withColumn(f"{level}_rank", F.row_number().over(order)).drop("__n"), own)
+    newest = Window.partitionBy(*levels).orderBy(F.desc("publication_year"), F.desc("publication_month"), F.desc("document_id"))
+    return rows.withColumn("document_rank", F.row_number().over(newest))
+
+
 def outside_ontology(answer: DataFrame, variable: str, ontology: DataFrame) -> DataFrame:
     """Groups of bindings that no tree number covers, by type."""
     rest = answer.join(ontology.select(F.col("descriptor_id").alias(f"{variable}_id")), f"{variable}_id", "left_anti")

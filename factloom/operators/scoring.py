@@ -34,10 +34,10 @@ def positions(tags: DataFrame) -> DataFrame:
 
 
 def concepts(tags: DataFrame, lengths: DataFrame, idfs: DataFrame) -> DataFrame:
-    """Coverage, tf (share of the document's mentions), idf and their product for each entity of each document."""
-    total = tags.groupBy(*DOC).agg(F.count("*").alias("total"))
+    """Coverage, tf (share of the document's mentions), idf and their product for each entity of each document. Mentions are brought together by document once."""
+    own = positions(tags.repartition(*DOC)).withColumn("total", F.sum("mentions").over(Window.partitionBy(*DOC)))
     coverage = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("last_pos") - F.col("first_pos"), F.col("text_len"))))
-    rows = positions(tags).join(total, DOC).join(lengths, DOC).join(idfs.select("ent_id", "ent_type", "support", "idf"), ["ent_id", "ent_type"])
+    rows = own.join(lengths, DOC).join(idfs.select("ent_id", "ent_type", "support", "idf"), ["ent_id", "ent_type"])
     rows = rows.withColumn("coverage", F.coalesce(coverage, F.lit(0.0))).withColumn("tf", F.col("mentions") / F.col("total"))
     return rows.withColumn("score", F.col("coverage") * F.col("tf") * F.col("idf"))
 
@@ -63,17 +63,36 @@ def _weight() -> Column:
 def edges(predications: DataFrame, concepts_: DataFrame, symmetric: list[str] = ()) -> DataFrame:
     """Statements of documents with a score: the smaller coverage x confidence x relation weight x mean tf-idf of both ends.
 
-    An end without mentions has coverage 0; statements between entities of one type are left out.
+    An end without mentions has coverage 0; statements between entities of one type are left out. A document's concepts are looked up as a map, so
+    statements meet them in one join by document for both ends.
     """
     s = confidences(predications, list(symmetric)).where("subject_type <> object_type")
-    ends = concepts_.select(*DOC, "ent_id", "ent_type", "coverage", (F.col("tf") * F.col("idf")).alias("w"))
-    for side in ("subject", "object"):
-        s = s.join(ends.select(*DOC, F.col("ent_id").alias(f"{side}_id"), F.col("ent_type").alias(f"{side}_type"), F.col("coverage").alias(f"{side}_cov"), F.col("w").alias(f"{side}_w")), [*DOC, f"{side}_id", f"{side}_type"], "left")
-    least = F.least(F.coalesce("subject_cov", F.lit(0.0)), F.coalesce("object_cov", F.lit(0.0)))
-    mean = 0.5 * (F.coalesce("subject_w", F.lit(0.0)) + F.coalesce("object_w", F.lit(0.0)))
+    ends = concepts_.groupBy(*DOC).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("ent_id", "ent_type"), F.struct("coverage", (F.col("tf") * F.col("idf")).alias("w"))))).alias("ends"))  # the entities of one document
+    s = s.join(ends, DOC, "left")
+    end = lambda side, of: F.coalesce(F.try_element_at("ends", F.struct(F.col(f"{side}_id").alias("ent_id"), F.col(f"{side}_type").alias("ent_type")))[of], F.lit(0.0))
+    least, mean = F.least(end("subject", "coverage"), end("object", "coverage")), 0.5 * (end("subject", "w") + end("object", "w"))
     return s.select(*DOC, "subject_id", "subject_type", "relation", "object_id", "object_type", "confidence", (least * F.col("confidence") * _weight() * mean).alias("score"))
 
 
+def representative_sentences(predications: DataFrame, edges_: DataFrame, sentence: str = "sentence_no") -> DataFrame:
+    """The sentence shown for each pair of entities of a document: that of its lowest scored statement (least sentence of ties)."""
+    statement = [*DOC, "subject_id", "subject_type", "relation", "object_id", "object_type"]
+    rows = edges_.select(*statement, "score").join(predications.select(*statement, sentence), statement)
+    pair = [F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b")]
+    return rows.groupBy(*DOC, *pair).agg(F.min(F.struct("score", sentence)).alias("x")).select(*DOC, "a", "b", f"x.{sentence}")
+
+
+def top_facts(graph: DataFrame, k: int) -> DataFrame:
+    """The k best edges of each document graph (document, a, b, score)."""
+    order = Window.partitionBy(*DOC).orderBy(F.desc("score"), "a", "b")
+    return graph.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nodes_of(facts_: DataFrame) -> DataFrame:
+    """The nodes that are left when only these edges are shown."""
+    return facts_.select(*DOC, F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def document_graph(edges_: DataFrame) -> DataFrame:
     """One edge for each pair of entities of a document: its relations (the general one only if alone) and its best score."""
     g = edges_.groupBy(*DOC, F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b")).agg(F.sort_array(F.collect_set("relation")).alias("r"), F.max("score").alias("score"))
@@ -88,36 +107,70 @@ def statement_core(edges_: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(pair)).where("r = 1").drop("r")
 
 
-def first_stage(core: DataFrame, tags: DataFrame, scale: bool = True) -> DataFrame:
-    """Documents that mention core concepts, scored by the sum of the concepts' scores, best 1."""
-    rows = tags.select(*DOC, "ent_id", "ent_type").distinct().join(core.select("ent_id", "ent_type", F.col("score").alias("w")), ["ent_id", "ent_type"])
-    sums = rows.groupBy(*DOC).agg(F.sum("w").alias("score"))
+QUERY = ["query_collection", "query_id"]
+
+
+def as_query(core: DataFrame) -> DataFrame:
+    """A core with its document named as the query's."""
+    return core.withColumnsRenamed(dict(zip(DOC, QUERY)))
+
+
+def first_stage(core: DataFrame, tags: DataFrame, scale: bool = True, per: list[str] = ()) -> DataFrame:
+    """Documents that mention core concepts, scored by the sum of the concepts' scores, best 1. per: columns of core that tell several queries apart."""
+    rows = tags.select(*DOC, "ent_id", "ent_type").distinct().join(core.select(*per, "ent_id", "ent_type", F.col("score").alias("w")), ["ent_id", "ent_type"])
+    sums = rows.groupBy(*per, *DOC).agg(F.sum("w").alias("score"))
     if not scale:
         return sums
-    best = sums.agg(F.max("score").alias("best"))
-    return sums.crossJoin(F.broadcast(best)).select(*DOC, F.try_divide("score", "best").alias("score"))  # best is one row
+    best = sums.groupBy(*per).agg(F.max("score").alias("best"))
+    both = sums.join(best, list(per)) if per else sums.crossJoin(F.broadcast(best))  # best is one row
+    return both.select(*per, *DOC, F.try_divide("score", "best").alias("score"))
+
+
+def dynamic_cutoff(ranked: DataFrame, cutoff: int = CUTOFF, hard: int = HARD_CUTOFF, per: list[str] = ()) -> DataFrame:
+    """The best ``cutoff`` documents, longer while scores tie with the next one, at most ``hard``; if nothing scores lower, just ``cutoff``. For each query (per)."""
+    order = [F.desc("score"), F.desc("document_id"), F.desc("document_collection")]
+    all_ = Window.partitionBy(*per)
+    if per:
+        rows = ranked.withColumn("rank", F.row_number().over(all_.orderBy(*order))).where(F.col("rank") <= hard + 1)
+    else:
+        rows = ranked.orderBy(*order).limit(hard + 1).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over hard + 1 rows
+    tie = F.max(F.when(F.col("rank") == cutoff + 1, F.col("score"))).over(all_)
+    low = ranked.groupBy(*per).agg(F.min("score").alias("low"))
+    rows = rows.withColumn("tie", tie)
+    rows = rows.join(low, list(per)) if per else rows.crossJoin(F.broadcast(low))  # low is one row
+    return rows.where((F.col("rank") <= cutoff) | ((F.col("low") < F.col("tie")) & (F.col("score") >= F.col("tie")))).where(F.col("rank") <= hard).select(*per, *DOC, "score", "rank")
 
 
-def dynamic_cutoff(ranked: DataFrame, cutoff: int = CUTOFF, hard: int = HARD_CUTOFF) -> DataFrame:
-    """The best ``cutoff`` documents, longer while scores tie with the next one, at most ``hard``; if nothing scores lower, just ``cutoff``."""
-    top = ranked.orderBy(F.desc("score"), F.desc("document_id"), F.desc("document_collection")).limit(hard + 1)
-    w = Window.orderBy(F.desc("score"), F.desc("document_id"), F.desc("document_collection"))  # over hard + 1 rows
-    rows = top.withColumn("rank", F.row_number().over(w))
-    all_ = Window.partitionBy()
-    tie = F.max(F.when(F.col("rank") == cutoff + 1, F.col("score"))).over(all_)
-    low = ranked.agg(F.min("score").alias("low"))
-    rows = rows.withColumn("tie", tie).crossJoin(F.broadcast(low))
-    return rows.where((F.col("rank") <= cutoff) | ((F.col("low") < F.col("tie")) & (F.col("score") >= F.col("tie")))).where(F.col("rank") <= hard).select(*DOC, "score", "rank")
+def core_overlap(core: DataFrame, candidates: DataFrame, per: list[str] = ()) -> DataFrame:
+    """Candidates' statement cores against an input's: the input's scores of the pairs both have, summed. per: columns of both that tell queries apart."""
+    own = core.select(*per, "a", "b", F.col("score").alias("w"))
+    return candidates.join(own, [*per, "a", "b"]).groupBy(*per, *DOC).agg(F.sum("w").alias("score"), F.count("*").alias("shared"))
+
+
+def candidates(queries: DataFrame, tags: DataFrame, documents: DataFrame, lengths: DataFrame, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """((query, document, score, rank) of the first stage, idfs). queries are documents; each is left out of its own candidates, the cut-off counts it.
+
+    Only the queries' concepts are scored; of the other documents no more than their mentions is read. Scores are rounded before they are ranked.
+    """
+    idfs = idf(tags, documents)
+    core = as_query(concept_core(concepts(tags.join(queries, DOC, "left_semi"), lengths.join(queries, DOC, "left_semi"), idfs)))
+    ranked = first_stage(core, tags, per=QUERY).withColumn("score", F.round("score", digits))
+    cut = dynamic_cutoff(ranked, per=QUERY)
+    return cut.where((F.col("query_id") != F.col("document_id")) | (F.col("query_collection") != F.col("document_collection"))), idfs
 
 
-def core_overlap(core: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates' statement cores against an input's: the input's scores of the pairs both have, summed."""
-    own = core.select("a", "b", F.col("score").alias("w"))
-    return candidates.join(own, ["a", "b"]).groupBy(*DOC).agg(F.sum("w").alias("score"), F.count("*").alias("shared"))
+def recommend(queries: DataFrame, tags: DataFrame, documents: DataFrame, lengths: DataFrame, predications: DataFrame) -> DataFrame:
+    """(query, document, rank of the first stage, score and shared of the second): both stages. Statement cores are only made of queries and candidates."""
+    first, idfs = candidates(queries, tags, documents, lengths)
+    wanted = first.select(*DOC).unionByName(queries.select(*DOC)).distinct()
+    own = statement_core(edges(predications.join(wanted, DOC, "left_semi"), concepts(tags.join(wanted, DOC, "left_semi"), lengths.join(wanted, DOC, "left_semi"), idfs)))
+    asked = as_query(own.join(queries, DOC, "left_semi"))
+    found = core_overlap(asked, first.select(*QUERY, *DOC).join(own, DOC), per=QUERY)
+    return first.select(*QUERY, *DOC, "rank").join(found, [*QUERY, *DOC])
 
 
 def explanation_graph(core: DataFrame, candidate: DataFrame, shared: int = 7, total: int = 13) -> DataFrame:
-    """The strongest shared pairs of a candidate document, then its further pairs that touch the input's concepts."""
+    """The strongest shared pairs of a candidate document, then its further pairs that touch the input's concepts; a_shared and b_shared tell which ends both documents have."""
     own = core.select("a", "b").distinct().withColumn("both", F.lit(True))
     names = core.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     rows = candidate.join(own, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(False)))
@@ -127,4 +180,4 @@ def explanation_graph(core: DataFrame, candidate: DataFrame, shared: int = 7, to
     w = Window.partitionBy(*DOC, "both").orderBy(F.desc("score"), "a", "b")
     ranked = touching.withColumn("r", F.row_number().over(w)).where(~F.col("both") | (F.col("r") <= shared))
     order = Window.partitionBy(*DOC).orderBy(F.desc("both"), F.desc("score"), "a", "b")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total).select(*DOC, "a", "b", "relation", "both", "rank")
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total).select(*DOC, "a", "b", "relation", "both", F.coalesce("in_a", F.lit(False)).alias("a_shared"), F.coalesce("in_b", F.lit(False)).alias("b_shared"), "rank")

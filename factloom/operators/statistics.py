@@ -32,19 +32,26 @@ def best_types(tags: DataFrame, ids: DataFrame, preferred: str | None = None) ->
 
 
 def keyword_chains(schema: DataFrame, types: list[str], top: int | None = None) -> DataFrame:
-    """Chains of relations that connect typed keywords in some order, by their least supported edge; ``associated`` joins any two types with 0."""
-    chains = None
-    for order in permutations(range(len(types))):
-        rows = None
-        for i, (a, b) in enumerate(zip(order, order[1:])):
-            edge = schema.where((F.col("subject_type") == types[a]) & (F.col("object_type") == types[b])).select(F.col("relation").alias(f"r{i}"), F.col("support").alias(f"s{i}"))
-            free = edge.sparkSession.range(1).select(F.lit("associated").alias(f"r{i}"), F.lit(0).cast("long").alias(f"s{i}"))
-            edge = edge.unionByName(free.join(edge.where(F.col(f"r{i}") == "associated"), f"r{i}", "left_anti"))
-            rows = edge if rows is None else rows.crossJoin(edge)  # a few relations between two types
-        n = len(types) - 1
-        support = F.least(*[F.col(f"s{i}") for i in range(n)]) if n > 1 else F.col("s0")
-        chain = rows.select(F.lit("-".join(types[i] for i in order)).alias("chain"), F.concat_ws(",", *[F.col(f"r{i}") for i in range(n)]).alias("relations"), support.alias("support"))
-        chains = chain if chains is None else chains.unionByName(chain)
+    """Chains of relations that connect typed keywords in some order, with the support that they are ranked by; ``associated`` joins any two types, with 0.
+
+    The support starts at the first edge that has any and is then the least so far, so an edge without support before the others does not count. Of chains
+    that differ only in the direction of their edges the first order of keywords stays.
+    """
+    spark = schema.sparkSession
+    orders = [(k, list(o), [types[i] for i in o]) for k, o in enumerate(permutations(range(len(types))))]  # at most 120 for five keywords
+    pairs = sorted({(a, b) for _, _, t in orders for a, b in zip(t, t[1:])})
+    known = schema.where(F.col("subject_type").isin(types) & F.col("object_type").isin(types))
+    free = spark.createDataFrame(pairs, "subject_type string, object_type string").withColumn("relation", F.lit("associated"))
+    relations = known.select("subject_type", "object_type", "relation", "support").unionByName(free.join(known, free.columns, "left_anti").withColumn("support", F.lit(0).cast("long")))
+    rows = spark.createDataFrame(orders, "k int, o array<int>, t array<string>").withColumn("edges", F.array().cast("array<struct<a:int,b:int,r:string>>")).withColumn("relations", F.array().cast("array<string>")).withColumn("support", F.lit(0).cast("long"))
+    for i in range(len(types) - 1):
+        step = relations.select(F.col("subject_type").alias("__s"), F.col("object_type").alias("__o"), F.col("relation").alias("__r"), F.col("support").alias("__n"))
+        rows = rows.join(F.broadcast(step), (F.col("t")[i] == F.col("__s")) & (F.col("t")[i + 1] == F.col("__o")))  # a few relations of each pair of types
+        edge = F.struct(F.least(F.col("o")[i], F.col("o")[i + 1]).alias("a"), F.greatest(F.col("o")[i], F.col("o")[i + 1]).alias("b"), F.col("__r").alias("r"))
+        support = F.when((F.col("support") == 0) & (F.col("__n") > 0), F.col("__n")).otherwise(F.least("support", "__n"))
+        rows = rows.select("k", "o", "t", F.array_append("edges", edge).alias("edges"), F.array_append("relations", F.col("__r")).alias("relations"), support.alias("support"))
+    first = F.min(F.struct("k", F.array_join("t", "-").alias("chain"), F.array_join("relations", ",").alias("relations"), "support")).alias("x")
+    chains = rows.groupBy(F.array_sort("edges").alias("edges")).agg(first).select("x.chain", "x.relations", "x.support")
     return chains if top is None else chains.orderBy(F.desc("support"), "chain", "relations").limit(top)
 
 
@@ -69,6 +76,30 @@ def with_phase(rows: DataFrame, phases: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(phases, key, "left").withColumn("phase", F.coalesce("phase", F.lit(-1)))
 
 
+def sampled_documents(tags: DataFrame, per_entity: int = 100, seed: int = 0) -> DataFrame:
+    """(ent_id, ent_type, document) of at most per_entity documents of each entity, the same for the same seed. The sample is the feature: keywords are drawn from it."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "document_collection", F.col("document_id").cast("string")))
+    order = Window.partitionBy("ent_id", "ent_type").orderBy(drawn, "document_id")
+    rows = tags.select(*DOC, "ent_id", "ent_type").distinct()
+    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_entity).drop("__n")
+
+
+def stem(word):
+    """A light stem: common English endings off words that keep three letters."""
+    return F.regexp_replace(F.lower(word), "^(.*[a-z]{3})(ing|ed|ly|s)$", "$1")
+
+
+def shortest_words(words: DataFrame) -> DataFrame:
+    """(stem, word): the shortest word of each stem, the first in order of equals."""
+    return words.groupBy(stem(F.col("word")).alias("stem")).agg(F.min(F.struct(F.length("word").alias("n"), F.col("word"))).alias("x")).select("stem", "x.word")
+
+
+def merged_keywords(scored: DataFrame) -> DataFrame:
+    """(entity_id, term, score) with the terms of one stem as one, named by the shortest, with the best (lowest) score."""
+    own = scored.groupBy("entity_id", stem(F.col("term")).alias("stem")).agg(F.min(F.struct(F.length("term").alias("n"), F.col("term"))).alias("x"), F.min("score").alias("score"))
+    return own.select("entity_id", "x.term", "score")
+
+
 def frequent_terms(keywords: DataFrame, top: int = 200) -> DataFrame:
     """The most frequent keywords over all entities."""
     return keywords.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+import re
+from itertools import permutations, product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,11 +30,19 @@ def without_plurals(terms: DataFrame, least: int = 5) -> DataFrame:
 
 
 def word_orders(name: str, most: int = 5) -> list[str]:
-    """All orders of a name's words; names that are long or hold a preposition stay."""
-    words = name.split(" ")
-    if len(words) > most or {"For", "Of", "Off"} & set(words):
+    """All orders of a name's words. Parts between And and Or are permuted each and change places; names that are long or hold For, Of or Off stay."""
+    if re.search("For|Of", name):
         return [name]
-    return sorted({" ".join(p) for p in permutations(words)})
+    parts = re.split(" (And|Or) ", name)
+    if len(parts) == 1:
+        words = name.split(" ")
+        return [name] if len(words) > most else sorted({" ".join(p) for p in permutations(words)})
+    orders = [word_orders(p.strip(), most) for p in parts[::2]]
+    out = set()
+    for choice in product(*orders):
+        for own in permutations(choice):
+            out.add("".join(f"{p} {c} " for p, c in zip(own, [*parts[1::2], ""])).strip())
+    return sorted(out)
 
 
 def explanation(names: list[str], most: int) -> list[str]:
@@ -53,6 +62,12 @@ def listed(rows: DataFrame, name: str, text: str, order: str = "count") -> DataF
     return rows.where(test).orderBy(*by)
 
 
+def top_nodes(nodes: DataFrame, k: int = 20) -> DataFrame:
+    """The k most frequent nodes of each type, of (node, type, n)."""
+    order = Window.partitionBy("type").orderBy(F.desc("n"), "node")
+    return nodes.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+
+
 def visible_network(edges: DataFrame, shown: DataFrame) -> DataFrame:
     """Edges between nodes (node) that are shown."""
     return edges.join(shown.select(F.col("node").alias("source")), "source", "left_semi").join(shown.select(F.col("node").alias("target")), "target", "left_semi")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..model import ANY, Pattern, Query
 from ..operators import matching, provenance, results, scoring, statistics, suggest
 from ..sources import star
 from .indexes import _index
-from .patterns import B, N, V, _facts
+from .patterns import B, N, V, _facts, _statements
 
-LENGTH = 120
 AS_OF = "2024-01-20"
 DOC = scoring.DOC
 
@@ -31,10 +31,13 @@ def _one(spark, d, rows):
     return rows.join(F.broadcast(_target(spark, d)), DOC, "left_semi")  # one row
 
 
+def _lengths(spark, d):
+    return star.document(spark, d).select(*DOC, (F.length("title") * 5).alias("text_len"))
+
+
 def _concepts(spark, d):
     tags = star.tag(spark, d)
-    lengths = star.document(spark, d).select(*DOC, F.lit(LENGTH).alias("text_len"))
-    return scoring.concepts(tags, lengths, scoring.idf(tags, star.document(spark, d)))
+    return scoring.concepts(tags, _lengths(spark, d), scoring.idf(tags, star.document(spark, d)))
 
 
 def _edges(spark, d):
@@ -45,7 +48,7 @@ PROBE = Query((Pattern(N(1, 2, 3), ANY, B(2)), Pattern(B(3, 4), "interacts", N(5
 
 
 def explain_document(spark, d):
-    found = matching.match(_facts(spark, d), Query((Pattern(N(1, 2, 3), ANY, B(2)),)), V)
+    found = matching.match(_statements(spark, d), Query((Pattern(N(1, 2, 3), ANY, B(2)),)), V)
     rows = provenance.explain(star.predication(spark, d), PROBE, V, found)
     return rows.select("document_id", "pattern", "subject_id", "relation", "object_id", "sentence_no", F.round("confidence", 2).alias("confidence"))
 
@@ -64,24 +67,66 @@ def provenance_sentences(spark, d):
 
 
 def first_stage(spark, d):
-    core = _one(spark, d, scoring.concept_core(_concepts(spark, d)))
+    core = scoring.concept_core(_target_concepts(spark, d)[0])
     return _r(scoring.first_stage(core, star.tag(spark, d)), "score")
 
 
+def _target_concepts(spark, d):
+    """Concepts of the one input document, and idfs."""
+    tags = star.tag(spark, d)
+    idfs = scoring.idf(tags, star.document(spark, d))
+    return scoring.concepts(_one(spark, d, tags), _one(spark, d, _lengths(spark, d)), idfs), idfs
+
+
 def dynamic_cutoff(spark, d):
-    core = _one(spark, d, scoring.concept_core(_concepts(spark, d)))
-    ranked = _r(scoring.first_stage(core, star.tag(spark, d)), "score")
-    return scoring.dynamic_cutoff(ranked).select(*DOC, "score", F.col("rank").cast("long").alias("rank"))
+    return scoring.dynamic_cutoff(first_stage(spark, d)).select(*DOC, "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _cores(spark, d, digits=None):
+    """Statement cores of the input document and of its candidates, no others."""
+    target = _target(spark, d)
+    found = dynamic_cutoff(spark, d).join(F.broadcast(target), DOC, "left_anti").select(*DOC)
+    wanted = F.broadcast(found.unionByName(target))  # at most HARD_CUTOFF + 1 rows
+    own = lambda rows: rows.join(wanted, DOC, "left_semi")
+    edges = scoring.edges(own(star.predication(spark, d)), scoring.concepts(own(star.tag(spark, d)), own(_lengths(spark, d)), _target_concepts(spark, d)[1]))
+    core = scoring.statement_core(edges.withColumn("score", F.round("score", digits)) if digits else edges)
+    return _one(spark, d, core), core.join(F.broadcast(target), DOC, "left_anti")
 
 
 def core_overlap(spark, d):
-    core = scoring.statement_core(_edges(spark, d))
-    return _r(scoring.core_overlap(_one(spark, d, core), core.join(F.broadcast(_target(spark, d)), DOC, "left_anti")), "score")
+    return _r(scoring.core_overlap(*_cores(spark, d)), "score")
 
 
 def explanation_graph(spark, d):
-    core = scoring.statement_core(_edges(spark, d).withColumn("score", F.round("score", 9)))
-    return scoring.explanation_graph(_one(spark, d, core), core.join(F.broadcast(_target(spark, d)), DOC, "left_anti")).select(*DOC, "a", "b", "both")
+    return scoring.explanation_graph(*_cores(spark, d, 9)).select(*DOC, "a", "b", "both", "a_shared", "b_shared")
+
+
+def recommendations(spark, d):
+    """Both stages for every document whose id is divisible by 100."""
+    docs = star.document(spark, d)
+    found = scoring.recommend(docs.where("document_id % 100 = 0").select(*DOC), star.tag(spark, d), docs, _lengths(spark, d), star.predication(spark, d))
+    return _r(found.withColumn("rank", F.col("rank").cast("long")), "score")
+
+
+def document_graph_top(spark, d):
+    graph = scoring.document_graph(_edges(spark, d)).withColumn("score", F.round("score", 9))
+    return scoring.top_facts(graph, 3)
+
+
+def confidence_rounded(spark, d):
+    x = star.table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 400).alias("x"), (F.col("l_linenumber") + F.col("l_quantity").cast("double") / 1000).alias("y")).distinct()
+    return x.select(F.round("x", 6).alias("x"), rounded(F.col("x")).alias("x2"), F.round("y", 6).alias("y"), rounded(F.col("y")).alias("y2"))
+
+
+def keyword_sample(spark, d):
+    return statistics.sampled_documents(star.tag(spark, d).where("ent_type = 'Nation'"), 20, 7)
+
+
+def _scored(spark, d):
+    """Words of product names, by brand, rarer ones with a lower score."""
+    words = star.table(spark, d, "part").select(F.col("p_brand").alias("entity_id"), F.explode(F.split("p_name", " ")).alias("w"))
+    words = words.select("entity_id", F.explode(F.array("w", F.concat("w", F.lit("s")), F.concat("w", F.lit("ing")))).alias("term"))
+    return words.groupBy("entity_id", "term").agg((1.0 / F.count("*") + F.length("term")).alias("score"))
 
 
 def trial_phase_max(spark, d):
@@ -101,8 +146,8 @@ def _log(spark, d):
     return star.query_log(spark, d)
 
 
-def _chains(spark, d):
-    return statistics.keyword_chains(statistics.schema_support(star.predication(spark, d)), ["Nation", "Brand"])
+def _chains(spark, d, types=("Nation", "Brand")):
+    return statistics.keyword_chains(statistics.schema_support(star.predication(spark, d)), list(types))
 
 
 def best_entity_type(spark, d):
@@ -114,9 +159,9 @@ def best_entity_type(spark, d):
 
 def network(spark, d):
     f = _facts(spark, d).groupBy(F.col("subject_id").alias("source"), F.col("object_id").alias("target")).agg(F.count("*").alias("n"))
-    shown = f.groupBy(F.col("source").alias("node")).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "node").limit(5).select("node")
-    brands = f.groupBy(F.col("target").alias("node")).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "node").limit(5).select("node")
-    return suggest.visible_network(f, shown.unionByName(brands)).select("source", "target", "n")
+    ends = f.select(F.col("source").alias("node"), F.lit("source").alias("type"), "n").unionByName(f.select(F.col("target").alias("node"), F.lit("target").alias("type"), "n"))
+    shown = suggest.top_nodes(ends.groupBy("node", "type").agg(F.sum("n").alias("n")), 5).select("node")
+    return suggest.visible_network(f, shown).select("source", "target", "n")
 
 
 QUERIES = {
@@ -134,6 +179,15 @@ QUERIES = {
     "concept_core_all": lambda s, d: _r(scoring.concept_core(_concepts(s, d)).select(*DOC, "ent_id", "score"), "score"),
     "statement_core": lambda s, d: scoring.statement_core(_edges(s, d).withColumn("score", F.round("score", 9))).select(*DOC, "a", "b", "relation", "score"),
     "first_stage": first_stage,
+    "recommendations": recommendations,
+    "representative_sentence": lambda s, d: scoring.representative_sentences(star.predication(s, d), _edges(s, d).withColumn("score", F.round("score", 9))).select(*DOC, "a", "b", "sentence_no"),
+    "document_graph_top": lambda s, d: document_graph_top(s, d).select(*DOC, "a", "b", "label", F.col("rank").cast("long").alias("rank")),
+    "document_graph_nodes": lambda s, d: scoring.nodes_of(document_graph_top(s, d)),
+    "confidence_rounded": confidence_rounded,
+    "keyword_sample": keyword_sample,
+    "keyword_stems": lambda s, d: statistics.shortest_words(_scored(s, d).select(F.col("term").alias("word"))),
+    "keyword_merged": lambda s, d: _r(statistics.merged_keywords(_scored(s, d)), "score"),
+    "keyword_chains": lambda s, d: _chains(s, d, ("Nation", "Brand", "Segment")),
     "dynamic_cutoff": dynamic_cutoff,
     "core_overlap": core_overlap,
     "explanation_graph": explanation_graph,
@@ -165,7 +219,7 @@ _C = "document_collection, document_id"
 _FX = {
     "sup": "SELECT ent_id, ent_type, count(DISTINCT (document_collection, document_id)) AS support FROM fx_tag GROUP BY ALL",
     "idfs": "SELECT ent_id, ent_type, support, ln(n / support) / ln(n) AS idf FROM sup, (SELECT CAST(count(*) AS DOUBLE) AS n FROM fx_document)",
-    "con": f"SELECT p.*, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (last_pos - first_pos) / {LENGTH}.0::DOUBLE)) AS coverage, mentions / CAST(total AS DOUBLE) AS tf, support, idf FROM (SELECT {_C}, ent_id, ent_type, count(*) AS mentions, min(start_pos) AS first_pos, max(end_pos) AS last_pos FROM fx_tag GROUP BY ALL) p JOIN (SELECT {_C}, count(*) AS total FROM fx_tag GROUP BY ALL) USING ({_C}) JOIN idfs USING (ent_id, ent_type)",
+    "con": f"SELECT p.document_collection, p.document_id, ent_id, ent_type, mentions, first_pos, last_pos, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (last_pos - first_pos) / CAST(length(title) * 5 AS DOUBLE))) AS coverage, mentions / CAST(total AS DOUBLE) AS tf, support, idf FROM (SELECT {_C}, ent_id, ent_type, count(*) AS mentions, min(start_pos) AS first_pos, max(end_pos) AS last_pos FROM fx_tag GROUP BY ALL) p JOIN (SELECT {_C}, count(*) AS total FROM fx_tag GROUP BY ALL) USING ({_C}) JOIN fx_document USING ({_C}) JOIN idfs USING (ent_id, ent_type)",
     "tgt": f"SELECT {_C} FROM (SELECT {_C}, count(*) AS n FROM fx_predication GROUP BY ALL) ORDER BY n DESC, document_id LIMIT 1",
 }
 _W = "CASE relation WHEN 'interacts' THEN 0.5 WHEN 'decreases' THEN 0.5 WHEN 'associated' THEN 0.25 ELSE 1.0 END"
@@ -173,7 +227,18 @@ _FX["edg"] = f"SELECT s.*, least(coalesce(a.coverage, 0), coalesce(b.coverage, 0
 _FX["core"] = f"SELECT * FROM (SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, relation, score, row_number() OVER (PARTITION BY {_C}, least(subject_id, object_id), greatest(subject_id, object_id) ORDER BY score DESC, relation, subject_id) AS r FROM edg) WHERE r = 1"
 _FX["fst"] = f"SELECT {_C}, round(s / max(s) OVER (), 6) AS score FROM (SELECT t.document_collection, t.document_id, sum(w) AS s FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag) t JOIN (SELECT ent_id, ent_type, coverage * tf * idf AS w FROM con SEMI JOIN tgt USING ({_C}) WHERE coverage * tf * idf > 0) USING (ent_id, ent_type) GROUP BY ALL)"
 
+_FX["dg"] = f"SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, array_to_string(list_sort(list(DISTINCT relation)), '|') AS label, round(max(score), 9) AS score FROM edg GROUP BY {_C}, least(subject_id, object_id), greatest(subject_id, object_id)"
+_FX["cut"] = f"SELECT {_C}, score, rank FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER () AS tie, min(score) OVER () AS low FROM (SELECT *, row_number() OVER (ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank FROM fst)) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie))"
+_FX["cand"] = f"SELECT core.* FROM core SEMI JOIN cut USING ({_C}) ANTI JOIN tgt USING ({_C})"
 _FX["own"] = f"SELECT * FROM core SEMI JOIN tgt USING ({_C})"
+_QC = "query_collection, query_id"
+_FX["qfst"] = f"SELECT {_QC}, {_C}, round(s / max(s) OVER (PARTITION BY {_QC}), 6) AS score FROM (SELECT {_QC}, t.document_collection, t.document_id, sum(w) AS s FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag) t JOIN (SELECT document_collection AS query_collection, document_id AS query_id, ent_id, ent_type, coverage * tf * idf AS w FROM con WHERE document_id % 100 = 0 AND coverage * tf * idf > 0) USING (ent_id, ent_type) GROUP BY ALL)"
+_FX["qcut"] = f"SELECT * FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER (PARTITION BY {_QC}) AS tie FROM (SELECT *, row_number() OVER (PARTITION BY {_QC} ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank, min(score) OVER (PARTITION BY {_QC}) AS low FROM qfst)) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie)) AND (query_id <> document_id OR query_collection <> document_collection)"
+
+
+def _rounded_sql(x: str) -> str:
+    m = f"(CAST(({x} - floor({x})) * 1152921504606846976 AS HUGEINT) * 100)"
+    return f"(floor({x}) * 100 + {m} // 1152921504606846976 + CASE WHEN {m} % 1152921504606846976 > 576460752303423488 OR ({m} % 1152921504606846976 = 576460752303423488 AND ({m} // 1152921504606846976) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE"
 
 
 def _q(body: str, *names: str) -> str:
@@ -185,11 +250,17 @@ _PHASE = "SELECT p_brand AS drug, p_type AS disease, max(CASE p_size % 6 WHEN 0
 _D = f"DATE '{AS_OF}'"
 _PROBE_SQL = "(subject_id IN ('NATION_1', 'NATION_2', 'NATION_3', 'Brand#2') AND object_id IN ('NATION_1', 'NATION_2', 'NATION_3', 'Brand#2') AND pattern = 0) OR (pattern = 1 AND relation IN ('interacts', 'metabolises', 'inhibits') AND subject_id IN ('Brand#3', 'Brand#4', 'NATION_5', 'NATION_6') AND object_id IN ('Brand#3', 'Brand#4', 'NATION_5', 'NATION_6'))"
 _SCHEMA = "SELECT subject_type, relation, object_type, count(DISTINCT (document_collection, document_id)) AS support FROM fx_predication WHERE relation IS NOT NULL GROUP BY ALL"
-_CHAINS = "SELECT 'Nation-Brand' AS chain, relation AS relations, support FROM sch WHERE subject_type = 'Nation' AND object_type = 'Brand' UNION ALL VALUES ('Nation-Brand', 'associated', 0), ('Brand-Nation', 'associated', 0)"
+_CHAINS = "SELECT 'Nation-Brand' AS chain, relation AS relations, support FROM sch WHERE subject_type = 'Nation' AND object_type = 'Brand' UNION ALL VALUES ('Nation-Brand', 'associated', 0)"
+_REL = "SELECT * FROM sch UNION ALL SELECT a, 'associated', b, 0 FROM (VALUES ('Nation', 'Brand'), ('Brand', 'Nation'), ('Nation', 'Segment'), ('Segment', 'Nation'), ('Brand', 'Segment'), ('Segment', 'Brand')) v(a, b)"
+_PERM = "SELECT k, o, list_transform(o, lambda i: ['Nation', 'Brand', 'Segment'][i + 1]) AS t FROM (VALUES (0, [0, 1, 2]), (1, [0, 2, 1]), (2, [1, 0, 2]), (3, [1, 2, 0]), (4, [2, 0, 1]), (5, [2, 1, 0])) v(k, o)"
+_CH3 = "SELECT chain, relations, support FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY k) AS r FROM (SELECT k, array_to_string(t, '-') AS chain, x.relation || ',' || y.relation AS relations, CASE WHEN x.support > 0 THEN least(x.support, y.support) ELSE y.support END AS support, list_sort([least(o[1], o[2]) || '/' || greatest(o[1], o[2]) || x.relation, least(o[2], o[3]) || '/' || greatest(o[2], o[3]) || y.relation]) AS canon FROM perm JOIN rel x ON x.subject_type = t[1] AND x.object_type = t[2] JOIN rel y ON y.subject_type = t[2] AND y.object_type = t[3])) WHERE r = 1"
+_SCORED = "SELECT entity_id, term, 1.0::DOUBLE / count(*) + length(term) AS score FROM (SELECT p_brand AS entity_id, unnest([w, w || 's', w || 'ing']) AS term FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)) GROUP BY entity_id, term"
+_STEM = "regexp_replace(lower(term), '^(.*[a-z]{3})(ing|ed|ly|s)$', '\\1')"
+_JOINED = lambda c: f"list_reduce(list({c} ORDER BY subject_id, relation, object_id), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || '//' || x END) AS {c}"
 _EDGE2 = "SELECT subject_id AS source, object_id AS target, count(*) AS n FROM facts GROUP BY ALL"
 ORACLE = {
     "explain_document": star.sql(f"SELECT document_id, pattern, subject_id, relation, object_id, sentence_no, round(confidence, 2)::DOUBLE AS confidence FROM fx_predication, (SELECT unnest([0, 1]) AS pattern) WHERE document_id IN (SELECT document_id FROM facts WHERE subject_id IN ('NATION_1', 'NATION_2', 'NATION_3') AND object_id = 'Brand#2') AND ({_PROBE_SQL})"),
-    "explain_merged": star.sql(f"SELECT document_id, pattern, sentence_no, array_to_string(list_sort(list(DISTINCT subject_id)), '//') AS subject_id, array_to_string(list_sort(list(DISTINCT relation)), '//') AS relation, array_to_string(list_sort(list(DISTINCT object_id)), '//') AS object_id, round(max(confidence), 6)::DOUBLE AS confidence, count(*) AS statements FROM fx_predication, (SELECT unnest([0, 1]) AS pattern) WHERE relation IS NOT NULL AND ({_PROBE_SQL}) GROUP BY document_id, pattern, sentence_no"),
+    "explain_merged": star.sql(f"SELECT document_id, pattern, sentence_no, {_JOINED('subject_id')}, {_JOINED('relation')}, {_JOINED('object_id')}, round(max(confidence), 6)::DOUBLE AS confidence, count(*) AS statements FROM fx_predication, (SELECT unnest([0, 1]) AS pattern) WHERE relation IS NOT NULL AND ({_PROBE_SQL}) GROUP BY document_id, pattern, sentence_no"),
     "provenance": star.sql("SELECT 0 AS pattern, document_id || '/' || subject_id || '/' || object_id || '/' || sentence_no AS predication_id, subject_id, relation, object_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '[...]' ELSE text END AS sentence FROM (SELECT DISTINCT document_id, subject_id, relation, object_id, sentence_no FROM fx_predication WHERE relation = 'treats' AND object_id = 'Brand#2' AND subject_id IN ('NATION_3', 'NATION_4')) JOIN documents ON doc_id = document_id"),
     "corpus_size": star.sql("SELECT document_collection, count(*) AS n_documents FROM fx_document GROUP BY 1"),
     "idf": _q("SELECT ent_id, ent_type, support, round(idf, 6) AS idf FROM idfs", "sup", "idfs"),
@@ -202,9 +273,18 @@ ORACLE = {
     "concept_core_all": _q(f"SELECT {_C}, ent_id, round(coverage * tf * idf, 6) AS score FROM con WHERE coverage * tf * idf > 0 AND support <= {scoring.MAX_SUPPORT}", *_ALL),
     "statement_core": _q(f"SELECT {_C}, a, b, relation, round(score, 9) AS score FROM core", *_ALL, "edg", "core").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
     "first_stage": _q(f"SELECT {_C}, score FROM fst", *_ALL, "tgt", "fst"),
-    "dynamic_cutoff": _q(f"SELECT {_C}, score, rank FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER () AS tie, min(score) OVER () AS low FROM (SELECT *, row_number() OVER (ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank FROM fst)) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie))", *_ALL, "tgt", "fst"),
-    "core_overlap": _q(f"SELECT c.document_collection, c.document_id, round(sum(i.score), 6) AS score, count(*) AS shared FROM core c JOIN (SELECT * FROM core SEMI JOIN tgt USING ({_C})) i ON c.a = i.a AND c.b = i.b WHERE (c.document_collection, c.document_id) NOT IN (SELECT (document_collection, document_id) FROM tgt) GROUP BY ALL", *_ALL, "edg", "core", "tgt"),
-    "explanation_graph": _q(f"SELECT {_C}, a, b, both_ AS both FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY both_ DESC, s DESC, a, b) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {_C}, both_ ORDER BY s DESC, a, b) AS k FROM (SELECT {_C}, a, b, round(score, 9) AS s, (a, b) IN (SELECT (a, b) FROM own) AS both_ FROM core WHERE (a IN (SELECT unnest([a, b]) FROM own) OR b IN (SELECT unnest([a, b]) FROM own)) AND (document_collection, document_id) NOT IN (SELECT (document_collection, document_id) FROM tgt))) WHERE NOT both_ OR k <= 7) WHERE rank <= 13", *_ALL, "edg", "core", "tgt", "own").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
+    "dynamic_cutoff": _q(f"SELECT {_C}, score, rank FROM cut", *_ALL, "tgt", "fst", "cut"),
+    "core_overlap": _q("SELECT c.document_collection, c.document_id, round(sum(i.score), 6) AS score, count(*) AS shared FROM cand c JOIN own i ON c.a = i.a AND c.b = i.b GROUP BY ALL", *_ALL, "edg", "core", "tgt", "fst", "cut", "cand", "own"),
+    "explanation_graph": _q(f"SELECT {_C}, a, b, both_ AS both, a_shared, b_shared FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY both_ DESC, s DESC, a, b) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {_C}, both_ ORDER BY s DESC, a, b) AS k FROM (SELECT *, (a, b) IN (SELECT (a, b) FROM own) AS both_ FROM (SELECT {_C}, a, b, round(score, 9) AS s, a IN (SELECT unnest([a, b]) FROM own) AS a_shared, b IN (SELECT unnest([a, b]) FROM own) AS b_shared FROM cand) WHERE a_shared OR b_shared)) WHERE NOT both_ OR k <= 7) WHERE rank <= 13", *_ALL, "edg", "core", "tgt", "fst", "cut", "cand", "own").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
+    "recommendations": _q(f"SELECT {_QC}, q.document_collection, q.document_id, rank, round(sum(i.score), 6) AS score, count(*) AS shared FROM qcut q JOIN core c ON c.document_id = q.document_id AND c.document_collection = q.document_collection JOIN core i ON i.document_id = query_id AND i.document_collection = query_collection AND i.a = c.a AND i.b = c.b GROUP BY {_QC}, q.document_collection, q.document_id, rank", *_ALL, "edg", "core", "qfst", "qcut"),
+    "representative_sentence": _q(f"SELECT {_C}, a, b, sentence_no FROM (SELECT *, row_number() OVER (PARTITION BY {_C}, a, b ORDER BY s, sentence_no) AS r FROM (SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, round(score, 9) AS s, sentence_no FROM edg JOIN (SELECT {_C}, subject_id, subject_type, relation, object_id, object_type, sentence_no FROM fx_predication) USING ({_C}, subject_id, subject_type, relation, object_id, object_type))) WHERE r = 1", *_ALL, "edg"),
+    "document_graph_top": _q(f"SELECT {_C}, a, b, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
+    "document_graph_nodes": _q(f"SELECT DISTINCT {_C}, unnest([a, b]) AS node FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
+    "confidence_rounded": f"SELECT DISTINCT round(x, 6) AS x, {_rounded_sql('x')} AS x2, round(y, 6) AS y, {_rounded_sql('y')} AS y2 FROM (SELECT CAST(l_quantity AS DOUBLE) / 400 AS x, l_linenumber + CAST(l_quantity AS DOUBLE) / 1000 AS y FROM lineitem)",
+    "keyword_sample": star.sql(f"SELECT ent_id, ent_type, {_C} FROM (SELECT *, row_number() OVER (PARTITION BY ent_id, ent_type ORDER BY md5('7:' || document_collection || ':' || document_id), document_id) AS r FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag WHERE ent_type = 'Nation')) WHERE r <= 20"),
+    "keyword_stems": f"SELECT stem, word FROM (SELECT {_STEM} AS stem, term AS word, row_number() OVER (PARTITION BY {_STEM} ORDER BY length(term), term) AS r FROM ({_SCORED})) WHERE r = 1",
+    "keyword_merged": f"SELECT entity_id, term, round(low, 6) AS score FROM (SELECT entity_id, term, min(score) OVER (PARTITION BY entity_id, {_STEM}) AS low, row_number() OVER (PARTITION BY entity_id, {_STEM} ORDER BY length(term), term) AS r FROM ({_SCORED})) WHERE r = 1",
+    "keyword_chains": star.sql("SELECT * FROM ch3", sch=_SCHEMA, rel=_REL, perm=_PERM, ch3=_CH3),
     "schema_support": star.sql("SELECT * FROM sch", sch=_SCHEMA),
     "type_cooccurrence": star.sql(f"SELECT x.ent_type AS type_a, y.ent_type AS type_b, count(*) AS support FROM (SELECT DISTINCT {_C}, ent_type FROM fx_tag) x JOIN (SELECT DISTINCT {_C}, ent_type FROM fx_tag) y USING ({_C}) GROUP BY ALL"),
     "best_entity_type": star.sql("SELECT ent_id, ent_type, support FROM (SELECT *, row_number() OVER (PARTITION BY ent_id ORDER BY support DESC, ent_type) AS r FROM (SELECT ent_id, ent_type, count(DISTINCT (document_collection, document_id)) AS support FROM (SELECT document_collection, document_id, ent_id, ent_type FROM fx_tag WHERE end_pos > 39 UNION ALL SELECT document_collection, document_id, ent_id, 'Alias' FROM fx_tag WHERE start_pos < 40) WHERE ent_id IN (SELECT descriptor_id FROM fx_ontology) GROUP BY ALL)) WHERE r = 1"),

@@ -19,8 +19,12 @@ def _facts(spark, d):
     return matching.facts(star.predication(spark, d))
 
 
+def _statements(spark, d):
+    return matching.statements(star.predication(spark, d))
+
+
 def _answer(*patterns, **options):
-    return lambda spark, d: matching.match(_facts(spark, d), Query(patterns), V, **options)
+    return lambda spark, d: matching.match(_statements(spark, d), Query(patterns), V, **options)
 
 
 def _meta(spark, d):
@@ -39,7 +43,7 @@ def var_class_name(spark, d):
 def filter_terms(spark, d):
     docs = star.document(spark, d).withColumnRenamed("title", "text")
     q = Query((Pattern(N(3), ANY, X("A", "Brand")),), terms=("Building", "1-URGENT"))
-    return matching.match(_facts(spark, d), q, V, term_index=indexing.term_rows(docs))
+    return matching.match(_statements(spark, d), q, V, term_index=indexing.term_rows(docs))
 
 
 def _tags(spark, d):
@@ -48,12 +52,12 @@ def _tags(spark, d):
 
 def filter_entities(spark, d):
     q = Query((Pattern(X("S", "Nation"), "inhibits", B(2)),), entity_sets=(B(5, 7), N(3)))
-    return matching.match(_facts(spark, d), q, V, tag_index=_tags(spark, d))
+    return matching.match(_statements(spark, d), q, V, tag_index=_tags(spark, d))
 
 
 def no_statement_query(spark, d):
     q = Query(entity_sets=(B(2), N(3, 4)), terms=("building",))
-    return matching.match(_facts(spark, d), q, V, term_index=indexing.term_rows(star.document(spark, d).withColumnRenamed("title", "text")), tag_index=_tags(spark, d))
+    return matching.match(_statements(spark, d), q, V, term_index=indexing.term_rows(star.document(spark, d).withColumnRenamed("title", "text")), tag_index=_tags(spark, d))
 
 
 def doc_ids(spark, d):
@@ -75,8 +79,8 @@ QUERIES = {
     "pattern_expanded_interacts": _answer(Pattern(N(1), "interacts", B(3))),
     "pattern_symmetric": _answer(Pattern(B(3), "interacts", SEG("BUILDING"))),
     "pattern_conjunction": _answer(Pattern(N(3, 4, 5), ANY, B(2, 3, 4)), Pattern(SEG("BUILDING"), "interacts", B(5, 6, 7))),
-    "pattern_unsatisfiable": lambda s, d: matching.match(_facts(s, d), Query((Pattern(B(2), "treats", B(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
-    "pattern_flipped": lambda s, d: matching.match(_facts(s, d), Query((Pattern(B(2), "treats", N(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
+    "pattern_unsatisfiable": lambda s, d: matching.match(_statements(s, d), Query((Pattern(B(2), "treats", B(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
+    "pattern_flipped": lambda s, d: matching.match(_statements(s, d), Query((Pattern(B(2), "treats", N(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
     "var_single": _answer(Pattern(X("S", "Nation"), "treats", B(2))),
     "var_both_sides": _answer(Pattern(X("S"), "metabolises", X("S"))),
     "var_shared_min2": _shared(2),
@@ -91,6 +95,10 @@ QUERIES = {
     "no_statement_query": no_statement_query,
     "latest_n_guard": _answer(Pattern(X("S", "Nation"), "treats", B(2)), latest=20),
     "doc_ids": doc_ids,
+    "type_expansion": lambda s, d: matching.match(_statements(s, d), Query((Pattern(X("S", "Place"), "treats", B(2)),)), Vocabulary(type_expansion={"Place": ["Nation", "Segment"]})),
+    "substituted_variable": lambda s, d: matching.match(_statements(s, d), Query((Pattern(X("S", "Nation"), "treats", X("O", "Brand")),)).bound({"S": N(3)[0]}), V),
+    "answers_newest_first": lambda s, d: matching.newest_answers(_answer(Pattern(X("S", "Nation"), "treats", B(2, 3)))(s, d)),
+    "query_keys": lambda s, d: s.createDataFrame([(Query((Pattern(X("S", t), "treats", B(*b)),), terms=("x",)).key(),) for t, b in (("Nation", (2, 3)), ("Nation", (3, 2)), (None, (2,)))], "key string"),
     "docs_for_entity": lambda s, d: _tags(s, d).where("ent_id = 'Brand#2' AND ent_type = 'Brand'").select("document_collection", "document_id"),
     "sub_count": lambda s, d: matching.substitution_counts(_answer(Pattern(X("S", "Nation"), ANY, B(2)))(s, d), "S"),
     "sub_count_topk": lambda s, d: matching.substitution_counts(_answer(Pattern(N(3), ANY, X("O", "Brand")))(s, d), "O", 5),
@@ -128,6 +136,10 @@ ORACLE = {
     "no_statement_query": star.sql("SELECT document_collection, document_id FROM fx_tag WHERE ent_id = 'Brand#2' INTERSECT SELECT document_collection, document_id FROM fx_tag WHERE ent_id IN ('NATION_3', 'NATION_4') INTERSECT SELECT document_collection, document_id FROM terms WHERE term = 'building'", terms=_TERMS),
     "latest_n_guard": star.sql("SELECT s.* FROM s JOIN (SELECT *, row_number() OVER (PARTITION BY document_collection ORDER BY document_id DESC) AS r FROM (SELECT DISTINCT document_collection, document_id FROM s)) USING (document_collection, document_id) WHERE r <= 20", s=_S + "relation = 'treats' AND subject_type = 'Nation' AND object_id = 'Brand#2'").replace("s.* FROM s", "s.document_collection, s.document_id, S_id, S_type FROM s"),
     "doc_ids": star.sql("SELECT DISTINCT document_id FROM facts WHERE subject_id = 'NATION_3' AND object_id IN ('Brand#2', 'Brand#5')"),
+    "type_expansion": star.sql(_S + "relation = 'treats' AND subject_type IN ('Place', 'Nation', 'Segment') AND object_id = 'Brand#2'"),
+    "substituted_variable": star.sql("SELECT DISTINCT document_collection, document_id, object_id AS O_id, object_type AS O_type FROM facts WHERE relation = 'treats' AND subject_id = 'NATION_3' AND object_type = 'Brand'"),
+    "answers_newest_first": star.sql(_S + "relation = 'treats' AND subject_type = 'Nation' AND object_id IN ('Brand#2', 'Brand#3') ORDER BY document_id DESC"),
+    "query_keys": "SELECT unnest(['?S(Nation) treats Brand:Brand#2|Brand:Brand#3; x', '?S(Nation) treats Brand:Brand#2|Brand:Brand#3; x', '?S(None) treats Brand:Brand#2; x']) AS key",
     "docs_for_entity": star.sql("SELECT DISTINCT document_collection, document_id FROM fx_tag WHERE ent_id = 'Brand#2'"),
     "sub_count": star.sql("SELECT subject_id AS S_id, subject_type AS S_type, count(DISTINCT (document_collection, document_id)) AS n FROM facts WHERE subject_type = 'Nation' AND object_id = 'Brand#2' GROUP BY ALL"),
     "sub_count_topk": star.sql("SELECT object_id AS O_id, object_type AS O_type, count(DISTINCT (document_collection, document_id)) AS n FROM facts WHERE subject_id = 'NATION_3' AND object_type = 'Brand' GROUP BY ALL ORDER BY n DESC, O_id LIMIT 5"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["patterns", "indexes", "analytics"]
+MODULES = ["patterns", "indexes", "analytics", "files"]
 
 
 def _gather(name: str) -> dict:

@@ -115,10 +115,10 @@ FACTS = "SELECT DISTINCT document_collection, document_id, subject_id, subject_t
 
 
 def sql(body: str, **more: str) -> str:
-    """body with the fixtures that it names, the facts and other expressions as common table expressions."""
+    """body with the fixtures that it names, the facts and other expressions (made once each) as common table expressions."""
     parts, text = dict(more), body + " ".join(more.values())
     if "facts" in text:
         parts = {"facts": FACTS, **parts}
         text += FACTS
     parts = {**{k: v for k, v in FIXTURES.items() if k in text}, **parts}
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in parts.items()) + "\n" + body
+    return "WITH " + ",\n".join(f"{k} AS {'MATERIALIZED ' * (k in more)}({v})" for k, v in parts.items()) + "\n" + body

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,29 +19,58 @@ def daily_counts(events: DataFrame, time: str = "ts", key: str = "event_type", l
     return events.groupBy(F.window(time, "1 day").alias("w"), key).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), key, "n")
 
 
+LAYERS = 16  # layers after which an index is written whole
+
+
+def _layers(spark: SparkSession, folder: str) -> list[str]:
+    """Complete layers in order of their batches, from the last whole one on. A layer counts once its writer has committed it (_SUCCESS)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = sorted(n for f in fs.listStatus(root) if re.fullmatch(r"v-\d{12}(-whole)?", n := f.getPath().getName()) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{n}/_SUCCESS")))
+    whole = [i for i, n in enumerate(names) if n.endswith("-whole")]
+    return names[whole[-1] :] if whole else names
+
+
+def _read(spark: SparkSession, folder: str, names: list[str], key: list[str]) -> DataFrame:
+    """Blocks of postings, of each its row in the latest layer."""
+    rows = [spark.read.parquet(f"{folder}/{n}").withColumn("__layer", F.lit(i)) for i, n in enumerate(names)]
+    if len(rows) == 1:
+        return rows[0].drop("__layer")
+    at = ["document_collection", *key, "block"]
+    latest = reduce(DataFrame.unionByName, rows).groupBy(*at).agg(F.max_by(F.struct("document_ids", "n"), "__layer").alias("x"))
+    return latest.select(*at, "x.*")
+
+
 def keep_index(new_rows: DataFrame, folder: str, key: list[str], checkpoint: str) -> StreamingQuery:
     """Merge a stream of (document_collection, key, document_id) into a stored index of postings.
 
-    Each micro-batch writes a new version below folder and then moves the pointer file to it; a batch that is run again writes the same merge, since
-    postings are sets.
+    Each micro-batch writes a layer with only the blocks that its rows touch, named by the batch, so that running a batch again writes the same layer again;
+    a layer that a crash left incomplete is not read and is overwritten. Every LAYERS batches the index is written whole and older layers go.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = current(spark, folder)
+        before = [n for n in _layers(spark, folder) if int(n[2:14]) < number]
         rows = batch.select("document_collection", *key, "document_id")
-        merged = indexing.postings(rows, key) if now is None else indexing.merge_postings(now, rows, key)
-        version = f"v-{uuid.uuid4().hex}"
-        merged.write.parquet(f"{folder}/{version}")
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+        name = f"v-{number:012d}"
+        if not before:
+            indexing.postings(rows, key).write.mode("overwrite").parquet(f"{folder}/{name}-whole")
+            return
+        old = _read(spark, folder, before, key)
+        if len(before) < LAYERS:
+            indexing.changed_postings(old, rows, key).write.mode("overwrite").parquet(f"{folder}/{name}")
+            return
+        indexing.merge_postings(old, rows, key).write.mode("overwrite").parquet(f"{folder}/{name}-whole")
+        fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for n in before:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, n), True)
 
     return new_rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The index that the pointer names, if there is one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    version = spark.read.text(f"{folder}/current").first()[0]
-    return spark.read.parquet(os.path.join(folder, version))
+def current(spark: SparkSession, folder: str, key: list[str]) -> DataFrame | None:
+    """The stored index, if there is one."""
+    names = _layers(spark, folder)
+    return _read(spark, folder, names, key) if names else None

@@ -22,11 +22,42 @@ def test_index_and_delta_agree(spark):
     new = [(2, "T", "A", "T1", "B"), (2, "T", "A", "T1", "B"), (2, "T", "A", "T3", "B"), (3, "U", "A", "T1", "B")]
     full = indexing.predication_index(preds(spark, old + new))
     merged = indexing.merge_postings(indexing.predication_index(preds(spark, old)), preds(spark, new), indexing.FACT_KEY)
-    found = {(r.document_collection, r.relation): (r.document_ids, r.support) for r in merged.collect()}
+    found = {(r.document_collection, r.relation): (r.document_ids, r.n) for r in merged.collect()}
     assert found == {("T", "T1"): ([2, 1], 2), ("T", "T2"): ([1], 1), ("T", "T3"): ([2], 1), ("U", "T1"): ([3], 1)}
     assert sorted(map(tuple, full.select(*merged.columns).collect()), key=repr) == sorted(map(tuple, merged.collect()), key=repr)
 
 
+def test_posting_blocks(spark):
+    rows = preds(spark, [(i, "T", "A", "r", "B") for i in (1, 9, 10, 19, 25)])
+    index = indexing.predication_index(rows, block=10)
+    assert {r.block: r.document_ids for r in index.collect()} == {0: [9, 1], 1: [19, 10], 2: [25]}
+    assert [r.support for r in indexing.supports(index, indexing.FACT_KEY).collect()] == [5]
+    changed = indexing.changed_postings(index, preds(spark, [(12, "T", "A", "r", "B"), (31, "T", "A", "r", "B")]), indexing.FACT_KEY, block=10)
+    assert {r.block: r.document_ids for r in changed.collect()} == {1: [19, 12, 10], 3: [31]}
+
+
+def test_latest_documents(spark):
+    rows = spark.createDataFrame([(c, i) for c in "TU" for i in range(0, 400, 3)], "document_collection string, document_id long")
+    got = matching.latest_documents(rows, 25, block=16).groupBy("document_collection").agg({"document_id": "min", "*": "count"}).collect()
+    assert [(r[1], r[2]) for r in got] == [(399 - 3 * 24, 25)] * 2 or [(r[2], r[1]) for r in got] == [(399 - 3 * 24, 25)] * 2
+
+
+def test_rounding_like_python(spark):
+    import random
+
+    rng = random.Random(3)
+    xs = [0.125, 2.675, 0.375, 0.005, 0.015, -0.125, 0.0, 1.0, 0.995] + [rng.random() for _ in range(300)] + [k / 8 for k in range(40)] + [rng.random() * 1000 for _ in range(100)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r.y for r in df.select(T.rounded(df.x).alias("y")).collect()] == [round(x, 2) for x in xs]
+
+
+def test_single_variable():
+    assert results.single_variable(Query((Pattern((Var("S"),), "r", (Entity("B", "BT"),)),))) == "S"
+    for q in (Query(()), Query((Pattern((Var("S"),), "r", (Var("O"),)),))):
+        with pytest.raises(ValueError):
+            results.single_variable(q)
+
+
 def test_variables_keep_all_documents(spark):
     """However many documents of a collection match; a number is for callers that ask for the latest."""
     n = 1_600_000
@@ -41,11 +72,17 @@ def titles(spark):
     return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, title string")
 
 
-@pytest.mark.parametrize("text, n", [("test", 4), ("*e*", 5), ("test and hello", 1), ("thing or hello", 2), ("(thing or hello) and test", 1), ("such+thing", 1), ("is+test", 0), ("TEST more", 1), ("", 5)])
+@pytest.mark.parametrize("text, n", [("test", 4), ("*e*", 5), ("test and hello", 1), ("thing or hello", 2), ("(thing or hello) and test", 1), ("such+thing", 1), ("is+test", 0), ("TEST more", 1), ("", 5), ("a test or such thing", 3), ("this is or hello", 2), ("hello or test and more", 2), ("test and not more", 3), ('"such thing"', 1)])
 def test_title_filter(spark, text, n):
     assert results.by_title(titles(spark), text).count() == n
 
 
+@pytest.mark.parametrize("text", ["(test", "test)", "test or )", "(test) and more)"])
+def test_malformed_title_filter(spark, text):
+    with pytest.raises(ValueError):
+        results.by_title(titles(spark), text)
+
+
 def test_years(spark):
     rows = spark.createDataFrame([(y,) for y in (2020, 2021, 2022, 2023, 2024, 0)], "publication_year int")
     assert results.by_year(rows, 2018, 0).count() == 5
@@ -105,6 +142,7 @@ def test_trials(spark):
 
 def test_suggest(spark):
     assert suggest.word_orders("A B C") == ["A B C", "A C B", "B A C", "B C A", "C A B", "C B A"] and suggest.word_orders("Test For X") == ["Test For X"]
+    assert [len(suggest.word_orders(x)) for x in ("t1 t2 And t3 t4", "t1 Or t2 Or t3", "t1 Or t2 And t3 t4")] == [8, 6, 12]
     assert suggest.explanation(["Diabetes Mellitus", "Diabetes Meitus", "Diabetes Mellitus, Congenital"], 5) == ["Diabetes Meitus", "Diabetes Mellitus"]
     assert suggest.explanation(["Ace", "Acetabulum"], 1) == ["Ace", "and 1 more"]
     assert suggest.complete_variable("?x(Dr", ["Drug", "Disease"]) == ["?x(Drug)"]
