@@ -106,9 +106,9 @@ def fragments(data: bytes):
         raise ValueError("an archive is cut off")
     at = 0
     while at < len(data):
-        e = data.index(_END, at)
-        yield data[at:e]
-        at = e + 4
+        e = data.find(_END, at)  # -1: a block's own line end shifted the separators
+        yield data[at:e] if e >= 0 else data[at:]
+        at = e + 4 if e >= 0 else len(data)
 
 
 def cut_records(pieces):

@@ -171,11 +171,13 @@ def test_ngram_join_large_plots(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, ngram_join.CONTRACT)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1 << 20, 70])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "PER_TASK", per_task)  # 70: several tasks, then rounds
     rng = random.Random(2)
-    links = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200)] + [(500, 500 + rng.randint(1, 90)) for _ in range(100)]
+    links = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (None, 5), (7, None)] + [(500, 500 + rng.randint(1, 90)) for _ in range(100)] + [(-3, -9)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(61)) and got[102] == 100 and 200 not in got and set(got.values()) == {0, 100, 500}
+    assert all(got[i] == 0 for i in range(61)) and got[102] == 100 and 200 not in got and got[-3] == -9 and set(got.values()) == {0, 100, 500, -9}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -218,7 +220,17 @@ def test_near_fingerprints(spark):
     ones = [(i, f) for f, i in least.items()]
     alike = {(i, least[f]) for (i, _), f in zip(rows, prints) if i != least[f]} | {(j, i) for i, f in ones for j, g in ones if j > i and fingerprint.likeness(f, g) >= 0.8}
     found = {(r.doc_id, r.near_id) for r in fingerprint.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found <= alike and len(found) >= 0.99 * len(alike)
+    assert found <= alike
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert sum(find(a) == find(b) for a, b in alike) >= 0.98 * len(alike)
 
 
 def test_suffix_dedup(docs, empty):
@@ -318,10 +330,10 @@ def test_pii_tagger(spark, empty):
     tagger = pii.train(pii.sample_windows(df))
     kept = [(t, pii.base_spans(t)) for _, t in rows[:240]]
     found = pii.tag_spans(tagger, [t for t, _ in kept])
-    assert sum(s in f for (_, b), f in zip(kept, found) for s in b) > 0.8 * sum(len(b) for _, b in kept)
+    assert sum(s in f for (_, b), f in zip(kept, found) for s in b) >= 0.9 * sum(len(b) for _, b in kept)
     hidden = [pii.respell(t, b, ("email", "@", " @ ")) for t, b in kept if b and b[0][2] == "email"]
     added = pii.spans(tagger, [t for t, _ in hidden])
-    assert sum(any(a < e and s < b for a, b, k in every if k == "email") for (_, every), (_, own) in zip(added, hidden) for s, e, _ in own) > 0.5 * len(hidden)
+    assert sum(any(a < e and s < b for a, b, k in every if k == "email") for (_, every), (_, own) in zip(added, hidden) for s, e, _ in own) > 0.8 * len(hidden)
     for r in pii.digests(df, tagger=tagger).collect():
         base = plain_spans(dict(rows)[r.doc_id] or "")
         written = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
