@@ -18,10 +18,12 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 PERIOD = 4096
+SAMPLE = 4096  # ids that ranges of ids are drawn from where they are not numbers
 BASE, PER_OCTAVE, OCTAVES = 64, 128, 32
 _T: dict[str, np.ndarray] = {}
 
@@ -122,7 +124,11 @@ def with_next(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
     parts = common.parallelism(df)
     n_bounds = 8 * parts
     ids = df.select(F.col(id).alias("i"))
-    bounds = ids.agg(F.percentile_approx("i", [k / n_bounds for k in range(1, n_bounds)], 100 * n_bounds)).first()[0] or []
+    if isinstance(df.schema[id].dataType, T.NumericType):
+        bounds = ids.agg(F.percentile_approx("i", [k / n_bounds for k in range(1, n_bounds)], 100 * n_bounds)).first()[0] or []
+    else:  # quantiles of SAMPLE ids, picked by hash
+        some = sorted(r.i for r in ids.where("i IS NOT NULL").orderBy(F.xxhash64("i")).limit(SAMPLE).collect())
+        bounds = [some[len(some) * k // n_bounds] for k in range(1, n_bounds)] if some else []
     bounds = sorted(set(bounds))
     bucket = lambda c: F.when(c.isNull(), -1).otherwise(F.size(F.filter(F.lit(bounds) if bounds else F.array(), lambda b: b < c)))
     ids = ids.withColumn("b", bucket(F.col("i")))
@@ -185,12 +191,14 @@ def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return out.withColumnRenamed("id", id)
 
 
-def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 32, digits: int = 8) -> DataFrame:
-    """(id, near_id, likeness): documents that share a band of sampled digits with an earlier id and whose fingerprints are alike.
+def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 32, digits: int = 8, more: int = 4) -> DataFrame:
+    """(id, near_id, likeness): links between documents whose fingerprints are alike, to an earlier id each, enough to connect near copies.
 
-    A band samples digits of the octaves that a text fills, and of one octave fewer, so lengths may differ by a factor of two.
-    Equal fingerprints stand for each other: each is paired with the least id that has it, and only that one goes on to bands. There all
-    pairs of a band are verified, so the work grows with the square of the different fingerprints in a band.
+    A band samples digits of the octaves that a text fills, and of one octave fewer, so lengths may differ by a factor of two. Equal fingerprints stand for
+    each other: each is linked with the least id that has it, and only that one goes on. In each band's group all are verified against the least id;
+    those that are not alike go on with ``more`` further digits in the band's key, until no group is left, so a large group of unlike texts falls apart within some
+    rounds and no group's pairs are all tried. Banding is a matter of chance: two documents that share no band, or meet in none as far as their bands hold
+    together, have no link. Documents without an id are left out.
     """
     kind = df.schema[id].dataType.simpleString()
 
@@ -200,33 +208,48 @@ def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0
         for b in batches:
             ids, texts = b.column(0), ["" if t is None else t for t in b.column(1).to_pylist()]
             for i, j in common.chunks(texts, 4_000_000):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(fingerprints(texts[i:j]), pa.string())], [id, "fingerprint"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(fingerprints(texts[i:j]), pa.string())], ["one", "f"])
 
-    def keys(batches):
-        import pyarrow as pa
+    def keys(round_: int):
+        def run(batches):
+            import pyarrow as pa
 
-        for b in common.small(batches):
-            rows = [(d, k) for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in band_keys(f, bands, digits)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string())], ["one", "band"])
+            for b in common.small(batches):
+                rows = []
+                for d, f, wanted in zip(*[c.to_pylist() for c in b.columns]):
+                    found = band_keys(f, bands, digits + more * round_)
+                    rows += [(d, k, found[k]) for k in (range(len(found)) if wanted is None else wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["one", "band", "key"])
 
-    @F.pandas_udf("double")
-    def alike(a, b):
-        import pandas as pd
+        return run
 
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)])
+    def verified(batches):
+        import pyarrow as pa
 
-    all_ = common.cut(df.where(F.col(id).isNotNull()).select(id, text).mapInArrow(prints, f"{id} {kind}, fingerprint string"))
-    firsts = all_.groupBy("fingerprint").agg(F.min(id).alias("near_id"))
-    equal = all_.join(firsts, "fingerprint").where(F.col(id) > F.col("near_id")).select(id, "near_id", F.lit(1.0).alias("likeness")).distinct()
-    keyed = common.cut(firsts.select("near_id", "fingerprint").mapInArrow(keys, f"one {kind}, band string"))
-    pairs = keyed.join(keyed.withColumnRenamed("one", "two"), "band").where("one > two").select("one", "two").distinct()
-    pairs = pairs.join(firsts.select(F.col("near_id").alias("one"), F.col("fingerprint").alias("a")), "one").join(firsts.select(F.col("near_id").alias("two"), F.col("fingerprint").alias("b")), "two")
-    found = pairs.select(F.col("one").alias(id), F.col("two").alias("near_id"), alike("a", "b").alias("likeness")).where(F.col("likeness") >= least)
-    return equal.unionByName(found).groupBy(id, "near_id").agg(F.max("likeness").alias("likeness"))  # an id may have several texts
+        for b in common.small(batches):
+            alike = [round(likeness(x, y), 9) for x, y in zip(b["f"].to_pylist(), b["g"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["one"], b["root"], pa.array(alike, pa.float64()), b["bands"]], ["one", "root", "likeness", "bands"])
+
+    all_ = common.cut(df.where(F.col(id).isNotNull()).select(id, text).mapInArrow(prints, f"one {kind}, f string"))
+    rows = common.cut(all_.groupBy("f").agg(F.min("one").alias("one")))
+    found = all_.join(rows.withColumnRenamed("one", "root"), "f").where(F.col("one") > F.col("root")).select("one", "root", F.lit(1.0).alias("likeness")).distinct()
+    left, k = rows.select("one", "f", F.lit(None).cast("array<int>").alias("bands")), 0
+    while True:
+        keyed = common.cut(left.mapInArrow(keys(k), f"one {kind}, band int, key string"))
+        roots = common.cut(keyed.groupBy("band", "key").agg(F.min("one").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        pairs = keyed.join(roots, ["band", "key"]).where("one <> root").groupBy("one", "root").agg(F.collect_list("band").alias("bands"))  # its bands at most
+        named = pairs.join(rows, "one").join(rows.select(F.col("one").alias("root"), F.col("f").alias("g")), "root").select("one", "root", "f", "g", "bands")
+        checked = common.cut(named.mapInArrow(verified, f"one {kind}, root {kind}, likeness double, bands array<int>"))
+        found = found.unionByName(checked.where(F.col("likeness") >= least).select("one", "root", "likeness"))
+        again = checked.where(F.col("likeness") < least).groupBy("one").agg(F.flatten(F.collect_list("bands")).alias("bands"))
+        if again.isEmpty():
+            break
+        left, k = again.join(rows, "one").select("one", "f", "bands"), k + 1
+    return found.groupBy(F.col("one").alias(id), F.col("root").alias("near_id")).agg(F.max("likeness").alias("likeness"))  # an id may have several texts
 
 
 def band_keys(f: str, bands: int, digits: int) -> list[str]:
-    """Digits are drawn by the steps they stand for, so that a digit agrees as often as the likeness counts it."""
+    """Digits are drawn by the steps they stand for, so that a digit agrees as often as the likeness counts it. More digits begin with the fewer ones."""
     full = [0, *np.cumsum([BASE, *[min(1 << k, PER_OCTAVE) for k in range(6, 6 + OCTAVES)]]).tolist()]
     tops = [e for e in full if e <= len(f)][-2:]
     out = []
