@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,14 +157,15 @@ def candidates(queries: DataFrame, tags: DataFrame, documents: DataFrame, length
     core = as_query(concept_core(concepts(tags.join(queries, DOC, "left_semi"), lengths.join(queries, DOC, "left_semi"), idfs)))
     ranked = first_stage(core, tags, per=QUERY).withColumn("score", F.round("score", digits))
     cut = dynamic_cutoff(ranked, per=QUERY)
-    return cut.where((F.col("query_id") != F.col("document_id")) | (F.col("query_collection") != F.col("document_collection"))), idfs
+    others = cut.where((F.col("query_id") != F.col("document_id")) | (F.col("query_collection") != F.col("document_collection")))
+    return others.persist(StorageLevel.DISK_ONLY), idfs  # read several times; a lost part is worked out again
 
 
 def recommend(queries: DataFrame, tags: DataFrame, documents: DataFrame, lengths: DataFrame, predications: DataFrame) -> DataFrame:
     """(query, document, rank of the first stage, score and shared of the second): both stages. Statement cores are only made of queries and candidates."""
     first, idfs = candidates(queries, tags, documents, lengths)
     wanted = first.select(*DOC).unionByName(queries.select(*DOC)).distinct()
-    own = statement_core(edges(predications.join(wanted, DOC, "left_semi"), concepts(tags.join(wanted, DOC, "left_semi"), lengths.join(wanted, DOC, "left_semi"), idfs)))
+    own = statement_core(edges(predications.join(wanted, DOC, "left_semi"), concepts(tags.join(wanted, DOC, "left_semi"), lengths.join(wanted, DOC, "left_semi"), idfs))).persist(StorageLevel.DISK_ONLY)
     asked = as_query(own.join(queries, DOC, "left_semi"))
     found = core_overlap(asked, first.select(*QUERY, *DOC).join(own, DOC), per=QUERY)
     return first.select(*QUERY, *DOC, "rank").join(found, [*QUERY, *DOC])

@@ -83,14 +83,16 @@ def dynamic_cutoff(spark, d):
 
 
 def _cores(spark, d, digits=None):
-    """Statement cores of the input document and of its candidates, no others."""
-    target = _target(spark, d)
-    found = dynamic_cutoff(spark, d).join(F.broadcast(target), DOC, "left_anti").select(*DOC)
-    wanted = F.broadcast(found.unionByName(target))  # at most HARD_CUTOFF + 1 rows
+    """Statement cores of the input document and of its candidates, no others. The first stage's candidates, HARD_CUTOFF rows at most, are fixed before the second."""
+    target, schema = _target(spark, d).first(), star.document(spark, d).select(*DOC).schema
+    found = [tuple(r) for r in dynamic_cutoff(spark, d).select(*DOC).collect()]
+    one = spark.createDataFrame([tuple(target)], schema) if target else spark.createDataFrame([], schema)
+    wanted = F.broadcast(spark.createDataFrame([*{*found, *([tuple(target)] if target else [])}], schema))
     own = lambda rows: rows.join(wanted, DOC, "left_semi")
-    edges = scoring.edges(own(star.predication(spark, d)), scoring.concepts(own(star.tag(spark, d)), own(_lengths(spark, d)), _target_concepts(spark, d)[1]))
+    idfs = scoring.idf(star.tag(spark, d), star.document(spark, d))
+    edges = scoring.edges(own(star.predication(spark, d)), scoring.concepts(own(star.tag(spark, d)), own(_lengths(spark, d)), idfs))
     core = scoring.statement_core(edges.withColumn("score", F.round("score", digits)) if digits else edges)
-    return _one(spark, d, core), core.join(F.broadcast(target), DOC, "left_anti")
+    return core.join(F.broadcast(one), DOC, "left_semi"), core.join(F.broadcast(one), DOC, "left_anti")
 
 
 def core_overlap(spark, d):
