@@ -4,8 +4,9 @@ All texts walk through the same random bits: at step j the embedding holds the c
 next one when the bit of (character, j) is set. Few edits change few steps, so edit distance turns into Hamming distance. The
 fingerprint keeps one hex digit (four hashed bits) at fixed random steps, 64 of the first 64 and 128 of every further octave, as
 far as the walk goes; it covers the whole text and grows with the logarithm of its length. Likeness is the share of
-agreeing digits, each weighted by the steps it stands for, corrected for chance agreement. The query stops at the embedding;
-banding and verification are near(), for callers that look for near copies.
+agreeing digits, each weighted by the steps it stands for, corrected for chance agreement. Bands sample digits; two texts are candidates if they share
+a band, and likeness verifies them. The query bands and verifies the pairs it is asked for; near() bands whole tables, for callers that look for near copies.
+A text of some 32 characters or fewer does not fill the first 64 steps; its whole fingerprint is its band.
 
 Null counts as empty. An empty text has an empty fingerprint, like only to another empty one. Equal texts have equal
 fingerprints. Of documents with one id the order is that of their texts; a null id comes last. An empty table gives an empty result.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +118,35 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (raw - 1 / 16) / (15 / 16))
 
 
+BANDS, DIGITS = 32, 8
+ROOTS = 16  # least ids of a band's group that all others of it are verified against in a round
+
+
+def _places(top: int, bands: int, digits: int) -> np.ndarray:
+    """Which digits of the first ``top`` make each band, drawn by the steps they stand for, so that a digit agrees as often as the likeness counts it."""
+    t = _tables()
+    if (key := f"{top}:{bands}:{digits}") not in t:
+        reach = np.cumsum(t["weights"][:top])
+        u = common.mix((np.arange(digits, dtype=np.uint64)[None, :] + np.arange(bands, dtype=np.uint64)[:, None] * np.uint64(1000) + np.uint64(7)).ravel()) % np.uint64(int(reach[-1]))
+        t[key] = np.searchsorted(reach, u.astype(np.float64), side="right").reshape(bands, digits)
+    return t[key]
+
+
+def _tops(f: str) -> list[int]:
+    """Lengths that fill whole octaves: the last two that a fingerprint has. 0: it is too short for bands."""
+    full = [0, *np.cumsum([BASE, *[min(1 << k, PER_OCTAVE) for k in range(6, 6 + OCTAVES)]]).tolist()]
+    return [e for e in full if e <= len(f)][-2:]
+
+
+def shared_bands(a: str, b: str, bands: int = BANDS, digits: int = DIGITS) -> int:
+    """How many bands two fingerprints share; candidates share one at least."""
+    if not (_tops(a)[-1] and _tops(b)[-1]):
+        return int(a == b)
+    x, y = (np.frombuffer(f.encode(), np.uint8) for f in (a, b))
+    tops = [t for t in _tops(a) if t and t in _tops(b)]
+    return sum(int((x[p] == y[p]).all(1).sum()) for p in (_places(t, bands, digits) for t in tops))
+
+
 def with_next(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
     """Rows ranged by descending id over partitions, sorted in each. (bucket, extra, columns): after a bucket's own rows comes, as
     an extra, the row that follows them; after the very last one, the first. One shuffle, and no window over all rows.
@@ -143,7 +173,8 @@ def with_next(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
 
 
 def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of the text whose last half is replaced by the beginning of the next document, and their likeness."""
+    """Fingerprints of each text and of the text whose last half is replaced by the beginning of the next document, their likeness, and the bands that make them
+    candidates of it (and of the next document)."""
     kind = df.schema[id].dataType.simpleString()
     rows = with_next(df.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "id", ["id", "text"])
 
@@ -161,7 +192,7 @@ def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             keep = len(texts[k]) - h
             edited = texts[k][:keep] + texts[k + 1][:h]
             f = sample(np.r_[parts[k][:keep], tail], np.r_[walks[k][:keep], m])
-            out.append((held[k][2], len(texts[k]), hashlib.sha256(edited.encode()).hexdigest(), own[k], f, round(likeness(own[k], f), 9), round(likeness(own[k], own[k + 1]), 9)))
+            out.append((held[k][2], len(texts[k]), hashlib.sha256(edited.encode()).hexdigest(), own[k], f, round(likeness(own[k], f), 9), round(likeness(own[k], own[k + 1]), 9), shared_bands(own[k], f), shared_bands(own[k], own[k + 1])))
         return out
 
     def run(batches):
@@ -170,10 +201,10 @@ def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
         held, size = [], 0
 
         def pack(rows):
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            cols = list(zip(*rows)) if rows else [[]] * 9
+            kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
             first = pa.array(cols[0], id_type)
-            return pa.RecordBatch.from_arrays([first, *[pa.array(c, t) for c, t in zip(cols[1:], kinds[1:])]], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays([first, *[pa.array(c, t) for c, t in zip(cols[1:], kinds[1:])]], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_edited", "bands_next"])
 
         id_type = None
         for b in common.small(batches):
@@ -187,17 +218,17 @@ def compare_edited(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
         if held:
             yield pack(work(held))
 
-    out = rows.mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = rows.mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int")
     return out.withColumnRenamed("id", id)
 
 
-def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = 32, digits: int = 8, more: int = 4) -> DataFrame:
+def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS, digits: int = DIGITS, more: int = 4) -> DataFrame:
     """(id, near_id, likeness): links between documents whose fingerprints are alike, to an earlier id each, enough to connect near copies.
 
     A band samples digits of the octaves that a text fills, and of one octave fewer, so lengths may differ by a factor of two. Equal fingerprints stand for
-    each other: each is linked with the least id that has it, and only that one goes on. In each band's group all are verified against the least id;
-    those that are not alike go on with ``more`` further digits in the band's key, until no group is left, so a large group of unlike texts falls apart within some
-    rounds and no group's pairs are all tried. Banding is a matter of chance: two documents that share no band, or meet in none as far as their bands hold
+    each other: each is linked with the least id that has it, and only that one goes on. In each band's group all are verified against its ROOTS least ids;
+    those that are like none of them go on with ``more`` further digits in the band's key, until no group is left, so a large group of unlike texts falls apart within
+    some rounds and no group's pairs are all tried. Banding is a matter of chance: two documents that share no band, or meet in none as far as their bands hold
     together, have no link. Documents without an id are left out.
     """
     kind = df.schema[id].dataType.simpleString()
@@ -236,12 +267,16 @@ def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0
     left, k = rows.select("one", "f", F.lit(None).cast("array<int>").alias("bands")), 0
     while True:
         keyed = common.cut(left.mapInArrow(keys(k), f"one {kind}, band int, key string"))
-        roots = common.cut(keyed.groupBy("band", "key").agg(F.min("one").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        pairs = keyed.join(roots, ["band", "key"]).where("one <> root").groupBy("one", "root").agg(F.collect_list("band").alias("bands"))  # its bands at most
+        first = Window.partitionBy("band", "key").orderBy("one")
+        roots = common.cut(keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= ROOTS).select("band", "key", F.col("one").alias("root")))
+        pairs = keyed.join(roots, ["band", "key"]).where("root < one").groupBy("one", "root").agg(F.collect_list("band").alias("bands"))  # its bands at most
         named = pairs.join(rows, "one").join(rows.select(F.col("one").alias("root"), F.col("f").alias("g")), "root").select("one", "root", "f", "g", "bands")
         checked = common.cut(named.mapInArrow(verified, f"one {kind}, root {kind}, likeness double, bands array<int>"))
         found = found.unionByName(checked.where(F.col("likeness") >= least).select("one", "root", "likeness"))
-        again = checked.where(F.col("likeness") < least).groupBy("one").agg(F.flatten(F.collect_list("bands")).alias("bands"))
+        band = F.explode("bands").alias("band")
+        done = checked.where(F.col("likeness") >= least).select("one", band).distinct()
+        tried = checked.select("one", band).distinct().join(keyed.join(roots, ["band", "key"]).where("one = root").select("one", "band").distinct(), ["one", "band"], "left_anti")  # roots are through
+        again = tried.join(done, ["one", "band"], "left_anti").groupBy("one").agg(F.collect_list("band").alias("bands"))
         if again.isEmpty():
             break
         left, k = again.join(rows, "one").select("one", "f", "bands"), k + 1
@@ -249,20 +284,9 @@ def near(df: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0
 
 
 def band_keys(f: str, bands: int, digits: int) -> list[str]:
-    """Digits are drawn by the steps they stand for, so that a digit agrees as often as the likeness counts it. More digits begin with the fewer ones."""
-    full = [0, *np.cumsum([BASE, *[min(1 << k, PER_OCTAVE) for k in range(6, 6 + OCTAVES)]]).tolist()]
-    tops = [e for e in full if e <= len(f)][-2:]
-    out = []
-    for top in tops:
-        if not top:
-            out.append(f"0:{f}")
-            continue
-        reach = np.cumsum(_tables()["weights"][:top])
-        for k in range(bands):
-            u = common.mix(np.arange(digits, dtype=np.uint64) + np.uint64(k * 1000 + 7)) % np.uint64(int(reach[-1]))
-            at = np.searchsorted(reach, u.astype(np.float64), side="right")
-            out.append(f"{top}:{k}:" + "".join(f[i] for i in at.tolist()))
-    return out
+    """The bands of a fingerprint, named by octave and number. More digits begin with the fewer ones."""
+    held = np.frombuffer(f.encode(), np.uint8)
+    return [key for top in _tops(f) for key in ([f"{top}:{k}:" + row.tobytes().decode() for k, row in enumerate(held[_places(top, bands, digits)])] if top else [f"0:{f}"])]
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,9 @@ def test_fingerprints(docs, empty):
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
         assert [r.fingerprint, r.edited_fingerprint] == fingerprint.fingerprints([own, edited])
         assert 0 <= r.near_edited <= 1 and r.near_next == pytest.approx(fingerprint.likeness(r.fingerprint, got[follow[i]].fingerprint), abs=1e-8)
+    for r in got.values():
+        for n, other in ((r.bands_edited, r.edited_fingerprint), (r.bands_next, got[follow[r.doc_id]].fingerprint)):
+            assert n == len(set(fingerprint.band_keys(r.fingerprint, 32, 8)) & set(fingerprint.band_keys(other, 32, 8)) - ({f"0:{r.fingerprint}"} if len(r.fingerprint) >= 64 else set()))
     assert got[5].fingerprint == got[6].fingerprint and got[0].fingerprint == ""
     assert fingerprint.likeness(got[5].fingerprint, got[10].fingerprint) > 0.8 > fingerprint.likeness(got[5].fingerprint, got[20].fingerprint)
     assert fingerprint.compare_edited(empty).count() == 0
