@@ -53,6 +53,12 @@ def explain_document(spark, d):
     return rows.select("document_id", "pattern", "subject_id", "relation", "object_id", "sentence_no", F.round("confidence", 2).alias("confidence"))
 
 
+def explanations_shown(spark, d):
+    """By pattern, highest confidence first, as the page shows them."""
+    rows = provenance.explain(star.predication(spark, d), PROBE, V).where("relation IS NOT NULL").withColumn("confidence", F.col("confidence").cast("double") / 8)
+    return provenance.shown(rows).select("document_id", "pattern", "subject_id", "relation", "object_id", "sentence_no", "confidence")
+
+
 def explain_merged(spark, d):
     rows = provenance.explain(star.predication(spark, d), PROBE, V).where("relation IS NOT NULL")
     return _r(provenance.merged(rows, ["document_id", "pattern", "sentence_no"]), "confidence")
@@ -169,6 +175,7 @@ def network(spark, d):
 QUERIES = {
     "explain_document": explain_document,
     "explain_merged": explain_merged,
+    "explanations_shown": explanations_shown,
     "provenance": provenance_sentences,
     "corpus_size": lambda s, d: scoring.corpus_size(star.document(s, d)),
     "idf": lambda s, d: _r(scoring.idf(star.tag(s, d), star.document(s, d)), "idf"),
@@ -262,6 +269,7 @@ _JOINED = lambda c: f"list_reduce(list({c} ORDER BY subject_id, relation, object
 _EDGE2 = "SELECT subject_id AS source, object_id AS target, count(*) AS n FROM facts GROUP BY ALL"
 ORACLE = {
     "explain_document": star.sql(f"SELECT document_id, pattern, subject_id, relation, object_id, sentence_no, round(confidence, 2)::DOUBLE AS confidence FROM fx_predication, (SELECT unnest([0, 1]) AS pattern) WHERE document_id IN (SELECT document_id FROM facts WHERE subject_id IN ('NATION_1', 'NATION_2', 'NATION_3') AND object_id = 'Brand#2') AND ({_PROBE_SQL})"),
+    "explanations_shown": star.sql(f"SELECT document_id, pattern, subject_id, relation, object_id, sentence_no, {_rounded_sql('c')} AS confidence FROM (SELECT *, CAST(confidence AS DOUBLE) / 8 AS c FROM fx_predication, (SELECT unnest([0, 1]) AS pattern) WHERE relation IS NOT NULL AND ({_PROBE_SQL}))"),
     "explain_merged": star.sql(f"SELECT document_id, pattern, sentence_no, {_JOINED('subject_id')}, {_JOINED('relation')}, {_JOINED('object_id')}, round(max(confidence), 6)::DOUBLE AS confidence, count(*) AS statements FROM fx_predication, (SELECT unnest([0, 1]) AS pattern) WHERE relation IS NOT NULL AND ({_PROBE_SQL}) GROUP BY document_id, pattern, sentence_no"),
     "provenance": star.sql("SELECT 0 AS pattern, document_id || '/' || subject_id || '/' || object_id || '/' || sentence_no AS predication_id, subject_id, relation, object_id, CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '[...]' ELSE text END AS sentence FROM (SELECT DISTINCT document_id, subject_id, relation, object_id, sentence_no FROM fx_predication WHERE relation = 'treats' AND object_id = 'Brand#2' AND subject_id IN ('NATION_3', 'NATION_4')) JOIN documents ON doc_id = document_id"),
     "corpus_size": star.sql("SELECT document_collection, count(*) AS n_documents FROM fx_document GROUP BY 1"),
