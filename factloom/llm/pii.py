@@ -314,7 +314,7 @@ def train(windows: list[str]) -> Tagger | None:
 
 
 def sample_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", windows: int = WINDOWS, documents: int = DOCUMENTS) -> list[str]:
-    """Windows around base spans, the first by hash, from about ``documents`` documents; at most 3 of a document and ``windows`` in all."""
+    """Windows with base spans, at places drawn by hash, the first by hash, from about ``documents`` documents; at most 3 of a document and ``windows`` in all."""
     share = min(1.0, documents / max(1, docs.count()))
     h = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("null")))
     picked = docs.where(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") < int(share * (1 << 32))).select(h.alias("h"), text)
@@ -328,9 +328,9 @@ def sample_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                 found = base_spans(t or "")
                 for kind in KINDS:
                     for a, e, _ in [s for s in found if s[2] == kind][:1]:
-                        start = max(0, (a + e) // 2 - 36)
-                        w = t[start : start + 72]
-                        rows.append((hashlib.md5(f"{key}{kind}".encode()).hexdigest(), kind, w))
+                        own = hashlib.md5(f"{key}{kind}".encode()).hexdigest()
+                        start = max(0, (a + e) // 2 - 16 - int(own[-4:], 16) % (WINDOW - 32))  # spans stand anywhere in windows
+                        rows.append((own, kind, t[start : start + WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["h", "kind", "w"])
 
     found = picked.mapInArrow(run, "h string, kind string, w string")
