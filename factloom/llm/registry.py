@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "toxicity", "fingerprint", "ngram_join", "suffix_dedup", "mixing", "warc", "byte_bpe", "pii", "exact_dedup", "sentencepiece_bpe", "resampling"]
+MODULES = ["sharding", "toxicity", "fingerprint", "ngram_join", "suffix_dedup", "mixing", "warc", "byte_bpe", "pii", "exact_dedup", "sentencepiece_bpe", "resampling", "prefix_trie"]
 
 
 def _gather(name: str) -> dict:
