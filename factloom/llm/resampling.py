@@ -36,11 +36,11 @@ def features(text: Column, n: int) -> Column:
     if n == 1:
         return own
 
-    def runs(w: Column) -> Column:
-        sizes = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i, k=k: F.array_join(F.slice(w, i, k), " ")) for k in range(2, n + 1)]
-        return F.concat(w, *[F.when(F.size(w) >= k, s).otherwise(F.array().cast("array<string>")) for k, s in enumerate(sizes, 2)])
+    def longer(w: Column, k: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))
+        return F.when(F.size(w) >= k, joined).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.array(own), runs))  # the words are split once
+    return F.flatten(F.transform(F.array(own), lambda w: F.concat(w, *[longer(w, k) for k in range(2, n + 1)])))  # the words are split once
 
 
 def bucket(feature: Column, buckets: int) -> Column:
