@@ -23,70 +23,75 @@ def _statements(spark, d):
     return matching.statements(star.predication(spark, d))
 
 
+def _raw(spark, d, query, vocabulary=V, **options):
+    """Answers from the statements themselves. Queries take another function of this kind as ``match`` to be answered from elsewhere."""
+    return matching.match(_statements(spark, d), query, vocabulary, **options)
+
+
 def _answer(*patterns, **options):
-    return lambda spark, d: matching.match(_statements(spark, d), Query(patterns), V, **options)
+    return lambda spark, d, match=_raw: match(spark, d, Query(patterns), V, **options)
 
 
 def _meta(spark, d):
     return star.metadata(spark, d).join(star.document(spark, d).select("document_id", "document_collection", "title"), ["document_id", "document_collection"])
 
 
-def pattern_constant(spark, d):
-    return matching.with_metadata(_answer(Pattern(N(3), "treats", B(2)))(spark, d), _meta(spark, d))
+def pattern_constant(spark, d, match=_raw):
+    return matching.with_metadata(_answer(Pattern(N(3), "treats", B(2)))(spark, d, match), _meta(spark, d))
 
 
-def var_class_name(spark, d):
+def var_class_name(spark, d, match=_raw):
     members = tuple(Entity(e.id, e.type, "Continent") for e in N(0, 5, 10, 15, 20))
-    return _answer(Pattern(members, "treats", B(2)))(spark, d).select("document_collection", "document_id", F.col("Continent_id").alias("class_member"), F.col("Continent_type").alias("class_type"))
+    return _answer(Pattern(members, "treats", B(2)))(spark, d, match).select("document_collection", "document_id", F.col("Continent_id").alias("class_member"), F.col("Continent_type").alias("class_type"))
 
 
-def filter_terms(spark, d):
+def filter_terms(spark, d, match=_raw):
     docs = star.document(spark, d).withColumnRenamed("title", "text")
     q = Query((Pattern(N(3), ANY, X("A", "Brand")),), terms=("Building", "1-URGENT"))
-    return matching.match(_statements(spark, d), q, V, term_index=indexing.term_rows(docs))
+    return match(spark, d, q, V, term_index=indexing.term_rows(docs))
 
 
 def _tags(spark, d):
     return indexing.tag_rows(star.tag(spark, d))
 
 
-def filter_entities(spark, d):
+def filter_entities(spark, d, match=_raw):
     q = Query((Pattern(X("S", "Nation"), "inhibits", B(2)),), entity_sets=(B(5, 7), N(3)))
-    return matching.match(_statements(spark, d), q, V, tag_index=_tags(spark, d))
+    return match(spark, d, q, V, tag_index=_tags(spark, d))
 
 
-def no_statement_query(spark, d):
+def no_statement_query(spark, d, match=_raw):
     q = Query(entity_sets=(B(2), N(3, 4)), terms=("building",))
-    return matching.match(_statements(spark, d), q, V, term_index=indexing.term_rows(star.document(spark, d).withColumnRenamed("title", "text")), tag_index=_tags(spark, d))
+    return match(spark, d, q, V, term_index=indexing.term_rows(star.document(spark, d).withColumnRenamed("title", "text")), tag_index=_tags(spark, d))
 
 
-def doc_ids(spark, d):
-    return _answer(Pattern(N(3), ANY, B(2, 5)))(spark, d).select("document_id").distinct().orderBy("document_id")
+def doc_ids(spark, d, match=_raw):
+    return _answer(Pattern(N(3), ANY, B(2, 5)))(spark, d, match).select("document_id").distinct().orderBy("document_id")
 
 
 SHARED = (Pattern(X("S", "Nation"), "treats", X("A")), Pattern(X("S"), "inhibits", X("B")))
 
 
 def _shared(min_shared):
-    return lambda spark, d: _answer(*SHARED, min_shared=min_shared)(spark, d).select("document_collection", "document_id", "S_id", "S_type").distinct()
+    return lambda spark, d, match=_raw: _answer(*SHARED, min_shared=min_shared)(spark, d, match).select("document_collection", "document_id", "S_id", "S_type").distinct()
 
 
 QUERIES = {
     "pattern_constant": pattern_constant,
     "pattern_any_relation": _answer(Pattern(N(3), ANY, B(2))),
     "pattern_in_entities": _answer(Pattern(N(3, 5), "treats", B(2, 7))),
-    "pattern_type_only": lambda s, d: _answer(Pattern(X("S", "Nation"), "induces", X("O", "Brand")))(s, d).select("document_collection", "document_id").distinct(),
+    "pattern_type_only": lambda s, d, match=_raw: _answer(Pattern(X("S", "Nation"), "induces", X("O", "Brand")))(s, d, match).select("document_collection", "document_id").distinct(),
     "pattern_expanded_interacts": _answer(Pattern(N(1), "interacts", B(3))),
     "pattern_symmetric": _answer(Pattern(B(3), "interacts", SEG("BUILDING"))),
     "pattern_conjunction": _answer(Pattern(N(3, 4, 5), ANY, B(2, 3, 4)), Pattern(SEG("BUILDING"), "interacts", B(5, 6, 7))),
-    "pattern_unsatisfiable": lambda s, d: matching.match(_statements(s, d), Query((Pattern(B(2), "treats", B(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
-    "pattern_flipped": lambda s, d: matching.match(_statements(s, d), Query((Pattern(B(2), "treats", N(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
+    "pattern_unsatisfiable": lambda s, d, match=_raw: match(s, d, Query((Pattern(B(2), "treats", B(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
+    "pattern_flipped": lambda s, d, match=_raw: match(s, d, Query((Pattern(B(2), "treats", N(3)),)), Vocabulary(typing={"treats": (frozenset({"Nation"}), frozenset({"Brand"}))})),
     "var_single": _answer(Pattern(X("S", "Nation"), "treats", B(2))),
     "var_both_sides": _answer(Pattern(X("S"), "metabolises", X("S"))),
     "var_shared_min2": _shared(2),
     "var_shared_no_min": _shared(1),
     "var_shared_full": _answer(*SHARED),
-    "var_three_patterns": lambda s, d: _answer(Pattern(N(*range(25)), "administered", B(2, 5, 7)), *SHARED)(s, d).select("document_collection", "document_id", "S_id").distinct(),
+    "var_three_patterns": lambda s, d, match=_raw: _answer(Pattern(N(*range(25)), "administered", B(2, 5, 7)), *SHARED)(s, d, match).select("document_collection", "document_id", "S_id").distinct(),
     "var_two_product": _answer(Pattern(X("S", "Nation"), "treats", X("O", "Brand"))),
     "var_two_joint": _answer(Pattern(X("S", "Nation"), "treats", X("O", "Brand")), joint=True),
     "var_class_name": var_class_name,
@@ -95,13 +100,13 @@ QUERIES = {
     "no_statement_query": no_statement_query,
     "latest_n_guard": _answer(Pattern(X("S", "Nation"), "treats", B(2)), latest=20),
     "doc_ids": doc_ids,
-    "type_expansion": lambda s, d: matching.match(_statements(s, d), Query((Pattern(X("S", "Place"), "treats", B(2)),)), Vocabulary(type_expansion={"Place": ["Nation", "Segment"]})),
-    "substituted_variable": lambda s, d: matching.match(_statements(s, d), Query((Pattern(X("S", "Nation"), "treats", X("O", "Brand")),)).bound({"S": N(3)[0]}), V),
-    "answers_newest_first": lambda s, d: matching.newest_answers(_answer(Pattern(X("S", "Nation"), "treats", B(2, 3)))(s, d)),
+    "type_expansion": lambda s, d, match=_raw: match(s, d, Query((Pattern(X("S", "Place"), "treats", B(2)),)), Vocabulary(type_expansion={"Place": ["Nation", "Segment"]})),
+    "substituted_variable": lambda s, d, match=_raw: match(s, d, Query((Pattern(X("S", "Nation"), "treats", X("O", "Brand")),)).bound({"S": N(3)[0]}), V),
+    "answers_newest_first": lambda s, d, match=_raw: matching.newest_answers(_answer(Pattern(X("S", "Nation"), "treats", B(2, 3)))(s, d, match)),
     "query_keys": lambda s, d: s.createDataFrame([(Query((Pattern(X("S", t), "treats", B(*b)),), terms=("x",)).key(),) for t, b in (("Nation", (2, 3)), ("Nation", (3, 2)), (None, (2,)))], "key string"),
     "docs_for_entity": lambda s, d: _tags(s, d).where("ent_id = 'Brand#2' AND ent_type = 'Brand'").select("document_collection", "document_id"),
-    "sub_count": lambda s, d: matching.substitution_counts(_answer(Pattern(X("S", "Nation"), ANY, B(2)))(s, d), "S"),
-    "sub_count_topk": lambda s, d: matching.substitution_counts(_answer(Pattern(N(3), ANY, X("O", "Brand")))(s, d), "O", 5),
+    "sub_count": lambda s, d, match=_raw: matching.substitution_counts(_answer(Pattern(X("S", "Nation"), ANY, B(2)))(s, d, match), "S"),
+    "sub_count_topk": lambda s, d, match=_raw: matching.substitution_counts(_answer(Pattern(N(3), ANY, X("O", "Brand")))(s, d, match), "O", 5),
     "distinct_predicates": lambda s, d: _facts(s, d).select("document_collection", "relation").distinct(),
     "distinct_entities": lambda s, d: matching.entities(_facts(s, d)),
 }
