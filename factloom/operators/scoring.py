@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import topk
+
 DOC = ["document_collection", "document_id"]
 #: Weights of relations (fixed values).
 WEIGHTS = {"associated": 0.25, "administered": 1.0, "compares": 1.0, "decreases": 0.5, "induces": 1.0, "interacts": 0.5, "inhibits": 1.0, "metabolises": 1.0, "treats": 1.0, "method": 1.0}
@@ -127,8 +128,10 @@ def first_stage(core: DataFrame, tags: DataFrame, scale: bool = True, per: list[
     return both.select(*per, *DOC, F.try_divide("score", "best").alias("score"))
 
 
-def dynamic_cutoff(ranked: DataFrame, cutoff: int = CUTOFF, hard: int = HARD_CUTOFF, per: list[str] = ()) -> DataFrame:
-    """The best ``cutoff`` documents, longer while scores tie with the next one, at most ``hard``; if nothing scores lower, just ``cutoff``. For each query (per)."""
+def dynamic_cutoff(ranked: DataFrame, cutoff: int = CUTOFF, hard: int = HARD_CUTOFF, per: list[str] = (), low: DataFrame | None = None) -> DataFrame:
+    """The best ``cutoff`` documents, longer while scores tie with the next one, at most ``hard``; if nothing scores lower, just ``cutoff``. For each query (per).
+
+    low: (query, low) with the lowest scores, where ranked holds the best hard + 1 documents only."""
     order = [F.desc("score"), F.desc("document_id"), F.desc("document_collection")]
     all_ = Window.partitionBy(*per)
     if per:
@@ -136,7 +139,7 @@ def dynamic_cutoff(ranked: DataFrame, cutoff: int = CUTOFF, hard: int = HARD_CUT
     else:
         rows = ranked.orderBy(*order).limit(hard + 1).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over hard + 1 rows
     tie = F.max(F.when(F.col("rank") == cutoff + 1, F.col("score"))).over(all_)
-    low = ranked.groupBy(*per).agg(F.min("score").alias("low"))
+    low = ranked.groupBy(*per).agg(F.min("score").alias("low")) if low is None else low
     rows = rows.withColumn("tie", tie)
     rows = rows.join(low, list(per)) if per else rows.crossJoin(F.broadcast(low))  # low is one row
     return rows.where((F.col("rank") <= cutoff) | ((F.col("low") < F.col("tie")) & (F.col("score") >= F.col("tie")))).where(F.col("rank") <= hard).select(*per, *DOC, "score", "rank")
@@ -148,38 +151,51 @@ def core_overlap(core: DataFrame, candidates: DataFrame, per: list[str] = ()) ->
     return candidates.join(own, [*per, "a", "b"]).groupBy(*per, *DOC).agg(F.sum("w").alias("score"), F.count("*").alias("shared"))
 
 
-def candidates(queries: DataFrame, tags: DataFrame, documents: DataFrame, lengths: DataFrame, digits: int = 6) -> tuple[DataFrame, DataFrame]:
-    """((query, document, score, rank) of the first stage, idfs). queries are documents; each is left out of its own candidates, the cut-off counts it.
+def query_cores(queries: DataFrame, tags: DataFrame, lengths: DataFrame, idfs: DataFrame) -> DataFrame:
+    """(query, ent_id, ent_type, score, ...): concept cores of the documents that are asked for, and no others."""
+    return as_query(concept_core(concepts(tags.join(queries, DOC, "left_semi"), lengths.join(queries, DOC, "left_semi"), idfs)))
+
 
-    Only the queries' concepts are scored; of the other documents no more than their mentions is read. Scores are rounded before they are ranked.
+def candidates(queries: DataFrame, tags: DataFrame, idfs: DataFrame, lengths: DataFrame, digits: int = 6) -> DataFrame:
+    """(query, document, score, rank) of the first stage. queries are documents; each is left out of its own candidates, the cut-off counts it.
+
+    Only the queries' concepts are scored; of the other documents no more than their mentions is read. Scores are rounded before they are ranked, and only the best
+    of each query leave the search; every query is a document of the corpus, so its own score is the best one, by which scores are divided.
     """
-    idfs = idf(tags, documents)
-    core = as_query(concept_core(concepts(tags.join(queries, DOC, "left_semi"), lengths.join(queries, DOC, "left_semi"), idfs)))
-    ranked = first_stage(core, tags, per=QUERY).withColumn("score", F.round("score", digits))
-    cut = dynamic_cutoff(ranked, per=QUERY)
-    others = cut.where((F.col("query_id") != F.col("document_id")) | (F.col("query_collection") != F.col("document_collection")))
-    return others.persist(StorageLevel.DISK_ONLY), idfs  # read several times; a lost part is worked out again
+    ranked, low, _ = topk.search(query_cores(queries, tags, lengths, idfs), tags, HARD_CUTOFF + 1, QUERY, digits)
+    cut = dynamic_cutoff(ranked, per=QUERY, low=low)
+    return cut.where((F.col("query_id") != F.col("document_id")) | (F.col("query_collection") != F.col("document_collection")))
+
+
+def second_stage(queries: DataFrame, first: DataFrame, tags: DataFrame, idfs: DataFrame, lengths: DataFrame, predications: DataFrame, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(statement cores of the queries, statement cores of each query's candidates), made of those documents alone. first: (query, document)."""
+    wanted = first.select(*DOC).unionByName(queries.select(*DOC)).distinct()
+    own = lambda rows: rows.join(wanted, DOC, "left_semi")
+    scored = edges(own(predications), concepts(own(tags), own(lengths), idfs))
+    cores = topk.cut(statement_core(scored.withColumn("score", F.round("score", digits)) if digits else scored))  # read on both sides of a join
+    return as_query(cores.join(queries, DOC, "left_semi")), first.select(*QUERY, *DOC).join(cores, DOC)
 
 
 def recommend(queries: DataFrame, tags: DataFrame, documents: DataFrame, lengths: DataFrame, predications: DataFrame) -> DataFrame:
     """(query, document, rank of the first stage, score and shared of the second): both stages. Statement cores are only made of queries and candidates."""
-    first, idfs = candidates(queries, tags, documents, lengths)
-    wanted = first.select(*DOC).unionByName(queries.select(*DOC)).distinct()
-    own = statement_core(edges(predications.join(wanted, DOC, "left_semi"), concepts(tags.join(wanted, DOC, "left_semi"), lengths.join(wanted, DOC, "left_semi"), idfs))).persist(StorageLevel.DISK_ONLY)
-    asked = as_query(own.join(queries, DOC, "left_semi"))
-    found = core_overlap(asked, first.select(*QUERY, *DOC).join(own, DOC), per=QUERY)
+    idfs = topk.cut(idf(tags, documents))
+    first = topk.cut(candidates(queries, tags, idfs, lengths))
+    found = core_overlap(*second_stage(queries, first, tags, idfs, lengths, predications), per=QUERY)
     return first.select(*QUERY, *DOC, "rank").join(found, [*QUERY, *DOC])
 
 
-def explanation_graph(core: DataFrame, candidate: DataFrame, shared: int = 7, total: int = 13) -> DataFrame:
-    """The strongest shared pairs of a candidate document, then its further pairs that touch the input's concepts; a_shared and b_shared tell which ends both documents have."""
-    own = core.select("a", "b").distinct().withColumn("both", F.lit(True))
-    names = core.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    rows = candidate.join(own, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(False)))
+def explanation_graph(core: DataFrame, candidate: DataFrame, shared: int = 7, total: int = 13, per: list[str] = ()) -> DataFrame:
+    """The strongest shared pairs of a candidate document, then its further pairs that touch the input's concepts; a_shared and b_shared tell which ends both documents have.
+
+    per: columns of both that tell several inputs apart."""
+    own = core.select(*per, "a", "b").distinct().withColumn("both", F.lit(True))
+    names = core.select(*per, F.explode(F.array("a", "b")).alias("name")).distinct()
+    rows = candidate.join(own, [*per, "a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(False)))
     for side in ("a", "b"):
-        rows = rows.join(names.select(F.col("name").alias(side), F.lit(True).alias(f"in_{side}")), side, "left")
+        rows = rows.join(names.select(*per, F.col("name").alias(side), F.lit(True).alias(f"in_{side}")), [*per, side], "left")
     touching = rows.where("in_a OR in_b")
-    w = Window.partitionBy(*DOC, "both").orderBy(F.desc("score"), "a", "b")
+    w = Window.partitionBy(*per, *DOC, "both").orderBy(F.desc("score"), "a", "b")
     ranked = touching.withColumn("r", F.row_number().over(w)).where(~F.col("both") | (F.col("r") <= shared))
-    order = Window.partitionBy(*DOC).orderBy(F.desc("both"), F.desc("score"), "a", "b")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total).select(*DOC, "a", "b", "relation", "both", F.coalesce("in_a", F.lit(False)).alias("a_shared"), F.coalesce("in_b", F.lit(False)).alias("b_shared"), "rank")
+    order = Window.partitionBy(*per, *DOC).orderBy(F.desc("both"), F.desc("score"), "a", "b")
+    found = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= total)
+    return found.select(*per, *DOC, "a", "b", "relation", "both", F.coalesce("in_a", F.lit(False)).alias("a_shared"), F.coalesce("in_b", F.lit(False)).alias("b_shared"), "rank")

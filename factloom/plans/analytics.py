@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rounded
 from ..model import ANY, Pattern, Query
-from ..operators import matching, provenance, results, scoring, statistics, suggest
-from ..sources import star
+from ..operators import matching, provenance, results, scoring, statistics, suggest, topk
+from ..sources import shared, star
 from .indexes import _index
 from .patterns import B, N, V, _facts, _statements
 
@@ -21,14 +21,14 @@ def _r(df, *columns):
     return df
 
 
-def _target(spark, d):
-    """The document with most statements (least id of ties): one row."""
-    p = star.predication(spark, d).groupBy(*DOC).agg(F.count("*").alias("n"))
-    return p.orderBy(F.desc("n"), "document_id").limit(1).select(*DOC)
+def _asked(spark, d):
+    """The documents that recommendations are made for: every one whose id is divisible by 100."""
+    return star.document(spark, d).where("document_id % 100 = 0").select(*DOC)
 
 
-def _one(spark, d, rows):
-    return rows.join(F.broadcast(_target(spark, d)), DOC, "left_semi")  # one row
+def _stored(spark, d, name):
+    """Mentions or statements, derived from the star schema once a session, as an application has them in a table."""
+    return shared.once(spark, name, d, lambda path: getattr(star, name)(spark, d).write.parquet(path), spark.read.parquet)
 
 
 def _lengths(spark, d):
@@ -72,47 +72,44 @@ def provenance_sentences(spark, d):
     return provenance.by_ids(ids, p, sentences).select("pattern", "predication_id", "subject_id", "relation", "object_id", "sentence")
 
 
-def first_stage(spark, d):
-    core = scoring.concept_core(_target_concepts(spark, d)[0])
-    return _r(scoring.first_stage(core, star.tag(spark, d)), "score")
+def _given(spark, d):
+    """Documents asked for, mentions, idfs and text lengths."""
+    tags = _stored(spark, d, "tag")
+    return _asked(spark, d), tags, topk.cut(scoring.idf(tags, star.document(spark, d))), _lengths(spark, d)
 
 
-def _target_concepts(spark, d):
-    """Concepts of the one input document, and idfs."""
-    tags = star.tag(spark, d)
-    idfs = scoring.idf(tags, star.document(spark, d))
-    return scoring.concepts(_one(spark, d, tags), _one(spark, d, _lengths(spark, d)), idfs), idfs
+def _first(spark, d):
+    asked, tags, idfs, lengths = _given(spark, d)
+    return topk.search(scoring.query_cores(asked, tags, lengths, idfs), tags, scoring.HARD_CUTOFF + 1, scoring.QUERY)[:2]
+
+
+def first_stage(spark, d):
+    """The best documents of each query, as many as the cut-off looks at."""
+    return _first(spark, d)[0]
 
 
 def dynamic_cutoff(spark, d):
-    return scoring.dynamic_cutoff(first_stage(spark, d)).select(*DOC, "score", F.col("rank").cast("long").alias("rank"))
+    ranked, low = _first(spark, d)
+    return scoring.dynamic_cutoff(ranked, per=scoring.QUERY, low=low).select(*scoring.QUERY, *DOC, "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _cores(spark, d, digits=None):
-    """Statement cores of the input document and of its candidates, no others. The first stage's candidates, HARD_CUTOFF rows at most, are fixed before the second."""
-    target, schema = _target(spark, d).first(), star.document(spark, d).select(*DOC).schema
-    found = [tuple(r) for r in dynamic_cutoff(spark, d).select(*DOC).collect()]
-    one = spark.createDataFrame([tuple(target)], schema) if target else spark.createDataFrame([], schema)
-    wanted = F.broadcast(spark.createDataFrame([*{*found, *([tuple(target)] if target else [])}], schema))
-    own = lambda rows: rows.join(wanted, DOC, "left_semi")
-    idfs = scoring.idf(star.tag(spark, d), star.document(spark, d))
-    edges = scoring.edges(own(star.predication(spark, d)), scoring.concepts(own(star.tag(spark, d)), own(_lengths(spark, d)), idfs))
-    core = scoring.statement_core(edges.withColumn("score", F.round("score", digits)) if digits else edges)
-    return core.join(F.broadcast(one), DOC, "left_semi"), core.join(F.broadcast(one), DOC, "left_anti")
+    asked, tags, idfs, lengths = _given(spark, d)
+    first = topk.cut(scoring.candidates(asked, tags, idfs, lengths))
+    return scoring.second_stage(asked, first, tags, idfs, lengths, _stored(spark, d, "predication"), digits)
 
 
 def core_overlap(spark, d):
-    return _r(scoring.core_overlap(*_cores(spark, d)), "score")
+    return _r(scoring.core_overlap(*_cores(spark, d), per=scoring.QUERY), "score")
 
 
 def explanation_graph(spark, d):
-    return scoring.explanation_graph(*_cores(spark, d, 9)).select(*DOC, "a", "b", "both", "a_shared", "b_shared")
+    return scoring.explanation_graph(*_cores(spark, d, 9), per=scoring.QUERY).select(*scoring.QUERY, *DOC, "a", "b", "both", "a_shared", "b_shared")
 
 
 def recommendations(spark, d):
     """Both stages for every document whose id is divisible by 100."""
-    docs = star.document(spark, d)
-    found = scoring.recommend(docs.where("document_id % 100 = 0").select(*DOC), star.tag(spark, d), docs, _lengths(spark, d), star.predication(spark, d))
+    found = scoring.recommend(_asked(spark, d), _stored(spark, d, "tag"), star.document(spark, d), _lengths(spark, d), _stored(spark, d, "predication"))
     return _r(found.withColumn("rank", F.col("rank").cast("long")), "score")
 
 
@@ -184,7 +181,7 @@ QUERIES = {
     "edge_score": lambda s, d: _r(_edges(s, d).select(*DOC, "subject_id", "relation", "object_id", "score"), "score"),
     "statement_confidence": lambda s, d: _r(scoring.confidences(star.predication(s, d), ["interacts"]), "confidence"),
     "document_graph": lambda s, d: _r(scoring.document_graph(_edges(s, d)), "score"),
-    "concept_core": lambda s, d: _r(_one(s, d, scoring.concept_core(_concepts(s, d))).select("document_id", "ent_id", "score"), "score"),
+    "concept_core": lambda s, d: _r(scoring.concept_core(_concepts(s, d).join(_asked(s, d), DOC, "left_semi")).select("document_id", "ent_id", "score"), "score"),
     "concept_core_all": lambda s, d: _r(scoring.concept_core(_concepts(s, d)).select(*DOC, "ent_id", "score"), "score"),
     "statement_core": lambda s, d: scoring.statement_core(_edges(s, d).withColumn("score", F.round("score", 9))).select(*DOC, "a", "b", "relation", "score"),
     "first_stage": first_stage,
@@ -229,20 +226,19 @@ _FX = {
     "sup": "SELECT ent_id, ent_type, count(DISTINCT (document_collection, document_id)) AS support FROM fx_tag GROUP BY ALL",
     "idfs": "SELECT ent_id, ent_type, support, ln(n / support) / ln(n) AS idf FROM sup, (SELECT CAST(count(*) AS DOUBLE) AS n FROM fx_document)",
     "con": f"SELECT p.document_collection, p.document_id, ent_id, ent_type, mentions, first_pos, last_pos, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (last_pos - first_pos) / CAST(length(title) * 5 AS DOUBLE))) AS coverage, mentions / CAST(total AS DOUBLE) AS tf, support, idf FROM (SELECT {_C}, ent_id, ent_type, count(*) AS mentions, min(start_pos) AS first_pos, max(end_pos) AS last_pos FROM fx_tag GROUP BY ALL) p JOIN (SELECT {_C}, count(*) AS total FROM fx_tag GROUP BY ALL) USING ({_C}) JOIN fx_document USING ({_C}) JOIN idfs USING (ent_id, ent_type)",
-    "tgt": f"SELECT {_C} FROM (SELECT {_C}, count(*) AS n FROM fx_predication GROUP BY ALL) ORDER BY n DESC, document_id LIMIT 1",
 }
 _W = "CASE relation WHEN 'interacts' THEN 0.5 WHEN 'decreases' THEN 0.5 WHEN 'associated' THEN 0.25 ELSE 1.0 END"
 _FX["edg"] = f"SELECT s.*, least(coalesce(a.coverage, 0), coalesce(b.coverage, 0)) * confidence * CAST({_W} AS DOUBLE) * (0.5::DOUBLE * (coalesce(a.tf * a.idf, 0) + coalesce(b.tf * b.idf, 0))) AS score FROM (SELECT {_C}, subject_id, subject_type, relation, object_id, object_type, max(CAST(confidence AS DOUBLE)) AS confidence FROM fx_predication WHERE relation IS NOT NULL GROUP BY ALL) s LEFT JOIN con a ON s.document_id = a.document_id AND s.document_collection = a.document_collection AND subject_id = a.ent_id AND subject_type = a.ent_type LEFT JOIN con b ON s.document_id = b.document_id AND s.document_collection = b.document_collection AND object_id = b.ent_id AND object_type = b.ent_type"
 _FX["core"] = f"SELECT * FROM (SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, relation, score, row_number() OVER (PARTITION BY {_C}, least(subject_id, object_id), greatest(subject_id, object_id) ORDER BY score DESC, relation, subject_id) AS r FROM edg) WHERE r = 1"
-_FX["fst"] = f"SELECT {_C}, round(s / max(s) OVER (), 6) AS score FROM (SELECT t.document_collection, t.document_id, sum(w) AS s FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag) t JOIN (SELECT ent_id, ent_type, coverage * tf * idf AS w FROM con SEMI JOIN tgt USING ({_C}) WHERE coverage * tf * idf > 0) USING (ent_id, ent_type) GROUP BY ALL)"
 
 _FX["dg"] = f"SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, array_to_string(list_sort(list(DISTINCT relation)), '|') AS label, round(max(score), 9) AS score FROM edg GROUP BY {_C}, least(subject_id, object_id), greatest(subject_id, object_id)"
-_FX["cut"] = f"SELECT {_C}, score, rank FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER () AS tie, min(score) OVER () AS low FROM (SELECT *, row_number() OVER (ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank FROM fst)) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie))"
-_FX["cand"] = f"SELECT core.* FROM core SEMI JOIN cut USING ({_C}) ANTI JOIN tgt USING ({_C})"
-_FX["own"] = f"SELECT * FROM core SEMI JOIN tgt USING ({_C})"
 _QC = "query_collection, query_id"
 _FX["qfst"] = f"SELECT {_QC}, {_C}, round(s / max(s) OVER (PARTITION BY {_QC}), 6) AS score FROM (SELECT {_QC}, t.document_collection, t.document_id, sum(w) AS s FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag) t JOIN (SELECT document_collection AS query_collection, document_id AS query_id, ent_id, ent_type, coverage * tf * idf AS w FROM con WHERE document_id % 100 = 0 AND coverage * tf * idf > 0) USING (ent_id, ent_type) GROUP BY ALL)"
-_FX["qcut"] = f"SELECT * FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER (PARTITION BY {_QC}) AS tie FROM (SELECT *, row_number() OVER (PARTITION BY {_QC} ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank, min(score) OVER (PARTITION BY {_QC}) AS low FROM qfst)) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie)) AND (query_id <> document_id OR query_collection <> document_collection)"
+_FX["qrank"] = f"SELECT *, row_number() OVER (PARTITION BY {_QC} ORDER BY score DESC, document_id DESC, document_collection DESC) AS rank, min(score) OVER (PARTITION BY {_QC}) AS low FROM qfst"
+_FX["qcut"] = f"SELECT * FROM (SELECT *, max(CASE WHEN rank = 51 THEN score END) OVER (PARTITION BY {_QC}) AS tie FROM qrank) WHERE rank <= 100 AND (rank <= 50 OR (low < tie AND score >= tie))"
+_FX["qother"] = "SELECT * FROM qcut WHERE query_id <> document_id OR query_collection <> document_collection"
+_FX["qcand"] = f"SELECT {_QC}, core.* FROM core JOIN (SELECT {_QC}, {_C} FROM qcut WHERE query_id <> document_id OR query_collection <> document_collection) USING ({_C})"
+_FX["qown"] = "SELECT document_collection AS query_collection, document_id AS query_id, a, b, relation, score FROM core WHERE document_id % 100 = 0"
 
 
 def _rounded_sql(x: str) -> str:
@@ -279,14 +275,14 @@ ORACLE = {
     "edge_score": _q(f"SELECT {_C}, subject_id, relation, object_id, round(score, 6) AS score FROM edg", *_ALL, "edg"),
     "statement_confidence": star.sql(f"SELECT {_C}, subject_id, subject_type, relation, object_id, object_type, round(max(CAST(confidence AS DOUBLE)), 6) AS confidence FROM (SELECT * FROM fx_predication WHERE relation IS NOT NULL UNION ALL SELECT document_id, document_collection, object_id, object_type, relation, subject_id, subject_type, confidence, sentence_no FROM fx_predication WHERE relation = 'interacts') GROUP BY ALL"),
     "document_graph": _q(f"SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, array_to_string(list_sort(list(DISTINCT relation)), '|') AS label, round(max(score), 6) AS score FROM edg GROUP BY ALL".replace("GROUP BY ALL", f"GROUP BY {_C}, least(subject_id, object_id), greatest(subject_id, object_id)"), *_ALL, "edg"),
-    "concept_core": _q(f"SELECT document_id, ent_id, round(coverage * tf * idf, 6) AS score FROM con SEMI JOIN tgt USING ({_C}) WHERE coverage * tf * idf > 0", *_ALL, "tgt"),
+    "concept_core": _q(f"SELECT document_id, ent_id, round(coverage * tf * idf, 6) AS score FROM con WHERE document_id % 100 = 0 AND coverage * tf * idf > 0", *_ALL),
     "concept_core_all": _q(f"SELECT {_C}, ent_id, round(coverage * tf * idf, 6) AS score FROM con WHERE coverage * tf * idf > 0 AND support <= {scoring.MAX_SUPPORT}", *_ALL),
     "statement_core": _q(f"SELECT {_C}, a, b, relation, round(score, 9) AS score FROM core", *_ALL, "edg", "core").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
-    "first_stage": _q(f"SELECT {_C}, score FROM fst", *_ALL, "tgt", "fst"),
-    "dynamic_cutoff": _q(f"SELECT {_C}, score, rank FROM cut", *_ALL, "tgt", "fst", "cut"),
-    "core_overlap": _q("SELECT c.document_collection, c.document_id, round(sum(i.score), 6) AS score, count(*) AS shared FROM cand c JOIN own i ON c.a = i.a AND c.b = i.b GROUP BY ALL", *_ALL, "edg", "core", "tgt", "fst", "cut", "cand", "own"),
-    "explanation_graph": _q(f"SELECT {_C}, a, b, both_ AS both, a_shared, b_shared FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY both_ DESC, s DESC, a, b) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {_C}, both_ ORDER BY s DESC, a, b) AS k FROM (SELECT *, (a, b) IN (SELECT (a, b) FROM own) AS both_ FROM (SELECT {_C}, a, b, round(score, 9) AS s, a IN (SELECT unnest([a, b]) FROM own) AS a_shared, b IN (SELECT unnest([a, b]) FROM own) AS b_shared FROM cand) WHERE a_shared OR b_shared)) WHERE NOT both_ OR k <= 7) WHERE rank <= 13", *_ALL, "edg", "core", "tgt", "fst", "cut", "cand", "own").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
-    "recommendations": _q(f"SELECT {_QC}, q.document_collection, q.document_id, rank, round(sum(i.score), 6) AS score, count(*) AS shared FROM qcut q JOIN core c ON c.document_id = q.document_id AND c.document_collection = q.document_collection JOIN core i ON i.document_id = query_id AND i.document_collection = query_collection AND i.a = c.a AND i.b = c.b GROUP BY {_QC}, q.document_collection, q.document_id, rank", *_ALL, "edg", "core", "qfst", "qcut"),
+    "first_stage": _q(f"SELECT {_QC}, {_C}, score FROM qrank WHERE rank <= 101", *_ALL, "qfst", "qrank"),
+    "dynamic_cutoff": _q(f"SELECT {_QC}, {_C}, score, rank FROM qcut", *_ALL, "qfst", "qrank", "qcut"),
+    "core_overlap": _q(f"SELECT {_QC}, c.document_collection, c.document_id, round(sum(i.score), 6) AS score, count(*) AS shared FROM qcand c JOIN qown i USING ({_QC}, a, b) GROUP BY ALL", *_ALL, "edg", "core", "qfst", "qrank", "qcut", "qcand", "qown"),
+    "explanation_graph": _q(f"SELECT {_QC}, {_C}, a, b, both_ AS both, a_shared, b_shared FROM (SELECT *, row_number() OVER (PARTITION BY {_QC}, {_C} ORDER BY both_ DESC, s DESC, a, b) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {_QC}, {_C}, both_ ORDER BY s DESC, a, b) AS k FROM (SELECT *, ({_QC}, a, b) IN (SELECT ({_QC}, a, b) FROM qown) AS both_ FROM (SELECT {_QC}, {_C}, a, b, round(score, 9) AS s, ({_QC}, a) IN (SELECT ({_QC}, unnest([a, b])) FROM qown) AS a_shared, ({_QC}, b) IN (SELECT ({_QC}, unnest([a, b])) FROM qown) AS b_shared FROM qcand) WHERE a_shared OR b_shared)) WHERE NOT both_ OR k <= 7) WHERE rank <= 13", *_ALL, "edg", "core", "qfst", "qrank", "qcut", "qcand", "qown").replace("ORDER BY score DESC, relation, subject_id", "ORDER BY round(score, 9) DESC, relation, subject_id"),
+    "recommendations": _q(f"SELECT {_QC}, q.document_collection, q.document_id, rank, round(sum(i.score), 6) AS score, count(*) AS shared FROM qother q JOIN core c ON c.document_id = q.document_id AND c.document_collection = q.document_collection JOIN core i ON i.document_id = query_id AND i.document_collection = query_collection AND i.a = c.a AND i.b = c.b GROUP BY {_QC}, q.document_collection, q.document_id, rank", *_ALL, "edg", "core", "qfst", "qrank", "qcut", "qother"),
     "representative_sentence": _q(f"SELECT {_C}, a, b, sentence_no FROM (SELECT *, row_number() OVER (PARTITION BY {_C}, a, b ORDER BY s, sentence_no) AS r FROM (SELECT {_C}, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, round(score, 9) AS s, sentence_no FROM edg JOIN (SELECT {_C}, subject_id, subject_type, relation, object_id, object_type, sentence_no FROM fx_predication) USING ({_C}, subject_id, subject_type, relation, object_id, object_type))) WHERE r = 1", *_ALL, "edg"),
     "document_graph_top": _q(f"SELECT {_C}, a, b, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
     "document_graph_nodes": _q(f"SELECT DISTINCT {_C}, unnest([a, b]) AS node FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
