@@ -7,6 +7,8 @@ from itertools import permutations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stemming import porter
+
 DOC = ["document_collection", "document_id"]
 PHASES = {"NA": -1, "EARLY_PHASE1": 0, "PHASE1": 1, "PHASE2": 2, "PHASE3": 3, "PHASE4": 4}
 
@@ -85,8 +87,7 @@ def sampled_documents(tags: DataFrame, per_entity: int = 100, seed: int = 0) ->
 
 
 def stem(word):
-    """A light stem: common English endings off words that keep three letters."""
-    return F.regexp_replace(F.lower(word), "^(.*[a-z]{3})(ing|ed|ly|s)$", "$1")
+    return porter(word)
 
 
 def shortest_words(words: DataFrame) -> DataFrame:

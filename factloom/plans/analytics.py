@@ -9,6 +9,7 @@ from ..model import ANY, Pattern, Query
 from ..operators import matching, provenance, results, scoring, statistics, suggest, topk
 from ..sources import shared, star
 from .indexes import _index
+from .keywords import porter_sql
 from .patterns import B, N, V, _facts, _statements
 
 AS_OF = "2024-01-20"
@@ -260,7 +261,7 @@ _REL = "SELECT * FROM sch UNION ALL SELECT a, 'associated', b, 0 FROM (VALUES ('
 _PERM = "SELECT k, o, list_transform(o, lambda i: ['Nation', 'Brand', 'Segment'][i + 1]) AS t FROM (VALUES (0, [0, 1, 2]), (1, [0, 2, 1]), (2, [1, 0, 2]), (3, [1, 2, 0]), (4, [2, 0, 1]), (5, [2, 1, 0])) v(k, o)"
 _CH3 = "SELECT chain, relations, support FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY k) AS r FROM (SELECT k, array_to_string(t, '-') AS chain, x.relation || ',' || y.relation AS relations, CASE WHEN x.support > 0 THEN least(x.support, y.support) ELSE y.support END AS support, list_sort([least(o[1], o[2]) || '/' || greatest(o[1], o[2]) || x.relation, least(o[2], o[3]) || '/' || greatest(o[2], o[3]) || y.relation]) AS canon FROM perm JOIN rel x ON x.subject_type = t[1] AND x.object_type = t[2] JOIN rel y ON y.subject_type = t[2] AND y.object_type = t[3])) WHERE r = 1"
 _SCORED = "SELECT entity_id, term, 1.0::DOUBLE / count(*) + length(term) AS score FROM (SELECT p_brand AS entity_id, unnest([w, w || 's', w || 'ing']) AS term FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)) GROUP BY entity_id, term"
-_STEM = "regexp_replace(lower(term), '^(.*[a-z]{3})(ing|ed|ly|s)$', '\\1')"
+_STEMS = f"stems AS MATERIALIZED ({porter_sql(f'SELECT term FROM ({_SCORED})', 'term')})"
 _JOINED = lambda c: f"list_reduce(list({c} ORDER BY subject_id, relation, object_id), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || '//' || x END) AS {c}"
 _EDGE2 = "SELECT subject_id AS source, object_id AS target, count(*) AS n FROM facts GROUP BY ALL"
 ORACLE = {
@@ -288,8 +289,8 @@ ORACLE = {
     "document_graph_nodes": _q(f"SELECT DISTINCT {_C}, unnest([a, b]) AS node FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
     "confidence_rounded": f"SELECT DISTINCT round(x, 6) AS x, {_rounded_sql('x')} AS x2, round(y, 6) AS y, {_rounded_sql('y')} AS y2 FROM (SELECT CAST(l_quantity AS DOUBLE) / 400 AS x, l_linenumber + CAST(l_quantity AS DOUBLE) / 1000 AS y FROM lineitem)",
     "keyword_sample": star.sql(f"SELECT ent_id, ent_type, {_C} FROM (SELECT *, row_number() OVER (PARTITION BY ent_id, ent_type ORDER BY md5('7:' || document_collection || ':' || document_id), document_id) AS r FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag WHERE ent_type = 'Nation')) WHERE r <= 20"),
-    "keyword_stems": f"SELECT stem, word FROM (SELECT {_STEM} AS stem, term AS word, row_number() OVER (PARTITION BY {_STEM} ORDER BY length(term), term) AS r FROM ({_SCORED})) WHERE r = 1",
-    "keyword_merged": f"SELECT entity_id, term, round(low, 6) AS score FROM (SELECT entity_id, term, min(score) OVER (PARTITION BY entity_id, {_STEM}) AS low, row_number() OVER (PARTITION BY entity_id, {_STEM} ORDER BY length(term), term) AS r FROM ({_SCORED})) WHERE r = 1",
+    "keyword_stems": f"WITH {_STEMS} SELECT stem, word FROM (SELECT stem, word, row_number() OVER (PARTITION BY stem ORDER BY length(word), word) AS r FROM stems) WHERE r = 1",
+    "keyword_merged": f"WITH {_STEMS} SELECT entity_id, term, round(low, 6) AS score FROM (SELECT entity_id, term, min(score) OVER (PARTITION BY entity_id, stem) AS low, row_number() OVER (PARTITION BY entity_id, stem ORDER BY length(term), term) AS r FROM ({_SCORED}) JOIN stems ON word = term) WHERE r = 1",
     "keyword_chains": star.sql("SELECT * FROM ch3", sch=_SCHEMA, rel=_REL, perm=_PERM, ch3=_CH3),
     "schema_support": star.sql("SELECT * FROM sch", sch=_SCHEMA),
     "type_cooccurrence": star.sql(f"SELECT x.ent_type AS type_a, y.ent_type AS type_b, count(*) AS support FROM (SELECT DISTINCT {_C}, ent_type FROM fx_tag) x JOIN (SELECT DISTINCT {_C}, ent_type FROM fx_tag) y USING ({_C}) GROUP BY ALL"),
