@@ -1,15 +1,17 @@
-"""Queries that write files in the formats of exchange and read them back. The files stay in the warehouse folder, one copy of each."""
+"""Queries that write files in the formats of exchange, or service tables, and read them back. Each run has folders of its own in the shared storage."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from ..operators import matching
-from ..sources import star, tables
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import indexing, matching
+from ..sources import published, shared, star, tables
 
-def _folder(spark, name):
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/factloom-files/{name}"
+_folder = shared.new
 
 
 def documents_json(spark, d):
@@ -54,7 +56,19 @@ def replaced_table(spark, d):
     return tables.replace_key(spark.read.parquet(path), more, ["document_collection"])
 
 
+def service_without_collection(spark, d):
+    """All service tables published together, and a collection taken out of all of them."""
+    folder = _folder(spark, "service")
+    docs = star.document(spark, d)
+    own = {"predications": indexing.predication_index(star.predication(spark, d)), "tags": indexing.tag_index(star.tag(spark, d)), "terms": indexing.term_index(docs.withColumnRenamed("title", "text")), "documents": docs, "metadata": star.metadata(spark, d)}
+    published.publish(spark, folder, own)
+    published.delete_collection(spark, folder, "ORD_P")
+    counts = [df.groupBy("document_collection").agg(F.count("*").alias("n")).select(F.lit(name).alias("service_table"), "document_collection", "n") for name, df in published.read(spark, folder).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 QUERIES = {
+    "service_without_collection": service_without_collection,
     "documents_json": documents_json,
     "documents_json_tags": documents_json_tags,
     "log_tsv": log_tsv,
@@ -63,7 +77,13 @@ QUERIES = {
     "documents_by_ids": lambda s, d: tables.by_ids(star.document(s, d), "7;1;x;32;96", "ORD_O").select("document_id", "title"),
     "statement_entities": lambda s, d: matching.entities(star.predication(s, d)),
 }
+_BLOCK = indexing.BLOCK
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_WORDS)
+_POSTED = lambda name, key, rows: f"SELECT '{name}' AS service_table, document_collection, count(*) AS n FROM (SELECT DISTINCT document_collection, {key}, document_id // {_BLOCK} AS block FROM {rows}) WHERE document_collection <> 'ORD_P' GROUP BY 2"
+_TITLES = "(SELECT document_collection, document_id, unnest(string_split(lower(title), ' ')) AS term FROM fx_document UNION ALL SELECT document_collection, document_id, unnest(string_split(regexp_replace(lower(title), '[[:punct:]]', ' ', 'g'), ' ')) FROM fx_document)"
+_WHOLE = lambda name, rows: f"SELECT '{name}', document_collection, count(*) FROM {rows} WHERE document_collection <> 'ORD_P' GROUP BY 2"
 ORACLE = {
+    "service_without_collection": star.sql(" UNION ALL ".join([_POSTED("predications", "subject_id, subject_type, relation, object_id, object_type", "facts"), _POSTED("tags", "ent_id, ent_type", "fx_tag"), _POSTED("terms", "term", f"{_TITLES} t WHERE term <> '' AND term NOT IN ({_STOP})"), _WHOLE("documents", "fx_document"), _WHOLE("metadata", "fx_metadata")])),
     "documents_json": star.sql("SELECT document_id, subject_id, subject_type, relation, object_id, object_type, round(CAST(confidence AS DOUBLE), 4) AS confidence FROM fx_predication"),
     "documents_json_tags": star.sql("SELECT document_id, ent_id, ent_type, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos FROM fx_tag"),
     "log_tsv": star.sql("SELECT log_date, lower(query_string) AS query_string, count(*) AS n, count(DISTINCT user_id) AS users FROM fx_query_log GROUP BY ALL"),

@@ -90,15 +90,24 @@ def dummy_statements(spark: SparkSession, documents: int, entities: int = 1000,
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Replace a stored table as a whole: written beside it, then put in its place, so that readers never see half a table and a failed write leaves the old one."""
+    """Replace a stored table as a whole: written beside it, then put in its place by two renames. A failed write leaves the old table, a failed rename puts it back.
+
+    Between the renames the table is missing for a moment; tables that are read all the time, or together with others, are better published (published.py).
+    """
     spark = rows.sparkSession
     place = lambda end: spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end)
     fs = place("").getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place("")) and fs.exists(place(".old")) and not fs.rename(place(".old"), place("")):  # a crash between the renames
+        raise RuntimeError(f"the table in {path} could not be restored from {path}.old")
     rows.write.mode("overwrite").parquet(path.rstrip("/") + ".new")
     fs.delete(place(".old"), True)
-    if fs.exists(place("")):
-        fs.rename(place(""), place(".old"))
-    fs.rename(place(".new"), place(""))
+    there = fs.exists(place(""))
+    if there and not fs.rename(place(""), place(".old")):
+        raise RuntimeError(f"the table in {path} could not be set aside and is as it was")
+    if not fs.rename(place(".new"), place("")):
+        if there and not fs.rename(place(".old"), place("")):
+            raise RuntimeError(f"the table in {path} could not be replaced; it is in {path}.old")
+        raise RuntimeError(f"the table in {path} could not be replaced and is as it was")
     fs.delete(place(".old"), True)
 
 

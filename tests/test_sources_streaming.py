@@ -3,8 +3,10 @@
 import gzip
 import json
 
+import pytest
+
 from factloom.operators import indexing, matching
-from factloom.sources import star, tables
+from factloom.sources import published, star, tables
 from factloom.streaming import updates
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +98,94 @@ def test_index_stream_equals_batch(spark, tmp_path, monkeypatch):
     assert names[0].endswith("-whole") and len(names) < len(parts)  # older layers went
     (folder / names[-1] / "_SUCCESS").unlink()  # a layer that a crash left incomplete is not read, and is written again with its batch
     assert names[-1] not in updates._layers(spark, str(folder))
+
+
+@pytest.mark.parametrize("layers", [1, 3])
+def test_a_batch_that_runs_again_loses_nothing(spark, tmp_path, monkeypatch, layers):
+    """The last commit of the stream is lost after every batch, so each batch runs twice, whether it wrote a whole layer or not."""
+    monkeypatch.setattr(updates, "LAYERS", layers)
+    key, source, folder, ck = ["term"], str(tmp_path / "rows"), tmp_path / "index", tmp_path / "ck"
+    schema = "document_collection string, document_id long, term string"
+
+    def run():
+        updates.keep_index(spark.readStream.schema(schema).parquet(source), str(folder), key, str(ck)).awaitTermination()
+
+    for i in range(5):
+        spark.createDataFrame([("C", i, f"t{i}"), ("C", i, "all")], schema).write.mode("append").parquet(source)
+        run()
+        (ck / "commits" / str(i)).unlink()
+        for p in (ck / "commits").glob(f".{i}.crc"):
+            p.unlink()
+        run()
+        got = {r.term: sorted(r.document_ids) for r in updates.current(spark, str(folder), key).collect()}
+        assert got == {"all": list(range(i + 1))} | {f"t{k}": [k] for k in range(i + 1)}
+
+
+def test_an_index_belongs_to_one_stream(spark, tmp_path):
+    schema = "document_collection string, document_id long, term string"
+    spark.createDataFrame([("C", 1, "a")], schema).write.parquet(str(tmp_path / "rows"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "rows"))
+    updates.keep_index(stream(), str(tmp_path / "index"), ["term"], str(tmp_path / "one")).awaitTermination()
+    with pytest.raises(Exception, match="another stream"):
+        updates.keep_index(stream(), str(tmp_path / "index"), ["term"], str(tmp_path / "two")).awaitTermination()
+    # the index is gone, but not its stream
+    spark.createDataFrame([("C", 2, "b")], schema).write.mode("append").parquet(str(tmp_path / "rows"))
+    with pytest.raises(Exception, match="finds no index"):
+        updates.keep_index(stream(), str(tmp_path / "elsewhere"), ["term"], str(tmp_path / "one")).awaitTermination()
+
+
+def test_replace_table_after_a_crash(spark, tmp_path):
+    path = tmp_path / "t"
+    tables.replace_table(spark.range(3), str(path))
+    path.rename(tmp_path / "t.old")  # between the two renames
+    with pytest.raises(Exception):
+        tables.replace_table(spark.range(1).selectExpr("raise_error('no') AS x"), str(path))
+    assert spark.read.parquet(str(path)).count() == 3  # put back, and left by the failed write
+    tables.replace_table(spark.range(4), str(path))
+    assert spark.read.parquet(str(path)).count() == 4 and not (tmp_path / "t.old").exists()
+
+
+def _service_tables(spark):
+    p, t = star.predication(spark, SF), indexing.tag_rows(star.tag(spark, SF))
+    docs = star.document(spark, SF)
+    return {"predications": indexing.predication_index(p), "tags": indexing.tag_index(star.tag(spark, SF)), "documents": docs, "terms": indexing.term_index(docs.withColumnRenamed("title", "text")), "mentions": t}
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    folder = str(tmp_path / "service")
+    own = _service_tables(spark)
+    assert published.read(spark, folder) == {} and published.publish(spark, folder, own) == 1
+    first = {n: df.count() for n, df in published.read(spark, folder).items()}
+    assert first == {n: df.count() for n, df in own.items()}
+    kept = published.read(spark, folder)  # a reader that goes on while a collection is taken out
+    assert published.delete_collection(spark, folder, "ORD_P") == 2
+    now = published.read(spark, folder)
+    assert {n: df.count() for n, df in now.items()} == {n: df.where("document_collection <> 'ORD_P'").count() for n, df in own.items()}
+    assert all("ORD_P" not in {r[0] for r in df.select("document_collection").distinct().collect()} for df in now.values())
+    assert {n: df.count() for n, df in kept.items()} == first == {n: df.count() for n, df in published.read(spark, folder, 1).items()}
+    assert published.publish(spark, folder, {"mentions": own["mentions"]}) == 3  # a collection comes back in one table
+    assert published.read(spark, folder)["mentions"].count() == first["mentions"] and published.read(spark, folder)["tags"].count() < first["tags"]
+    assert published.clean(spark, folder, keep=1) == 1 and published.versions(spark, folder) == [3]
+    assert published.read(spark, folder)["documents"].count() < first["documents"]
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_a_crash_leaves_the_old_state(spark, tmp_path, monkeypatch, step):
+    """The writer is stopped after that many tables, or before the manifest."""
+    folder = str(tmp_path / "service")
+    schema = "document_collection string, document_id long"
+    old, new = spark.createDataFrame([("A", 1)], schema), spark.createDataFrame([("A", 2), ("B", 3)], schema)
+    names = ["p", "q", "r"]
+    published.publish(spark, folder, dict.fromkeys(names, old))
+    bad = new.selectExpr("document_collection", "CAST(raise_error('stopped') AS BIGINT) AS document_id")
+    if step == 3:
+        monkeypatch.setattr(published, "_write_manifest", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+    if step == 4:  # another writer was faster
+        real = published._write_manifest
+        monkeypatch.setattr(published, "_write_manifest", lambda s, f, v, c: (real(s, f, v, published.manifest(s, f)), real(s, f, v, c)))
+    with pytest.raises(Exception, match="stopped|another writer"):
+        published.publish(spark, folder, {n: bad if k == step else new for k, n in enumerate(names)})
+    assert {n: [tuple(r) for r in df.collect()] for n, df in published.read(spark, folder).items()} == dict.fromkeys(names, [("A", 1)])
+    monkeypatch.undo()
+    published.publish(spark, folder, dict.fromkeys(names, new))
+    assert all(df.count() == 2 for df in published.read(spark, folder).values())
