@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["patterns", "stored", "indexes", "analytics", "keywords", "translation", "files"]
+MODULES = ["patterns", "stored", "indexes", "analytics", "keywords", "translation", "lookups", "files"]
 
 
 def _gather(name: str) -> dict:
