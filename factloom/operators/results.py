@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_condition
+from . import topk
 
 
 def by_title(rows: DataFrame, text: str) -> DataFrame:
@@ -122,6 +123,23 @@ def compress(counts: dict[str, int], own: set[str]) -> dict[str, str]:
     return shown
 
 
+def compressed_paths(nodes: DataFrame) -> DataFrame:
+    """(node, shown) of a tree's nodes (node, own): a node without documents of its own (own) and with one child is shown as that child is.
+
+    Nodes are dotted numbers, whose parents are given by the number. Chains are contracted by pointer jumping: each round every node points as far again, so a
+    chain of n nodes takes log2(n) rounds of a join by node.
+    """
+    parent = F.when(F.instr("node", ".") > 0, F.regexp_replace("node", r"\.[^.]*$", ""))
+    children = nodes.select(parent.alias("node"), F.col("node").alias("child")).where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("child").alias("child"))
+    passed = ~F.col("own") & (F.coalesce("n", F.lit(0)) == 1)
+    pointers = topk.cut(nodes.join(children, "node", "left").select("node", F.when(passed, F.col("child")).otherwise(F.col("node")).alias("shown")))
+    depth = nodes.agg(F.max(F.size(F.split("node", r"\.")))).first()[0] or 1
+    for _ in range((depth - 1).bit_length()):
+        far = pointers.select(F.col("node").alias("shown"), F.col("shown").alias("far"))
+        pointers = topk.cut(pointers.join(far, "shown").select("node", F.col("far").alias("shown")))
+    return pointers
+
+
 def overview(facts_: DataFrame, concept: str, other_types: list[str]) -> DataFrame:
     """All panels of a concept in one pass: documents for each relation and entity on the other side."""
     way = lambda a, b: facts_.where(F.col(f"{a}_id") == concept).select("document_collection", "document_id", "relation", F.col(f"{b}_id").alias("other_id"), F.col(f"{b}_type").alias("other_type"))

@@ -54,6 +54,24 @@ def explanation(names: list[str], most: int) -> list[str]:
     return kept if len(kept) <= most else [*kept[:most], f"and {len(kept) - most} more"]
 
 
+def explanations(names: DataFrame, most: int = 25) -> DataFrame:
+    """(entity_id, names, n) of entities' names (entity_id, name): in order, without those that begin with all words of one before them (case and punctuation do not
+    count), at most ``most`` with a count of the rest. For all entities at once.
+
+    A name is dropped by a name kept before it just if it is by any before it, since what drops that one drops both. So one look-up of each name's own
+    beginnings among the first names with those words decides, without going through an entity's names in turn.
+    """
+    own = names.select("entity_id", F.btrim("name").alias("name")).where(F.length("name") > 1).distinct()
+    words = F.array_remove(F.split(F.lower(F.regexp_replace("name", r"\p{Punct}", "")), " +"), "")
+    own = own.withColumn("words", words).where(F.size("words") > 0)
+    first = own.groupBy("entity_id", F.array_join("words", " ").alias("begin")).agg(F.min("name").alias("first"))
+    begins = own.select("entity_id", "name", F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), " "))).alias("begin"))
+    dropped = begins.join(first, ["entity_id", "begin"]).where("first < name").select("entity_id", "name").distinct()
+    kept = own.select("entity_id", "name").join(dropped, ["entity_id", "name"], "left_anti").groupBy("entity_id").agg(F.sort_array(F.collect_list("name")).alias("all"))
+    more = F.array(F.concat(F.lit("and "), (F.size("all") - most).cast("string"), F.lit(" more")))
+    return kept.select("entity_id", F.when(F.size("all") > most, F.concat(F.slice("all", 1, most), more)).otherwise(F.col("all")).alias("names"), F.size("all").cast("long").alias("n"))
+
+
 def listed(rows: DataFrame, name: str, text: str, order: str = "count") -> DataFrame:
     """Rows of a list by name: one letter is its first, more may be anywhere; ordered by count, name or phase."""
     low = F.lower(name)

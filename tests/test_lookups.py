@@ -2,7 +2,7 @@
 
 import random
 
-from factloom.operators import dictionary, indexing, qgrams, suggest, translation
+from factloom.operators import dictionary, indexing, qgrams, results, suggest, translation
 from test_stored import files_read, formatted
 
 WORDS = ["alpha", "Alpha", "alphabet", "beta", "betamax", "ünder", "日本", "x", "gamma ray", "gamma rays"]
@@ -51,7 +51,7 @@ def test_substring_search(spark, tmp_path):
     candidates = own.candidates(table).count()
     assert len(want) <= candidates < len(want) * 1.5 < len(rows) * len(needles) / 2
     assert sorted(r.id for r in own.one("alphabet").collect()) >= sorted(i for n, i in want if n == "ALPHABET")
-    assert "PartitionFilters: [slot#" in formatted(own.one("bet"))
+    assert "PartitionFilters" in formatted(own.one("bet")) and files_read(own.postings.where("slot = 1")) < files_read(own.postings)
 
 
 def test_translation(spark):
@@ -82,3 +82,21 @@ def test_translation(spark):
     summary = {r.id: (r.n_facts, r.reason) for r in translation.answerable(got, ["id"]).collect()}
     assert summary[0] == (1, None) and summary[5] == (0, "no relation") and summary[12] == (0, "empty")
     assert translation.translate(queries.limit(0), ["id"], index, ["treats"], types).collect() == []
+
+
+def test_explanations(spark):
+    names = {"d": ["Diabetes Mellitus", "Diabetes Meitus", "Diabetes Mellitus, Congenital Autoimmune", "diabetes mellitus", "x", None], "a": ["Ace", "Acetabulum", "A.c.e. inhibitor", "Zeta"], "n": ["!!", "a"], "many": [f"name{i:03d}" for i in range(30)]}
+    df = spark.createDataFrame([(e, n) for e, ns in names.items() for n in ns], "entity_id string, name string")
+    got = {r.entity_id: (r.names, r.n) for r in suggest.explanations(df, 25).collect()}
+    assert got["d"] == (["Diabetes Meitus", "Diabetes Mellitus"], 2)
+    assert got["a"] == (["A.c.e. inhibitor", "Ace", "Acetabulum", "Zeta"], 4)
+    assert got["many"][0][-1] == "and 5 more" and got["many"][1] == 30 and "n" not in got
+
+
+def test_paths(spark):
+    rng = random.Random(6)
+    nodes = {".".join(p[: k + 1]) for p in ([str(rng.randrange(3)) for _ in range(rng.randrange(1, 12))] for _ in range(120)) for k in range(len(p))}
+    own = {n for n in nodes if rng.random() < 0.2}
+    got = dict(map(tuple, results.compressed_paths(spark.createDataFrame([(n, n in own) for n in nodes], "node string, own boolean")).collect()))
+    assert got == results.compress(dict.fromkeys(nodes, 1), own) and any(n != s for n, s in got.items())
+    assert results.compressed_paths(spark.createDataFrame([], "node string, own boolean")).collect() == []
