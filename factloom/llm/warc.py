@@ -1,7 +1,7 @@
 """WARC: archives written and read by Spark, transactions assembled through concurrent-to identifiers.
 
 Every capture is three WARC/1.0 records: the response (or a revisit of an earlier payload), its request and its metadata; the
-last two name the first in WARC-Concurrent-To. Archives are gzip text files whose row end is the record end CR LF CR LF, so
+last two name the first in WARC-Concurrent-To (archives from elsewhere may connect them in any order). Archives are gzip text files whose row end is the record end CR LF CR LF, so
 Spark's text writer makes them in any store, and its text reader streams them: a task holds one record, not one archive. Records are cut by
 Content-Length, never by searching for separators, so payloads may hold any bytes. ``assemble`` joins the records again, one nested row a capture.
 
@@ -25,7 +25,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, components
 
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -189,15 +189,48 @@ def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame
     return text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).mapInArrow(records, RECORD)
 
 
+#: Types of the records that are a capture's own content; all others are about it.
+MAIN = ["response", "revisit", "resource", "conversion"]
+
+
+def captures_of(records: DataFrame) -> DataFrame:
+    """records with the column ``capture``, the same for all records that concurrent-to identifiers connect, in either direction and over any number of steps.
+
+    Where no record names another that names one itself, which is a join of ids to find out, the named record is the capture. Only archives with such chains
+    take connected components over their links; ids are then compared by 64-bit hashes. A record without any id is a capture of its own.
+    """
+    alone = F.concat(F.lit("row:"), F.monotonically_increasing_id())
+    links = records.where("concurrent_to IS NOT NULL").select("record_id", "concurrent_to")
+    if links.join(links.select(F.col("record_id").alias("concurrent_to")), "concurrent_to", "left_semi").isEmpty():
+        return records.withColumn("capture", F.coalesce("concurrent_to", "record_id", alone))
+    roots = components.components(links.select(F.xxhash64("record_id").alias("a"), F.xxhash64("concurrent_to").alias("b")))
+    nodes = records.withColumn("node", F.xxhash64(F.coalesce("record_id", "concurrent_to", alone)))
+    root = F.coalesce("root", "node").cast("string")
+    return nodes.join(roots, "node", "left").withColumn("capture", root).drop("node", "root")
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One row a capture: structs response, request and metadata. A capture is a record that others are concurrent to, or alone."""
+    """One row a capture: ``response``, the record with its content, and arrays ``request``, ``metadata`` and ``others`` of the records about it, in the order of their ids.
+
+    Every record is in a row: a capture with several records of content has a row for each, all with the same others, and one without any has
+    a row without a response. Records about a capture are read without their payloads, so those of one capture fit a row.
+    """
     names = [c for c in records.columns if c != "type"]
-    parts = records.withColumn("capture", F.coalesce("concurrent_to", "record_id"))
-    own = parts.where(F.col("type").isin("response", "revisit")).select("capture", F.struct("type", *names).alias("response"))
-    small = [c for c in names if c != "payload"]
-    request = parts.where("type = 'request'").groupBy("capture").agg(F.first(F.struct(*small)).alias("request"))
-    metadata = parts.where("type = 'metadata'").groupBy("capture").agg(F.first(F.struct(*small)).alias("metadata"))
-    return own.join(request, "capture", "left").join(metadata, "capture", "left")
+    parts = captures_of(records)
+    main = F.col("type").isin(MAIN)
+    own = parts.where(main).select("capture", F.struct("type", *names).alias("response"))
+    small = F.struct("type", *[c for c in names if c not in ("payload", "fields")], F.map_entries("fields").alias("entries"))
+    about = parts.where(~main | F.col("type").isNull()).select("capture", F.when(F.col("type").isin("request", "metadata"), F.col("type")).otherwise("others").alias("kind"), small.alias("r"))
+
+    def of(kind: str) -> Column:
+        rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("r"))))
+        return F.transform(rows, lambda r: r.withField("fields", F.map_from_entries(r["entries"])).dropFields("entries")).alias(kind)
+
+    grouped = about.groupBy("capture").agg(*[of(k) for k in ("request", "metadata", "others")])
+    both = own.join(grouped, "capture", "left")
+    lone = grouped.join(own.select("capture"), "capture", "left_anti").select("capture", F.lit(None).cast(own.schema["response"].dataType).alias("response"), "request", "metadata", "others")
+    none = lambda c: F.coalesce(c, F.array().cast(grouped.schema[c].dataType)).alias(c)
+    return both.unionByName(lone).select("capture", "response", *[none(c) for c in ("request", "metadata", "others")])
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +239,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(pages, path)
     captures = assemble(common.cut(read(spark, path, keep_payload=False)))
     common.remove(spark, path)  # its records are kept
-    fields = F.col("metadata.fields")
+    fields = F.get("metadata", 0)["fields"]
     return captures.select(
-        F.expr("try_cast(metadata.fields['page-id'] AS bigint)").alias("page_id"),
+        fields["page-id"].try_cast("bigint").alias("page_id"),
         F.coalesce("response.payload_bytes", fields["payload-bytes"].cast("long")).alias("payload_bytes"),
         F.coalesce(F.col("response.payload_digest"), F.regexp_replace("response.digest", "^sha1:", "")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),

@@ -279,12 +279,12 @@ def test_warc(spark, tmp_path):
     warc.write(pages, str(tmp_path / "a"), min_bytes=1)
     got = warc.assemble(warc.read(spark, str(tmp_path / "a"))).collect()
     assert len(got) == 9
-    kinds = Counter((r.metadata.fields["page-id"], r.response.type) for r in got)
+    kinds = Counter((r.metadata[0].fields["page-id"], r.response.type) for r in got)
     assert kinds == {("0", "response"): 1, ("1", "response"): 1, ("2", "response"): 1, ("3", "response"): 1, ("4", "revisit"): 1, ("5", "revisit"): 2, ("6", "response"): 1, ("null", "response"): 1}
     assert {r.response.refers_to for r in got if r.response.type == "revisit"} == {"<urn:capture:6.0:response>"}
     assert {bytes(r.response.payload).decode() for r in got if r.response.type == "response"} == {h or "" for h in html} | {"alone"}
     assert all(r.response.digest == f"sha1:{r.response.payload_digest}" for r in got if r.response.type == "response")
-    assert all(r.request.concurrent_to == r.capture == r.metadata.concurrent_to for r in got)
+    assert all([x.concurrent_to for x in (*r.request, *r.metadata)] == [r.capture] * 2 and r.others == [] for r in got)
     warc.write(pages.where("false"), str(tmp_path / "b"))
     assert warc.read(spark, str(tmp_path / "b")).count() == 0
 
