@@ -11,8 +11,9 @@ so rows that differ on the left may sort between equal passages, and neighbours
 therefore grouped by hashes of the windows of ``least`` words around each suffix: inside a batch where all rows of the key are in it, else by Spark,
 which aggregates in the tasks first, so a frequent passage does not meet in one of them. A window shared with the row before is left to that row, which holds it too.
 
-Words are lower-cased (A-Z). Null, empty and short texts have no passages. Rows with one id are one document: they do not match each other; a null id
-is an id like any other here, and is returned as null. Ids may be of any simple type; those that are not whole numbers are hashed to 64 bits and looked up again.
+Words are lower-cased (A-Z). Null, empty and short texts have no passages. Every row is a document of its own, so rows that share an id, or have none, match each other like
+any others, and their passages are merged row by row; rows alike in id and text count once. Ids may be of any simple type. Where they are not whole numbers, or one
+is null or stands in several rows, rows are known by a 64-bit hash of id and text, whose ids are looked up at the end.
 An empty table gives an empty result; other columns are not read.
 """
 
@@ -306,19 +307,19 @@ def matches(sorted_suffixes: DataFrame, least: int = LEAST, k: int = K) -> DataF
     return inner.unionByName(met)
 
 
-def _coded(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame | None, int]:
-    """((doc, text), (doc, id) if ids are hashed, the number that stands for null)."""
-    if isinstance(docs.schema[id].dataType, T.IntegralType):
-        low, high = docs.agg(F.min(id), F.max(id)).first()
-        null = -1 if low is None else low - 1 if low > -(1 << 63) else high + 1 if high < (1 << 63) - 1 else 0
-        return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(null)).alias("doc"), F.col(text).alias("text")), None, null
-    doc = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.col(id).isNull())
-    return docs.select(doc.alias("doc"), F.col(text).alias("text")), docs.select(doc.alias("doc"), F.col(id).alias("id")), 0
+def _coded(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """((doc, text), (doc, id) if rows are known by hashes)."""
+    key, body = F.col(f"`{id}`"), F.col(f"`{text}`")
+    if isinstance(docs.schema[id].dataType, T.IntegralType) and docs.groupBy(key.alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        return docs.select(key.cast("long").alias("doc"), body.alias("text")), None
+    doc = F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")), key.isNull(), F.coalesce(body, F.lit("")))
+    rows = docs.select(doc.alias("doc"), body.alias("text"), key.alias("id"))
+    return rows.select("doc", "text"), rows.select("doc", "id")
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, k: int = K) -> DataFrame:
-    """(id, start_word, end_word, n_words, other_id, matches): each repeated passage of each document, and the least other document met."""
-    own, names, null = _coded(docs, id, text)
+    """(id, start_word, end_word, n_words, other_id, matches): each repeated passage of each row, and the least other one met (by id, or by hash where rows are known by hashes)."""
+    own, names = _coded(docs, id, text)
     ordered = suffixes(own, least, k).orderBy("key", "right", "left", "doc", "pos")
     found = matches(ordered, least, k)
     reach = F.max("end").over(Window.partitionBy("doc").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, -1))
@@ -327,7 +328,7 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
     out = spans.groupBy("doc", "__i").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other"), F.count("*").alias("matches"))
     if names is None:
         kind = docs.schema[id].dataType
-        out = out.withColumn("id", F.when(F.col("doc") != null, F.col("doc")).cast(kind)).withColumn("other_id", F.when(F.col("other") != null, F.col("other")).cast(kind))
+        out = out.withColumn("id", F.col("doc").cast(kind)).withColumn("other_id", F.col("other").cast(kind))
     else:
         out = common.cut(out)
         known = common.cut(names.join(out.select("doc").union(out.select("other")).distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("id").alias("id")))
