@@ -536,8 +536,9 @@ def classes(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def representatives(docs: DataFrame, rule: Rule = Rule(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least id (null last); columns as they were. Rows alike in id and text stay or go together."""
-    gone = common.cut(classes(_rows(docs, id, text), rule).where("row <> first").select(F.col("row").alias("__row")).distinct())
-    return bloom.without(docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))), gone, "__row").select(*[f"`{c}`" for c in docs.columns])
+    gone = common.cut(classes(_rows(docs, id, text), rule).where("row <> first").select("row").distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.xxhash64(F.col(id), F.col(text)).alias("row"))  # names of the input stay inside
+    return bloom.without(whole, gone, "row").select("kept.*")
 
 
 CONTRACT = Rule(words=3, num=90, den=100)
