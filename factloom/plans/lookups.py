@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary, qgrams, results, suggest
 from ..sources import shared, star
+from ..streaming import usage
 
 PREFIXES = ["re", "Blue ", "supp", "supplier_1", "brand#1", "hot gear", "zz", "n", "x.nation_2"]
 
@@ -76,13 +77,21 @@ def explained_entities(spark, d):
     return shown.select("entity_id", F.array_join("names", "; ").alias("names"), "n")
 
 
-QUERIES = {"compressed_tree": compressed_tree, "explained_entities": explained_entities, "completion_terms": completion_terms, "completions": completions, "completions_scanned": completions_scanned, "substring_hits": substring_hits}
+def top_of_periods(spark, d):
+    """The most frequent events of every day, week, month, year and of all time."""
+    events = star.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return usage.top_of_periods(usage.period_counts(events), 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {"top_of_periods": top_of_periods, "compressed_tree": compressed_tree, "explained_entities": explained_entities, "completion_terms": completion_terms, "completions": completions, "completions_scanned": completions_scanned, "substring_hits": substring_hits}
 _TERMS = "SELECT p_name AS term FROM part UNION SELECT p_name || ' ' || p_partkey FROM part UNION SELECT p_brand FROM part UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier"
 _TYPED = ", ".join(f"('{p}', '{p.split('.')[-1].strip().lower()}')" for p in PREFIXES)
 _COMPLETED = f"SELECT typed, term FROM (SELECT typed, term, row_number() OVER (PARTITION BY typed ORDER BY lower(term), term) AS r FROM (VALUES {_TYPED}) t(typed, prefix) JOIN ({_TERMS}) ON starts_with(lower(term), prefix) AND length(prefix) >= 2) WHERE r <= 10"
 _CRC = """list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(node))), lambda i: CAST(('0x' || substr(hex(encode(node)), CAST(2 * i + 1 AS INT), 2)) AS BIGINT))),
   lambda c, x: xor(t[CAST(xor(c, x) & 255 AS INT) + 1], c >> 8))"""
 ORACLE = {
+    "top_of_periods": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, start ORDER BY n DESC, value) AS rank FROM (SELECT period, CASE WHEN period <> 'ever' THEN CAST(date_trunc(CASE period WHEN 'ever' THEN 'year' ELSE period END, ts) AS DATE) END AS start, event_type AS value, count(*) AS n
+  FROM events, (SELECT unnest(['day', 'week', 'month', 'year', 'ever']) AS period) GROUP BY ALL)) WHERE rank <= 3""",
     "compressed_tree": f"""WITH RECURSIVE bits(n, k, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
 step AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
 numbers AS (SELECT ['R' || n_regionkey, 'N' || n_nationkey, substr(c_mktsegment, 1, 2), 'C' || (c_custkey % 997), CAST(c_custkey AS VARCHAR)] AS p FROM customer JOIN nation ON c_nationkey = n_nationkey),

@@ -76,6 +76,17 @@ def _shared(min_shared):
     return lambda spark, d, match=_raw: _answer(*SHARED, min_shared=min_shared)(spark, d, match).select("document_collection", "document_id", "S_id", "S_type").distinct()
 
 
+def query_keys(spark, d):
+    """The keys of a query for each product: its brand or type, treated by a nation, with the words of its name as terms."""
+
+    def keys(frames):
+        for f in frames:
+            made = [Query((Pattern((Var("S", "Nation"),), "treats", (Entity(t, "Type"), Entity(b, "Brand"))),), terms=tuple(n.split(" "))).key() for b, t, n in zip(f["p_brand"], f["p_type"], f["p_name"])]
+            yield f.assign(key=made)[["key"]]
+
+    return star.table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct().mapInPandas(keys, "key string").distinct()
+
+
 QUERIES = {
     "pattern_constant": pattern_constant,
     "pattern_any_relation": _answer(Pattern(N(3), ANY, B(2))),
@@ -103,7 +114,7 @@ QUERIES = {
     "type_expansion": lambda s, d, match=_raw: match(s, d, Query((Pattern(X("S", "Place"), "treats", B(2)),)), Vocabulary(type_expansion={"Place": ["Nation", "Segment"]})),
     "substituted_variable": lambda s, d, match=_raw: match(s, d, Query((Pattern(X("S", "Nation"), "treats", X("O", "Brand")),)).bound({"S": N(3)[0]}), V),
     "answers_newest_first": lambda s, d, match=_raw: matching.newest_answers(_answer(Pattern(X("S", "Nation"), "treats", B(2, 3)))(s, d, match)),
-    "query_keys": lambda s, d: s.createDataFrame([(Query((Pattern(X("S", t), "treats", B(*b)),), terms=("x",)).key(),) for t, b in (("Nation", (2, 3)), ("Nation", (3, 2)), (None, (2,)))], "key string"),
+    "query_keys": query_keys,
     "docs_for_entity": lambda s, d: _tags(s, d).where("ent_id = 'Brand#2' AND ent_type = 'Brand'").select("document_collection", "document_id"),
     "sub_count": lambda s, d, match=_raw: matching.substitution_counts(_answer(Pattern(X("S", "Nation"), ANY, B(2)))(s, d, match), "S"),
     "sub_count_topk": lambda s, d, match=_raw: matching.substitution_counts(_answer(Pattern(N(3), ANY, X("O", "Brand")))(s, d, match), "O", 5),
@@ -144,7 +155,7 @@ ORACLE = {
     "type_expansion": star.sql(_S + "relation = 'treats' AND subject_type IN ('Place', 'Nation', 'Segment') AND object_id = 'Brand#2'"),
     "substituted_variable": star.sql("SELECT DISTINCT document_collection, document_id, object_id AS O_id, object_type AS O_type FROM facts WHERE relation = 'treats' AND subject_id = 'NATION_3' AND object_type = 'Brand'"),
     "answers_newest_first": star.sql(_S + "relation = 'treats' AND subject_type = 'Nation' AND object_id IN ('Brand#2', 'Brand#3') ORDER BY document_id DESC"),
-    "query_keys": "SELECT unnest(['?S(Nation) treats Brand:Brand#2|Brand:Brand#3; x', '?S(Nation) treats Brand:Brand#2|Brand:Brand#3; x', '?S(None) treats Brand:Brand#2; x']) AS key",
+    "query_keys": "SELECT DISTINCT '?S(Nation) treats ' || array_to_string(list_sort(['Brand:' || p_brand, 'Type:' || p_type]), '|') || '; ' || array_to_string(list_sort(string_split(p_name, ' ')), '; ') AS key FROM part",
     "docs_for_entity": star.sql("SELECT DISTINCT document_collection, document_id FROM fx_tag WHERE ent_id = 'Brand#2'"),
     "sub_count": star.sql("SELECT subject_id AS S_id, subject_type AS S_type, count(DISTINCT (document_collection, document_id)) AS n FROM facts WHERE subject_type = 'Nation' AND object_id = 'Brand#2' GROUP BY ALL"),
     "sub_count_topk": star.sql("SELECT object_id AS O_id, object_type AS O_type, count(DISTINCT (document_collection, document_id)) AS n FROM facts WHERE subject_id = 'NATION_3' AND object_type = 'Brand' GROUP BY ALL ORDER BY n DESC, O_id LIMIT 5"),
