@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded, shortened
@@ -19,8 +19,8 @@ def explain(predications: DataFrame, query: Query, v: Vocabulary, documents: Dat
     Variables must have been bound (``Query.bound``).
     """
     rows = predications if documents is None else predications.join(documents.select(*DOC).distinct(), DOC, "left_semi")
-    found = []
-    for i, p in enumerate(query.patterns):
+    tests = []
+    for p in query.patterns:
         if any(isinstance(e, Var) for e in (*p.subjects, *p.objects)):
             raise ValueError("bind the variables first")
         s, o = sorted({e.id for e in p.subjects}), sorted({e.id for e in p.objects})
@@ -28,8 +28,10 @@ def explain(predications: DataFrame, query: Query, v: Vocabulary, documents: Dat
             s = o = sorted({*s, *o})
         relations = v.relations(p.relation)
         of = F.lit(True) if p.relation == ANY or relations is None else F.col("relation").isin(relations)
-        found.append(rows.where(of & F.col("subject_id").isin(s) & F.col("object_id").isin(o)).withColumn("pattern", F.lit(i)))
-    return reduce(DataFrame.unionByName, found)
+        tests.append(F.coalesce(of & F.col("subject_id").isin(s) & F.col("object_id").isin(o), F.lit(False)))
+    # all patterns are tested in one scan
+    met = F.filter(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]), lambda i: i.isNotNull())
+    return rows.where(reduce(Column.__or__, tests)).select("*", F.explode(met).alias("pattern"))
 
 
 def by_ids(provenance: DataFrame, predications: DataFrame, sentences: DataFrame) -> DataFrame:

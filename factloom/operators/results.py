@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_condition
-from . import topk
+from . import ranks, topk
 
 
 def by_title(rows: DataFrame, text: str) -> DataFrame:
@@ -94,14 +94,13 @@ def ontology_counts(answer: DataFrame, variable: str, ontology: DataFrame, roots
 
 
 def sorted_groups(rows: DataFrame, levels: list[str]) -> DataFrame:
-    """rows (levels, document_id, publication_year, publication_month) with a rank for each level, largest groups first (then by name), and ``document_rank``, newest first."""
+    """rows (levels, document_id, publication_year, publication_month) with a rank for each level, largest groups first (then by name), and ``document_rank``, newest first.
+
+    Groups are ranked among the rows of their sizes, documents by a distributed sort, so no group meets in one task."""
     for i, level in enumerate(levels):
-        above, own = levels[:i], levels[: i + 1]
-        sizes = rows.groupBy(*own).agg(F.count("*").alias("__n"))
-        order = Window.partitionBy(*above).orderBy(F.desc("__n"), level)  # one row a group
-        rows = rows.join(sizes.withColumn(f"{level}_rank", F.row_number().over(order)).drop("__n"), own)
-    newest = Window.partitionBy(*levels).orderBy(F.desc("publication_year"), F.desc("publication_month"), F.desc("document_id"))
-    return rows.withColumn("document_rank", F.row_number().over(newest))
+        sizes = rows.groupBy(*levels[: i + 1]).agg(F.count("*").alias("__n"))
+        rows = rows.join(ranks.ranked(sizes, levels[:i], [F.desc("__n"), F.asc(level)], f"{level}_rank").drop("__n"), levels[: i + 1])
+    return ranks.ranked(rows, levels, [F.desc("publication_year"), F.desc("publication_month"), F.desc("document_id")], "document_rank")
 
 
 def outside_ontology(answer: DataFrame, variable: str, ontology: DataFrame) -> DataFrame:

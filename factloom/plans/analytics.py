@@ -125,7 +125,7 @@ def confidence_rounded(spark, d):
 
 
 def keyword_sample(spark, d):
-    return statistics.sampled_documents(star.tag(spark, d).where("ent_type = 'Nation'"), 20, 7)
+    return statistics.sampled_documents(star.tag(spark, d), 20, 7)
 
 
 def _scored(spark, d):
@@ -288,7 +288,7 @@ ORACLE = {
     "document_graph_top": _q(f"SELECT {_C}, a, b, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
     "document_graph_nodes": _q(f"SELECT DISTINCT {_C}, unnest([a, b]) AS node FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, a, b) AS rank FROM dg) WHERE rank <= 3", *_ALL, "edg", "dg"),
     "confidence_rounded": f"SELECT DISTINCT round(x, 6) AS x, {_rounded_sql('x')} AS x2, round(y, 6) AS y, {_rounded_sql('y')} AS y2 FROM (SELECT CAST(l_quantity AS DOUBLE) / 400 AS x, l_linenumber + CAST(l_quantity AS DOUBLE) / 1000 AS y FROM lineitem)",
-    "keyword_sample": star.sql(f"SELECT ent_id, ent_type, {_C} FROM (SELECT *, row_number() OVER (PARTITION BY ent_id, ent_type ORDER BY md5('7:' || document_collection || ':' || document_id), document_id) AS r FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag WHERE ent_type = 'Nation')) WHERE r <= 20"),
+    "keyword_sample": star.sql(f"SELECT ent_id, ent_type, {_C} FROM (SELECT *, row_number() OVER (PARTITION BY ent_id, ent_type ORDER BY md5('7:' || document_collection || ':' || document_id), document_id) AS r FROM (SELECT DISTINCT {_C}, ent_id, ent_type FROM fx_tag)) WHERE r <= 20"),
     "keyword_stems": f"WITH {_STEMS} SELECT stem, word FROM (SELECT stem, word, row_number() OVER (PARTITION BY stem ORDER BY length(word), word) AS r FROM stems) WHERE r = 1",
     "keyword_merged": f"WITH {_STEMS} SELECT entity_id, term, round(low, 6) AS score FROM (SELECT entity_id, term, min(score) OVER (PARTITION BY entity_id, stem) AS low, row_number() OVER (PARTITION BY entity_id, stem ORDER BY length(term), term) AS r FROM ({_SCORED}) JOIN stems ON word = term) WHERE r = 1",
     "keyword_chains": star.sql("SELECT * FROM ch3", sch=_SCHEMA, rel=_REL, perm=_PERM, ch3=_CH3),
