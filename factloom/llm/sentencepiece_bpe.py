@@ -8,7 +8,7 @@ Between two code points that no piece of the vocabulary holds side by side nothi
 (two table look-ups a code point); distinct slices are merged once (highest score first, leftmost of equals) and kept. A worker keeps at most
 twice ``kept_slices`` slices and drops them when its task ends. Characters without a piece become one piece for each of their bytes, if the model has those.
 
-Null counts as empty: no tokens. Texts are handled whole, some 300 bytes of memory for each character of a single long text; repeated rows give repeated results; an empty table gives an empty result.
+Null counts as empty: no tokens. Texts are handled whole, at some 90 bytes of memory for each character (measured on a text of 4.8 million); repeated rows give repeated results; an empty table gives an empty result.
 Models of another kind than BPE, with user-defined pieces or with white space as a suffix are refused.
 """
 
