@@ -34,14 +34,15 @@ def scored(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     own = tokens(texts, key, text).withColumn("term", F.lower("word"))
     upper = (F.upper("word") == F.col("word")) & (F.length("word") > 1) & (F.lower("word") != F.col("word"))
     capital = (F.upper(F.substring("word", 1, 1)) == F.substring("word", 1, 1)) & (F.lower(F.substring("word", 1, 1)) != F.substring("word", 1, 1)) & (F.col("place") > 0)
-    terms = own.groupBy(*key, "term").agg(
-        F.count("*").alias("tf"), F.count_if(upper).alias("acronyms"), F.count_if(capital).alias("capitals"), F.median("sentence").alias("middle"), F.count_distinct("sentence").alias("sentences"),
-        F.count("left").alias("lefts"), F.count_distinct("left").alias("left_words"), F.count("right").alias("rights"), F.count_distinct("right").alias("right_words"),
+    words = own.groupBy(*key, "term").agg(
+        F.count("*").alias("tf"), F.count_if(upper).alias("acronyms"), F.count_if(capital).alias("capitals"), F.median("sentence").alias("middle"), F.size(F.collect_set("sentence")).alias("sentences"),
+        F.count("left").alias("lefts"), F.size(F.collect_set("left")).alias("left_words"), F.count("right").alias("rights"), F.size(F.collect_set("right")).alias("right_words"),
     )
     stop = F.col("term").isin(T.STOP_WORDS)
-    totals = terms.groupBy(*key).agg(F.max("tf").alias("most"), F.avg(F.when(~stop, F.col("tf"))).alias("mean"), F.stddev_pop(F.when(~stop, F.col("tf"))).alias("spread"))
+    of_key = Window.partitionBy(*key)
+    terms = words.select("*", F.max("tf").over(of_key).alias("most"), F.avg(F.when(~stop, F.col("tf"))).over(of_key).alias("mean"), F.stddev_pop(F.when(~stop, F.col("tf"))).over(of_key).alias("spread"))
     lengths = texts.select(*key, F.size(F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END)).alias("n")).groupBy(*key).agg(F.max("n").alias("n_sentences"))
-    rows = terms.where(~stop & (F.length("term") >= LEAST_LENGTH) & ~F.rlike("term", F.lit("^[0-9]+$"))).join(totals, key).join(lengths, key)
+    rows = terms.where(~stop & (F.length("term") >= LEAST_LENGTH) & ~F.rlike("term", F.lit("^[0-9]+$"))).join(lengths, key)
 
     case = F.greatest("acronyms", "capitals") / (1 + F.ln("tf"))
     place = F.ln(F.ln(3 + F.col("middle")))
@@ -98,7 +99,8 @@ def suppressed(scored_: DataFrame, key: list[str], keep: int = 25, limit: float
 
 
 def document_keywords(texts: DataFrame, key: list[str], keep: int = 25, limit: float = 0.9) -> DataFrame:
-    return suppressed(scored(texts, key), key, keep, limit)
+    """The keywords of each key. Texts are dealt by key once, so that neither tokens nor terms are shuffled."""
+    return suppressed(scored(texts.repartition(*key), key), key, keep, limit)
 
 
 def entity_keywords(tags: DataFrame, texts: DataFrame, per_entity: int = 100, keep: int = 20, seed: int = 0) -> DataFrame:
