@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import keywords
+from factloom.operators import keywords, scoring
 
 
 def plan(df):
@@ -16,3 +16,9 @@ def test_keywords_of_documents_shuffle_texts_only(spark):
     above = physical[: physical.rindex("Generate")]
     assert "Exchange" in physical and "Exchange hashpartitioning(document_id" not in above.split("SortMergeJoin")[0]
     assert "term" not in "".join(line for line in physical.splitlines() if "Exchange" in line)
+
+
+def test_concept_core_keeps_concepts_of_any_support(spark):
+    rows = spark.createDataFrame([("C", 1, "x", 2_000_000, 0.5), ("C", 1, "y", 3, 0.25), ("C", 1, "z", 3, 0.0)], "document_collection string, document_id long, ent_id string, support long, score double")
+    assert {r.ent_id for r in scoring.concept_core(rows).collect()} == {"x", "y"}
+    assert {r.ent_id for r in scoring.concept_core(rows, scoring.MAX_SUPPORT).collect()} == {"y"}
