@@ -2,6 +2,7 @@
 
 A block holds names that follow each other; each but the first keeps how many letters it shares with the name before and the rest. A completion needs the
 names from the prefix on: the table of bounds, a row a file, tells which file that begins in, and the next is only read if a name short of the number wanted.
+Files are bounded in number: what the driver samples, lists and holds does not grow with the names.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PER_FILE, PER_BLOCK = 200_000, 64
+#: More files than this are not made; a file then holds more names, of which a look-up reads the blocks that may hold the prefix.
+MOST_FILES = 64
 ENTRIES = "array<struct<shared:int,rest:string>>"
 BLOCKS = f"block long, n int, entries {ENTRIES}, part int"
 BOUNDS = "part int, low string, high string, n long"
@@ -39,7 +42,7 @@ def _names(entries: Column) -> Column:
 def write(terms: DataFrame, path: str, per_file: int = PER_FILE, per_block: int = PER_BLOCK) -> None:
     """Store the distinct names of (term), null and empty ones left out, in the order of their lower-cased form."""
     names = terms.select("term").where("term <> ''").distinct().withColumn("low", F.lower("term"))
-    files = max(1, -(-names.count() // per_file))
+    files = min(MOST_FILES, max(1, -(-names.count() // per_file)))
     dealt = names.repartitionByRange(files, "low", "term").sortWithinPartitions("low", "term").withColumn("at", F.monotonically_increasing_id())
     place = dealt.withColumn("part", F.shiftright("at", 33).cast("int")).withColumn("block", F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / per_block))
     blocks = place.groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("low", "term"))).alias("x"))

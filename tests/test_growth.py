@@ -1,8 +1,11 @@
 """What must not grow with the tables: rows that are shuffled, files, rows of one key in a task."""
 
+import duckdb
+from helpers_oracle import SF, oracle_rows, rows_of
 from pyspark.sql import functions as F
 
-from factloom.operators import keywords, scoring
+from factloom.operators import dictionary, keywords, scoring, translation
+from factloom.sources import star, tables
 
 
 def plan(df):
@@ -22,3 +25,11 @@ def test_concept_core_keeps_concepts_of_any_support(spark):
     rows = spark.createDataFrame([("C", 1, "x", 2_000_000, 0.5), ("C", 1, "y", 3, 0.25), ("C", 1, "z", 3, 0.0)], "document_collection string, document_id long, ent_id string, support long, score double")
     assert {r.ent_id for r in scoring.concept_core(rows).collect()} == {"x", "y"}
     assert {r.ent_id for r in scoring.concept_core(rows, scoring.MAX_SUPPORT).collect()} == {"y"}
+
+
+def test_the_dictionary_has_a_bounded_number_of_files(spark, tmp_path):
+    dictionary.write(spark.range(1000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("term")), str(tmp_path / "d"), per_file=2, per_block=4)
+    own = dictionary.Dictionary(spark, str(tmp_path / "d"))
+    assert len(own.bounds) <= dictionary.MOST_FILES
+    assert [r.term for r in own.complete("name 99").collect()] == ["name 99", *[f"name 99{i}" for i in range(9)]]
+    assert own.terms().count() == 1000
