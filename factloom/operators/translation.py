@@ -113,9 +113,12 @@ def translate(queries: DataFrame, key: list[str], index: DataFrame, relations: l
     read = ways(each, relations)
     ends = read.select(F.explode(F.array("subject", "object")).alias("end")).where("end IS NOT NULL").distinct()
     known = _ends(ends, word_starts(index), {k.lower(): v for k, v in types.items()})
+    none = read.where("relation IS NULL")  # without ends; all in one task if they were looked up
+    read = read.where("relation IS NOT NULL")
     for side in ("subject", "object"):
         shown = F.coalesce("variable", F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["id"])), "|"))
         read = read.join(known.select(F.col("end").alias(side), shown.alias(f"{side}_is"), F.col("reason").alias(f"{side}_reason")), side, "left")
+    read = read.unionByName(none, allowMissingColumns=True)
     wrong = F.coalesce(F.concat(F.lit("subject: "), F.col("subject_reason")), F.concat(F.lit("object: "), F.col("object_reason")))
     reason = F.when(F.col("fact") == 0, "empty").when(F.col("relation").isNull(), "no relation").otherwise(wrong)
     read = read.withColumn("reason", reason)

@@ -33,3 +33,11 @@ def test_the_dictionary_has_a_bounded_number_of_files(spark, tmp_path):
     assert len(own.bounds) <= dictionary.MOST_FILES
     assert [r.term for r in own.complete("name 99").collect()] == ["name 99", *[f"name 99{i}" for i in range(9)]]
     assert own.terms().count() == 1000
+
+
+def test_strings_without_a_relation_are_not_looked_up(spark):
+    index = spark.createDataFrame([("b1", "Brand", "red gear", " red gear")], "entity_id string, entity_type string, synonym string, synonym_processed string")
+    strings = spark.createDataFrame([(1, "click"), (2, "red gear treats red"), (3, " ")], "query_id long, query string")
+    found = translation.translate(strings, ["query_id"], index, ["treats"], {})
+    assert {(r.query_id, r.reason) for r in found.collect()} == {(1, "no relation"), (2, None), (3, "empty")}
+    assert "Union" in plan(found)[0]  # read apart
