@@ -175,8 +175,9 @@ def substitution_counts(answer: DataFrame, variable: str, top: int | None = None
 
 
 def entities(facts_: DataFrame) -> DataFrame:
-    """All entities of the facts."""
-    return facts_.select(F.col("subject_id").alias("ent_id"), F.col("subject_type").alias("ent_type")).union(facts_.select("object_id", "object_type")).distinct()
+    """All entities of the facts, which may repeat. Both ends of a fact come from one scan."""
+    ends = F.array(*[F.struct(F.col(f"{side}_id").alias("ent_id"), F.col(f"{side}_type").alias("ent_type")) for side in ("subject", "object")])
+    return facts_.select("subject_id", "subject_type", "object_id", "object_type").distinct().select(F.inline(ends)).distinct()
 
 
 def known_collections(requested: list[str], configured: list[str]) -> list[str]:

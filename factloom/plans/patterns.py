@@ -119,7 +119,7 @@ QUERIES = {
     "sub_count": lambda s, d, match=_raw: matching.substitution_counts(_answer(Pattern(X("S", "Nation"), ANY, B(2)))(s, d, match), "S"),
     "sub_count_topk": lambda s, d, match=_raw: matching.substitution_counts(_answer(Pattern(N(3), ANY, X("O", "Brand")))(s, d, match), "O", 5),
     "distinct_predicates": lambda s, d: _facts(s, d).select("document_collection", "relation").distinct(),
-    "distinct_entities": lambda s, d: matching.entities(_facts(s, d)),
+    "distinct_entities": lambda s, d: matching.entities(_statements(s, d)),
 }
 
 _DOCS = "SELECT DISTINCT document_collection, document_id FROM facts WHERE "
