@@ -45,7 +45,8 @@ def nested(documents: DataFrame, tag_rows: DataFrame, statement_rows: DataFrame)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").json(path)
+    """Documents as JSON, one to a line, compressed; readers see that by the files' names. A file holds the documents of one task."""
+    documents.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def read_vocabulary(spark: SparkSession, path: str, entity_type: str, header: bool = False) -> DataFrame:

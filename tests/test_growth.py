@@ -27,6 +27,43 @@ def test_concept_core_keeps_concepts_of_any_support(spark):
     assert {r.ent_id for r in scoring.concept_core(rows, scoring.MAX_SUPPORT).collect()} == {"y"}
 
 
+def exchanges(df):
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Exchange " in line and "Broadcast" not in line]
+
+
+def test_documents_are_brought_together_once(spark):
+    """Lines are shuffled once for a document's mentions or statements, whatever is grouped or joined by document afterwards."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    try:
+        lines = [x for x in exchanges(scoring.positions(star.tag(spark, SF))) if "l_orderkey" in x or "document_id" in x]
+        assert len(lines) == 1
+        joined = tables.as_documents(star.document(spark, SF), star.tag(spark, SF), star.predication(spark, SF))
+        assert len([x for x in exchanges(joined) if "hashpartitioning(l_orderkey" in x]) == 2
+        assert not [x for x in exchanges(joined) if "hashpartitioning(document_collection" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lines_without_a_supplier_or_customer(spark, tmp_path):
+    for name in ("nation", "part", "orders", "lineitem"):
+        star.table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        star.table(spark, SF, name).where(F.col(key) % 2 == 0).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "part", "orders", "lineitem", "supplier", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("tag", "predication"):
+        assert rows_of(getattr(star, name)(spark, str(tmp_path))) == oracle_rows(con, star.FIXTURES[f"fx_{name}"])
+
+
+def test_documents_are_written_compressed(spark, tmp_path):
+    tables.write_documents(spark.range(3).select(F.col("id"), F.lit("x").alias("title")), str(tmp_path / "d"))
+    assert list((tmp_path / "d").glob("*.json.gz")) and not list((tmp_path / "d").glob("*.json"))
+    assert tables.read_documents(spark, str(tmp_path / "d"), "C").count() == 3
+
+
 def test_the_dictionary_has_a_bounded_number_of_files(spark, tmp_path):
     dictionary.write(spark.range(1000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("term")), str(tmp_path / "d"), per_file=2, per_block=4)
     own = dictionary.Dictionary(spark, str(tmp_path / "d"))
