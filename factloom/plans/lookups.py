@@ -42,8 +42,9 @@ def completions_scanned(spark, d):
 
 
 def _search(spark, d):
-    docs = star.document(spark, d)
-    return shared.once(spark, "qgrams", d, lambda path: qgrams.write(docs, "document_id", "title", path, 4), lambda path: qgrams.Search(spark, path))
+    """Equal titles are posted once, under the title itself."""
+    titles = star.document(spark, d).select("title").distinct()
+    return shared.once(spark, "qgrams", d, lambda path: qgrams.write(titles, "title", "title", path, 4), lambda path: qgrams.Search(spark, path))
 
 
 def _needles(spark, d):
@@ -55,8 +56,9 @@ def _needles(spark, d):
 
 def substring_hits(spark, d):
     """How many titles hold each needle."""
-    found = _search(spark, d).find(_needles(spark, d), star.document(spark, d), "document_id", "title")
-    return found.groupBy("needle").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+    titles = star.document(spark, d).groupBy("title").agg(F.count("*").alias("n"), F.sum("document_id").alias("total"))
+    found = _search(spark, d).find(_needles(spark, d), titles, "title", "title")
+    return found.join(titles.withColumnRenamed("title", "id"), "id").groupBy("needle").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def compressed_tree(spark, d):

@@ -5,6 +5,7 @@ from helpers_oracle import SF, oracle_rows, rows_of
 from pyspark.sql import functions as F
 
 from factloom.operators import dictionary, keywords, scoring, translation
+from factloom.plans import lookups
 from factloom.sources import star, tables
 
 
@@ -78,3 +79,8 @@ def test_strings_without_a_relation_are_not_looked_up(spark):
     found = translation.translate(strings, ["query_id"], index, ["treats"], {})
     assert {(r.query_id, r.reason) for r in found.collect()} == {(1, "no relation"), (2, None), (3, "empty")}
     assert "Union" in plan(found)[0]  # read apart
+
+
+def test_equal_titles_are_posted_once(spark):
+    titles = star.document(spark, SF).select("title").distinct().count()
+    assert lookups._search(spark, SF).postings.select("id").distinct().count() == titles < star.document(spark, SF).count()
