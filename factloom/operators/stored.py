@@ -25,20 +25,21 @@ SUBJECT, OBJECT = "subject", "object"
 
 
 def lists(statements: DataFrame) -> DataFrame:
-    """Posting lists of statements, in blocks: the offsets of the documents of each key and collection, ascending."""
-    block = F.shiftright("document_id", BITS)
-    offset = (F.col("document_id") - F.shiftleft(block, BITS)).cast("short")
-    rows = statements.where("relation IS NOT NULL").groupBy("document_collection", *matching.FACT, block.alias("block")).agg(F.sort_array(F.collect_set(offset)).alias("offsets"))
+    """Posting lists of statements, in blocks: the offsets of the documents of each key and collection, ascending. Statements may be dealt by their ``block`` already."""
+    if "block" not in statements.columns:
+        statements = statements.withColumn("block", F.shiftright("document_id", BITS))
+    offset = (F.col("document_id") - F.shiftleft("block", BITS)).cast("short")
+    rows = statements.where("relation IS NOT NULL").groupBy("document_collection", *matching.FACT, "block").agg(F.sort_array(F.collect_set(offset)).alias("offsets"))
     return rows.withColumn("n", F.size("offsets"))
 
 
 def write(statements: DataFrame, path: str, slots: int = 16) -> None:
-    """Store the index. Rows are dealt by ranges of the order they are stored in, so a frequent relation or entity is written by several tasks."""
-    each = lists(statements).withColumn("order", F.explode(F.array(F.lit(SUBJECT), F.lit(OBJECT))))
+    """Store the index. Lists are dealt once, before they are stored in both orders, by relation and collection; a frequent one is split among several tasks by size."""
+    each = lists(statements).hint("rebalance", "relation", "document_collection").withColumn("order", F.explode(F.array(F.lit(SUBJECT), F.lit(OBJECT))))
     end = F.when(F.col("order") == SUBJECT, F.col("subject_id")).otherwise(F.col("object_id"))
     each = each.withColumn("slot", (F.crc32(end.cast("binary")) % slots).cast("int")).withColumn("end", end)
     order = [*FOLDERS, "end", "block"]
-    each.repartitionByRange(*order).sortWithinPartitions(*order).drop("end").write.mode("overwrite").partitionBy(*FOLDERS).parquet(f"{path}/lists")
+    each.sortWithinPartitions(*order).drop("end").write.mode("overwrite").partitionBy(*FOLDERS).parquet(f"{path}/lists")
     statements.sparkSession.createDataFrame([(slots, BITS)], "slots int, bits int").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
 
 

@@ -15,8 +15,13 @@ NAMES = [
 ]
 
 
+def _statements(spark, d):
+    """Statements dealt by the blocks of the index, whose lists are then made where they are."""
+    return star.predication(spark, d, stored.BITS)
+
+
 def index(spark, d):
-    return shared.once(spark, "index", d, lambda path: stored.write(patterns._statements(spark, d), path, SLOTS), lambda path: stored.Index(spark, path))
+    return shared.once(spark, "index", d, lambda path: stored.write(_statements(spark, d), path, SLOTS), lambda path: stored.Index(spark, path))
 
 
 def _match(spark, d, query, vocabulary=patterns.V, **options):

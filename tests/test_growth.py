@@ -4,8 +4,10 @@ import duckdb
 from helpers_oracle import SF, oracle_rows, rows_of
 from pyspark.sql import functions as F
 
-from factloom.operators import dictionary, keywords, scoring, translation
+from factloom.model import Entity, Query, Vocabulary
+from factloom.operators import dictionary, keywords, matching, scoring, stored, translation
 from factloom.plans import lookups
+from factloom.plans import stored as stored_plans
 from factloom.sources import star, tables
 
 
@@ -84,3 +86,18 @@ def test_strings_without_a_relation_are_not_looked_up(spark):
 def test_equal_titles_are_posted_once(spark):
     titles = star.document(spark, SF).select("title").distinct().count()
     assert lookups._search(spark, SF).postings.select("id").distinct().count() == titles < star.document(spark, SF).count()
+
+
+def test_posting_lists_are_made_where_their_block_is(spark):
+    """No partial list is shuffled, and lists are dealt once for both orders."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        statements = stored_plans._statements(spark, SF)
+        physical = plan(stored.lists(statements))[1]
+        assert "Exchange" in physical and "Exchange" not in physical[: physical.index("Generate")]
+        same = statements.drop("block")
+        assert rows_of(stored.lists(statements)) == rows_of(stored.lists(same))
+        assert rows_of(statements.drop("block")) == rows_of(star.predication(spark, SF).drop("confidence", "sentence_no"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
