@@ -134,15 +134,20 @@ def match(facts_: DataFrame, query: Query, vocabulary: Vocabulary, min_shared: i
     return docs.select(*DOC, *out)
 
 
+def _passing(index: DataFrame, tests: list[Column]) -> DataFrame:
+    """Documents with a row for each test, found in one scan."""
+    each = [F.max(t).alias(f"t{i}") for i, t in enumerate(tests)]
+    return index.where(reduce(Column.__or__, tests)).groupBy(*DOC).agg(*each).where(reduce(Column.__and__, [F.col(f"t{i}") for i in range(len(tests))])).select(*DOC)
+
+
 def filters(docs: DataFrame | None, query: Query, v: Vocabulary, term_index: DataFrame | None, tag_index: DataFrame | None) -> DataFrame:
     """Documents that also hold every term and an entity of every set; without patterns, all such documents."""
-    for t in query.terms:
-        own = term_index.where(F.col("term") == t.lower()).select(*DOC).distinct()
-        docs = own if docs is None else docs.join(own, DOC, "left_semi")
-    for entities in query.entity_sets:
-        tests = [F.col("ent_type").isin(v.types(e.type)) if isinstance(e, Var) else (F.col("ent_id") == e.id) & F.col("ent_type").isin(v.types(e.type)) for e in entities]
-        own = tag_index.where(reduce(Column.__or__, tests)).select(*DOC).distinct()
-        docs = own if docs is None else docs.join(own, DOC, "left_semi")
+    terms = [F.col("term") == t.lower() for t in query.terms]
+    sets = [reduce(Column.__or__, [F.col("ent_type").isin(v.types(e.type)) if isinstance(e, Var) else (F.col("ent_id") == e.id) & F.col("ent_type").isin(v.types(e.type)) for e in entities]) for entities in query.entity_sets]
+    for index, tests in ((term_index, terms), (tag_index, sets)):
+        if tests:
+            own = _passing(index, tests)
+            docs = own if docs is None else docs.join(own, DOC, "left_semi")
     if docs is None:
         raise ValueError("a query needs a pattern, a term or an entity")
     return docs

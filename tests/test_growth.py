@@ -101,3 +101,11 @@ def test_posting_lists_are_made_where_their_block_is(spark):
         assert rows_of(statements.drop("block")) == rows_of(star.predication(spark, SF).drop("confidence", "sentence_no"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_entity_sets_are_looked_up_in_one_scan(spark):
+    tags = spark.createDataFrame([("C", 1, "a", "A"), ("C", 1, "b", "A"), ("C", 2, "a", "A"), ("C", 3, "b", "A"), ("C", 3, "c", "B"), ("D", 3, "a", "A"), ("C", 4, None, "A")], "document_collection string, document_id long, ent_id string, ent_type string")
+    query = Query(entity_sets=((Entity("a", "A"), Entity("c", "B")), (Entity("b", "A"),)))
+    found = matching.filters(None, query, Vocabulary(), None, tags)
+    assert {tuple(r) for r in found.collect()} == {("C", 1), ("C", 3)}
+    assert plan(found)[0].count("LogicalRDD") == 1
