@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pathlib
 import tempfile
 import zipfile
@@ -56,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more: Spark removes them when the driver collects its garbage, which a long job may not do for long."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does just that on texts that are all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

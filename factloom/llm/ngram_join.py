@@ -11,7 +11,7 @@ and each plot has its own trees. A content that more than FREQUENT sets have joi
 rests on those alone would need; so a passage in many documents does not chain them. Equal sets are one point.
 
 Plots that fit a leaf are packed into tasks, a tree of nodes of FAN points each. A larger plot is cut into leaves of bounded size in order of
-size and first coordinates; every leaf is compared with itself and the next one, which connects most of a large group of near copies. A component
+size and first coordinates; every leaf is compared with itself and the next one at least, which connects most of a large group of near copies. A component
 of LEAF_SETS or more then gets a tree of its own, what is left of the plot another, with inner nodes of FAN children; trees are descended level by level, and
 no two sets of one component are compared again, so the work of a large group grows with its size, not with its square. Leaves that meet compare
 points first; only sets whose point meets one of the other leaf travel to the pair's verification, so no group has to fit one task.
@@ -42,6 +42,7 @@ FREQUENT = 8
 LEAF_SETS = 256
 LEAF = 1 << 20  # weight of a leaf: 256 sets, or fewer if they exceed 4,096 shingles
 FAN = 16  # children of a node
+BESIDE = 2  # leaves of a large plot that are compared with each other and the next one in one group
 
 
 @dataclass(frozen=True)
@@ -370,11 +371,13 @@ def links(rows: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between keys, enough of them to connect every component."""
     n_docs = slim.count()
     plot = plots(rows, rule, n_docs).select(F.col("node").alias("key"), F.col("root").alias("plot"))
+    common.forget(slim)
     members = slim.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.max("corner").alias("corner")).join(plot, "key")
     members = common.cut(members.withColumn("w", F.greatest(F.lit(LEAF // LEAF_SETS), F.col("n"))))
     bins = max(common.parallelism(rows), (members.agg(F.sum("w")).first()[0] or 0) // (8 * LEAF))
     members = cut_leaves(members, ["plot"]).withColumn("leaf", F.when(F.col("total") <= LEAF, F.pmod(F.xxhash64("plot"), F.lit(bins)) - bins).otherwise(F.col("leaf"))).drop("total")
     members = common.cut(members)
+    common.forget(members)
 
     def tokenise(batches):
         import pyarrow as pa
@@ -385,8 +388,10 @@ def links(rows: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
             keep = [i for i, (s, k) in enumerate(zip(sets, b["key"].to_pylist())) if set_key(s) == k]
             yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(keep, pa.int64())) for c in ("key", "plot", "leaf")], pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array([fine_point(sets[i]).tobytes() if large[i] else b"" for i in keep], pa.binary())], ["key", "plot", "leaf", "set", "point"])
 
-    texts = bloom.pick(rows.select("row", "text"), members.select("row", "key", "plot", "leaf"), "row").select("row", "text", "key", "plot", "leaf")
-    sets = texts.mapInArrow(tokenise, "key long, plot long, leaf long, set binary, point binary")
+    def sets(of):
+        """Sets of these members; no other texts are shuffled."""
+        texts = bloom.pick(rows.select("row", "text"), of.select("row", "key", "plot", "leaf"), "row").select("row", "text", "key", "plot", "leaf")
+        return texts.mapInArrow(tokenise, "key long, plot long, leaf long, set binary, point binary")
 
     def unique(parts):
         found = {k: np.frombuffer(raw, np.uint64) for k, raw in zip(parts["key"].to_pylist(), parts["set"].to_pylist())}
@@ -408,18 +413,26 @@ def links(rows: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
         return pa.Table.from_batches([_links(out)])
 
     def beside(parts):
-        """A leaf and the next one."""
+        """Some leaves and the next one."""
         import pyarrow as pa
 
         return pa.Table.from_batches([_links(verify(rule, *unique(parts)))])
 
-    found = sets.where("leaf < 0").select("key", "plot", "leaf", "set").groupBy("leaf").applyInArrow(small, "a long, b long")
-    if members.where("leaf >= 0").isEmpty():
-        return found
-    own = common.cut(sets.where("leaf >= 0"))
-    twice = own.select("plot", F.explode(F.when(F.col("leaf") > 0, F.array(F.col("leaf") - 1, "leaf")).otherwise(F.array("leaf"))).alias("at"), "key", "set")
-    near = common.cut(twice.groupBy("plot", "at").applyInArrow(beside, "a long, b long"))
-    return found.unionByName(near).unionByName(far_links(own, members.where("leaf >= 0").drop("leaf"), components(near), rule))
+    small_ones, large_ones = members.where("leaf < 0"), members.where("leaf >= 0")
+    if large_ones.isEmpty():
+        far = None
+    else:
+        own = common.cut(sets(large_ones))
+        common.forget(own)
+        group = F.expr(f"leaf div {BESIDE}")
+        both = F.when((F.col("leaf") % BESIDE == 0) & (F.col("leaf") > 0), F.array(group - 1, group)).otherwise(F.array(group))
+        near = common.cut(own.select("plot", F.explode(both).alias("at"), "key", "set").groupBy("plot", "at").applyInArrow(beside, "a long, b long"))
+        common.forget(own)
+        far = common.cut(near.unionByName(far_links(own, large_ones.drop("leaf"), components(near), rule)))
+        del own, near
+        common.forget(far)
+    found = sets(small_ones).select("key", "plot", "leaf", "set").groupBy("leaf").applyInArrow(small, "a long, b long")
+    return found if far is None else found.unionByName(far)
 
 
 LEAVES = "plot long, tree long, leaf long, low long, high long, box array<int>, keys binary, parts binary, sizes binary, points binary"
@@ -512,7 +525,8 @@ def far_links(own: DataFrame, members: DataFrame, known: DataFrame, rule: Rule)
     second = leaves.select("plot", F.col("tree").alias("tree2"), F.col("leaf").alias("leaf2"), *[F.col(c).alias(f"{c}2") for c in body])
     both = joined.repartition(common.parallelism(own), *side).join(first, ["plot", "tree", "leaf"]).join(second, ["plot", "tree2", "leaf2"])
     met = common.cut(both.mapInArrow(meet, "plot long, tree long, leaf long, tree2 long, leaf2 long, key long, part long, second int"))
-    texts = own.select("plot", "key", "set").join(met, ["plot", "key"]).select(*side, "key", "part", "second", "set")
+    some, _ = bloom.split(own.select("plot", "key", "set"), met.select("key").distinct(), "key")  # only these are shuffled
+    texts = some.join(met, ["plot", "key"]).select(*side, "key", "part", "second", "set")
     return texts.groupBy(*side).applyInArrow(pair, "a long, b long")
 
 

@@ -171,6 +171,22 @@ def test_ngram_join_large_plots(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, ngram_join.CONTRACT)
 
 
+def test_ngram_join_shuffles_a_text_once(spark, monkeypatch):
+    """Members of small and of large plots are looked up apart, each with its own texts only."""
+    monkeypatch.setattr(ngram_join, "LEAF", 1 << 11)
+    monkeypatch.setattr(ngram_join, "LEAF_SETS", 16)
+    asked, pick = [], bloom.pick
+    monkeypatch.setattr(bloom, "pick", lambda df, ids, id: asked.append(ids) or pick(df, ids, id))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 50], f"x{i}", *words[i % 50 :]])) for i in range(120)] + [(1000 + i, "a few other words in a short text that is here " + "twice " * (1 + i)) for i in range(2)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.CONTRACT).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, ngram_join.CONTRACT)
+    kinds = [{r.leaf >= 0 for r in ids.collect()} for ids in asked]
+    assert True in set().union(*kinds) and all(len(k) < 2 for k in kinds)
+    keys = [r.key for ids in asked for r in ids.collect()]
+    assert len(keys) == len(set(keys))
+
+
 @pytest.mark.parametrize("per_task", [1 << 20, 70])
 def test_components(spark, monkeypatch, per_task):
     monkeypatch.setattr(components, "PER_TASK", per_task)  # 70: several tasks, then rounds
