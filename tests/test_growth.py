@@ -1,12 +1,14 @@
 """What must not grow with the tables: rows that are shuffled, files, rows of one key in a task."""
 
+import re
+
 import duckdb
 from helpers_oracle import SF, oracle_rows, rows_of
 from pyspark.sql import functions as F
 
 from factloom.model import Entity, Query, Vocabulary
 from factloom.operators import dictionary, keywords, matching, scoring, stored, translation
-from factloom.plans import lookups
+from factloom.plans import analytics, indexes, lookups
 from factloom.plans import stored as stored_plans
 from factloom.sources import star, tables
 
@@ -109,3 +111,21 @@ def test_entity_sets_are_looked_up_in_one_scan(spark):
     found = matching.filters(None, query, Vocabulary(), None, tags)
     assert {tuple(r) for r in found.collect()} == {("C", 1), ("C", 3)}
     assert plan(found)[0].count("LogicalRDD") == 1
+
+
+def test_partitions_grow_with_lines(spark, monkeypatch):
+    """No step is dealt into a fixed number of partitions, so that a task's share does not grow with the tables; the rows are the same."""
+    named = {"keyword_sample": analytics.QUERIES, "tag_index_delta": indexes.QUERIES, "coverage": analytics.QUERIES}
+    expected = {name: rows_of(queries[name](spark, SF)) for name, queries in named.items()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(star, "LINES", -(-star.table(spark, SF, "lineitem").count() // 9))
+    try:
+        for name, queries in named.items():
+            df = queries[name](spark, SF)
+            dealt = {int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan(df)[1])}
+            assert min(dealt) >= 9, name
+            assert rows_of(df) == expected[name]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
