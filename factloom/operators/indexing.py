@@ -47,10 +47,14 @@ def changed_postings(old: DataFrame, new: DataFrame, key: list[str], block: int
 
 
 def merge_postings(old: DataFrame, new: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
-    """An index with the postings of new documents added; blocks without new documents are taken over as they are, and keys of either side survive."""
+    """An index with the postings of new documents added; blocks without new documents are taken over as they are, and keys of either side survive.
+
+    Blocks of both sides meet in one join, so that each side is read and its lists are made once.
+    """
     at = ["document_collection", *key, "block"]
-    changed = changed_postings(old, new, key, block)
-    return old.join(changed.select(*at), at, "left_anti").unionByName(changed)
+    both = old.select(*at, F.col("document_ids").alias("__old")).join(postings(new, key, block).select(*at, F.col("document_ids").alias("__new")), at, "full")
+    docs = F.when(F.col("__new").isNull(), F.col("__old")).when(F.col("__old").isNull(), F.col("__new")).otherwise(F.sort_array(F.array_union("__new", "__old"), asc=False))
+    return both.select(*at, docs.alias("document_ids")).withColumn("n", F.size("document_ids").cast("long"))
 
 
 def since(rows: DataFrame, documents: DataFrame, date: str) -> DataFrame:

@@ -7,7 +7,7 @@ from helpers_oracle import SF, oracle_rows, rows_of
 from pyspark.sql import functions as F
 
 from factloom.model import Entity, Query, Vocabulary
-from factloom.operators import dictionary, keywords, matching, scoring, stored, translation
+from factloom.operators import dictionary, indexing, keywords, matching, scoring, stored, translation
 from factloom.plans import analytics, indexes, lookups
 from factloom.plans import stored as stored_plans
 from factloom.sources import star, tables
@@ -129,3 +129,14 @@ def test_partitions_grow_with_lines(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_merged_lists_are_made_once(spark):
+    """A merge makes the lists of either side once, not again for each test of which blocks are new; blocks of one side survive."""
+    df = indexes.QUERIES["tag_index_delta"](spark, SF)
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan(df)[1])) <= 2
+    schema = "document_collection string, ent_id string, document_id long"
+    old = indexing.postings(spark.createDataFrame([("C", "a", 1), ("C", "a", 12), ("C", "b", 3)], schema), ["ent_id"], 10)
+    merged = indexing.merge_postings(old, spark.createDataFrame([("C", "a", 2), ("C", "a", 1), ("C", "c", 4), ("C", "c", 4), ("D", "a", 1)], schema), ["ent_id"], 10)
+    assert merged.columns == old.columns
+    assert {tuple(r[:3]): (r.document_ids, r.n) for r in merged.collect()} == {("C", "a", 0): ([2, 1], 2), ("C", "a", 1): ([12], 1), ("C", "b", 0): ([3], 1), ("C", "c", 0): ([4], 1), ("D", "a", 0): ([1], 1)}
