@@ -140,3 +140,21 @@ def test_merged_lists_are_made_once(spark):
     merged = indexing.merge_postings(old, spark.createDataFrame([("C", "a", 2), ("C", "a", 1), ("C", "c", 4), ("C", "c", 4), ("D", "a", 1)], schema), ["ent_id"], 10)
     assert merged.columns == old.columns
     assert {tuple(r[:3]): (r.document_ids, r.n) for r in merged.collect()} == {("C", "a", 0): ([2, 1], 2), ("C", "a", 1): ([12], 1), ("C", "b", 0): ([3], 1), ("C", "c", 0): ([4], 1), ("D", "a", 0): ([1], 1)}
+
+
+def test_concepts_are_sorted_by_document_once(spark):
+    """The sort of a document's entities serves both their total and the join with its length; mentions are not sorted."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        physical = plan(analytics.QUERIES["coverage"](spark, SF))[1]
+        assert len(re.findall(r"Sort \[document_collection", physical)) == 2  # entities and lengths
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_totals_count_mentions_without_an_entity(spark):
+    tags = spark.createDataFrame([("C", 1, "x", "X", 0, 5), ("C", 1, "x", "X", 5, 10), ("C", 1, None, "X", 0, 5), ("C", 2, "x", "X", 0, 5), ("D", 1, "x", "X", 0, 5)], "document_collection string, document_id long, ent_id string, ent_type string, start_pos int, end_pos int")
+    docs = tags.select("document_collection", "document_id").distinct()
+    found = scoring.concepts(tags, docs.withColumn("text_len", F.lit(20)), scoring.idf(tags, docs))
+    assert {(r.document_collection, r.document_id): (r.mentions, r.total, r.coverage) for r in found.collect()} == {("C", 1): (2, 3, 0.5), ("C", 2): (1, 1, 0.25), ("D", 1): (1, 1, 0.25)}
