@@ -1,10 +1,13 @@
-"""What recommendation writes and shuffles: rows for queries and for documents, none for a query and a block of documents, and one for a query and a candidate."""
+"""What must not grow with queries times documents, or with tokens: rows that are written."""
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from helpers_oracle import rows_of
 
-from factloom.operators import scoring, topk
+from factloom.operators import keywords, scoring, topk
 
 TAGS = "document_collection string, document_id long, ent_id string, ent_type string"
 CORE = "query_collection string, query_id long, ent_id string, ent_type string, score double"
@@ -53,3 +56,28 @@ def test_rare_entities_equal_documents_and_ids(spark, monkeypatch, block, lists)
         assert [(pytest.approx(s, abs=1.5e-6), i, c) for s, i, c in every[:30]] == sorted(got[q], key=key, reverse=True)
         assert (lows[q] < every[:30][-1][0] - 1e-6) == (every[-1][0] < every[:30][-1][0] - 1e-6)
     assert set(got) == set(weights)
+
+
+def test_keywords_of_documents_make_no_row_of_a_token(spark):
+    """Tokens are counted inside a task; the rows are those of the aggregates, also for odd texts, several texts of a key and keys without words."""
+    rng = random.Random(2)
+    words = "Aspirin aspirin aspirins NASA nasa trials Trials the of and 42 4x ÉCOLE école Straße STRASSE İzmir ΣΑΣ ﬁn ² ab x_y headache headaches don't".split()
+    ends = [" ", " ", " ", ", ", ". ", "!? ", "\n", "...", "_", "-"]
+    texts = [("".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randrange(0, 120)))) for _ in range(150)]
+    rows = [(i % 120, t) for i, t in enumerate(texts)] + [(200, None), (201, ""), (202, ".?!"), (203, "the of and"), (204, "One"), (None, "Lost words"), (205, ". start.mid. end")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    found = keywords.document_keywords(df, ["k"])
+    assert rows_of(found) == rows_of(keywords.suppressed(keywords.scored(df, ["k"]), ["k"]))
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_over_many_batches(spark, monkeypatch):
+    """Texts of a key stay together where counting is cut into pieces."""
+    texts = [(i // 3, f"Red gears {i % 7} turn. Blue gears stop {'again ' * (i % 5)}") for i in range(300)]
+    expected = keywords.keywords_of([t for _, t in texts], np.array([k for k, _ in texts]), 25, 0.9)
+    monkeypatch.setattr(keywords, "CHARACTERS", 100)
+    of = keywords._counted(["k"], 25, 0.9)
+    batches = [pa.RecordBatch.from_pydict({"k": [k for k, _ in part], "text": [t for _, t in part]}) for part in (texts[i : i + 70] for i in range(0, 300, 70))]
+    out = list(of(iter(batches)))
+    assert len(out) > 10
+    assert [(k, t) for b in out for k, t in zip(b.column("k").to_pylist(), b.column("terms").to_pylist())] == [(k, t) for k, (t, _) in enumerate(expected)]
